@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.operators.rate_limit import fixed_window_limit
+from ledgerlight.session import cut_lineage
 
 # Evaluation order of effects.
 EFFECT_ORDER = [
@@ -258,13 +259,17 @@ def rate_limited(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     limits = (
         rules.filter("effect = 'rate_limit'").orderBy("position").select("policy", "limit_calls", "window_seconds").collect()
     )  # a handful of rule rows, never calls
-    denied = ruled.filter("false").select("id", F.lit(None).cast("string").alias("limit_policy"))
-    open_calls = ruled.select("id", "ts", "agent_id", "rules")
+    if not limits:
+        return ruled.filter("false").select("id", F.lit(None).cast("string").alias("limit_policy"))
+    denied = None
+    open_calls = cut_lineage(
+        ruled.select("id", "ts", "agent_id", F.transform("rules", lambda r: r["policy"]).alias("policies"))
+    )
     for limit in limits:
-        subject = open_calls.filter(F.exists("rules", lambda r: r["policy"] == limit["policy"]))
+        subject = open_calls.filter(F.array_contains("policies", limit["policy"]))
         judged = fixed_window_limit(subject.select("id", "ts", "agent_id"), ["agent_id"], limit["limit_calls"], limit["window_seconds"])
-        over = judged.filter(~F.col("allowed")).select("id", F.lit(limit["policy"]).alias("limit_policy"))
-        denied = denied.unionByName(over)
+        over = cut_lineage(judged.filter(~F.col("allowed")).select("id", F.lit(limit["policy"]).alias("limit_policy")))
+        denied = over if denied is None else denied.unionByName(over)
         open_calls = open_calls.join(over.select("id"), "id", "left_anti")
     return denied
 

@@ -12,8 +12,9 @@ expresses it. The work is split by (key, time chunk) rather than by key:
 3. each chunk lists its true window starts, and a running maximum gives every
    call its window.
 
-Only distinct call times reach steps 1 and 3, and a group never spans more than
-``chunk_windows`` windows, however busy the key is.
+Only distinct call times reach steps 1 and 3. The chunk length is measured: the
+busiest stretch of 16 windows decides how many windows fit in a group, so sparse
+logs need few groups and a busy key is cut into many.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ledgerlight.session import cut_lineage
 
+GROUP_TIMES = 1_000_000
 _OWN, _BEFORE, _AFTER, _ENTRY = 0, 1, 2, 3
 
 
@@ -58,18 +60,28 @@ def _starts(times: np.ndarray, sure: np.ndarray, entry: int | None, width: int)
     return found
 
 
+def _fitting_windows(calls: DataFrame, keys: list[str], width: int, base: int = 16) -> int:
+    """Windows per chunk so that a group of distinct call times stays near a million."""
+    stretch = F.floor(F.unix_micros("ts") / (base * width)).alias("_stretch")
+    counts = calls.groupBy(*keys, stretch).agg(F.count("*").alias("n"))
+    busiest = counts.agg(F.max("n")).first()[0] or 1
+    return base * max(1, min(GROUP_TIMES // busiest, 1 << 20))
+
+
 def fixed_window_limit(
     calls: DataFrame,
     keys: list[str],
     limit: int,
     window_seconds: int,
-    chunk_windows: int = 16,
+    chunk_windows: int | None = None,
 ) -> DataFrame:
     """``calls(id, ts, keys…)`` with ``window_start``, ``call_in_window`` and ``allowed``.
 
     Calls are taken in (ts, id) order; denied calls count too.
     """
     width = window_seconds * 1_000_000
+    if chunk_windows is None:
+        chunk_windows = _fitting_windows(calls, keys, width)
     span = chunk_windows * width
     timed = calls.withColumn("_t", F.unix_micros("ts")).withColumn("_chunk", F.floor(F.col("_t") / span))
     moments = timed.select(*keys, "_chunk", "_t").distinct()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Pairs compared in one numpy step: keeps the working arrays near the processor cache.
+PAIRS_AT_ONCE = 32_768
 # Null marker, default threshold, and where a listed entry can be looked up.
 NULL_MARK = "-0-"
 MATCH_THRESHOLD = 70.0
@@ -33,15 +37,52 @@ def reference_url(ent_num: Column) -> Column:
     return F.concat(F.lit(REFERENCE_URL), ent_num)
 
 
-def _likeness(a: Column, b: Column) -> Column:
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 0.0).otherwise(1.0 - F.levenshtein(a, b) / longest)
-
-
-def name_score(a: Column, a_sorted: Column, b: Column, b_sorted: Column) -> Column:
-    """0-100: the better of whole-string likeness and, at 95 %, likeness of the sorted words."""
-    best = F.greatest(_likeness(a, b), _likeness(a_sorted, b_sorted) * 0.95)
-    return F.floor(best * 10_000 + 0.5) / 100
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts as columns of code points (zero-padded) and their lengths."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    table = np.zeros((max(1, int(lengths.max(initial=0))), len(texts)), dtype=np.int32)
+    for column, text in enumerate(texts):
+        table[: len(text), column] = [ord(c) for c in text]
+    return table, lengths
+
+
+def _edits(asked: tuple[np.ndarray, np.ndarray], listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Edit distance of every asked text (rows) to every listed one (columns), one position pair per step."""
+    a_codes, a_sizes = asked
+    codes, sizes = listed
+    height, q, n = len(codes), len(a_sizes), len(sizes)
+    before = np.empty((height + 1, q, n), dtype=np.int16)
+    before[:] = np.arange(height + 1, dtype=np.int16)[:, None, None]
+    after = np.empty_like(before)
+    step = np.empty((q, n), dtype=np.int16)
+    result = np.repeat(sizes[None, :].astype(np.int16), q, axis=0)
+    every = np.arange(n)
+    for i in range(1, int(a_sizes.max(initial=0)) + 1):
+        after[0] = i
+        row = a_codes[i - 1][:, None]
+        for j in range(1, height + 1):
+            np.add(before[j - 1], codes[j - 1][None, :] != row, out=step, casting="unsafe")
+            np.minimum(before[j], after[j - 1], out=after[j])
+            after[j] += 1
+            np.minimum(after[j], step, out=after[j])
+        done = np.flatnonzero(a_sizes == i)
+        if len(done):
+            result[done] = after[sizes[None, :], done[:, None], every[None, :]]
+        before, after = after, before
+    return result.astype(np.float64)
+
+
+def name_scores(asked: list[str], whole: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """0-100 per asked and listed name: the better of whole-string likeness and, at 95 %, of the sorted words."""
+
+    def likeness(texts: list[str], listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        coded = _codes(texts)
+        longest = np.maximum(coded[1][:, None], listed[1][None, :])
+        return np.where(longest == 0, 0.0, 1.0 - _edits(coded, listed) / np.maximum(longest, 1))
+
+    ordered = [" ".join(sorted(w for w in text.split(" ") if w)) for text in asked]
+    best = np.maximum(likeness(asked, whole), likeness(ordered, words) * 0.95)
+    return np.floor(best * 10_000 + 0.5) / 100
 
 
 def name_index(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -64,60 +105,72 @@ def attach_aliases(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     return entries.join(aliases.filter(F.col("alias") != ""), "ent_num", "left")
 
 
-def _packed(names: DataFrame, by: list[str], chunk_names: int) -> DataFrame:
-    """Distinct names packed into arrays of about ``chunk_names``.
+def _best_in_tile(by: list[str], k: int):
+    """Best ``k`` of a tile's names for each of its queries; ties go to the smaller name."""
+
+    def run(asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
+        listed = listed.sort_values("name")
+        names = listed["name"].to_numpy()
+        columns = {"query": [], "matched_name": [], "score": []}
+        if len(names):
+            whole, words = _codes(listed["n"].tolist()), _codes(listed["s"].tolist())
+            asked = asked.assign(size=asked["q"].str.len()).sort_values("size")
+            block = max(1, PAIRS_AT_ONCE // len(names))
+            for at in range(0, len(asked), block):
+                part = asked.iloc[at : at + block]
+                for text, scores in zip(part["query"], name_scores(part["q"].tolist(), whole, words), strict=True):
+                    least = np.partition(scores, -k)[-k] if len(scores) > k else -1.0
+                    near = np.flatnonzero(scores >= least)
+                    near = near[np.argsort(-scores[near], kind="stable")][:k]
+                    columns["query"] += [text] * len(near)
+                    columns["matched_name"] += names[near].tolist()
+                    columns["score"] += scores[near].tolist()
+        keys = {column: [asked[column].iloc[0]] * len(columns["query"]) for column in by} if len(asked) else {c: [] for c in by}
+        texts = {c: pd.Series(v, dtype=object) for c, v in {**keys, **columns}.items() if c != "score"}
+        return pd.DataFrame({**texts, "score": pd.Series(columns["score"], dtype="float64")})
+
+    return run
+
+
+def _scored(
+    queries: DataFrame, names: DataFrame, by: list[str], k: int, chunk_names: int, slice_queries: int = 500
+) -> DataFrame:
+    """Best ``k`` distinct names per query, over tiles of (slice of queries) x (chunk of names).
 
-    The list is cut by hash into as many chunks as its counted size needs, so an
-    array stays small however long the list gets; a longer list is more rows.
+    Both sides are de-duplicated and counted; the counts set how many slices and
+    chunks there are, so a tile stays small however long either side gets. A tile
+    hands on ``k`` rows per query; no pair of query and name is ever a row.
     """
-    distinct = names.select(*by, "name").distinct()
-    chunks = max(1, -(-distinct.count() // chunk_names))
-    normal = distinct.withColumn("n", normalise_name(F.col("name")))
-    item = F.struct("name", "n", sorted_tokens(F.col("n")).alias("s"))
-    return (
-        normal.withColumn("chunk", F.pmod(F.xxhash64("name"), F.lit(chunks)))
-        .groupBy(*by, "chunk")
-        .agg(F.collect_list(item).alias("listed"))
+    listed = names.select(*by, "name").distinct()
+    asked = queries.select(*by, "query").distinct()
+    chunks = max(1, -(-listed.count() // chunk_names))
+    slices = max(1, -(-asked.count() // slice_queries))
+    normal = normalise_name(F.col("name"))
+    right = listed.select(
+        *by, "name", normal.alias("n"), sorted_tokens(normal).alias("s"),
+        F.pmod(F.xxhash64("name"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
     )
-
-
-def _scored(queries: DataFrame, packed: DataFrame, by: list[str], k: int) -> DataFrame:
-    """Best ``k`` distinct names per query: ``k`` per list chunk, then the best of those.
-
-    Each distinct query is compared inside the row with a packed chunk; no pair of
-    query and name is ever a row of its own.
-    """
-    normal = queries.select(*by, "query").distinct().withColumn("q", normalise_name(F.col("query")))
-    normal = normal.withColumn("qs", sorted_tokens(F.col("q")))
-    if by:
-        joined = normal.join(packed, by)
-    else:
-        tagged = packed.withColumn("_all", F.lit(1))
-        joined = normal.withColumn("_all", F.lit(1)).join(tagged, "_all").drop("_all")
-
-    def scored(item: Column) -> Column:
-        score = name_score(F.col("q"), F.col("qs"), item["n"], item["s"])
-        return F.struct((-score).alias("neg"), item["name"].alias("name"))
-
-    if k == 1:
-        worst = F.struct(F.lit(1.0).alias("neg"), F.lit("").alias("name"))
-        best = F.array(F.aggregate("listed", worst, lambda acc, item: F.least(acc, scored(item))))
-    else:
-        best = F.slice(F.array_sort(F.transform("listed", scored)), 1, k)
-    rows = joined.select(*by, "query", F.inline(best))
-    if k == 1:
-        top = rows.groupBy(*by, "query").agg(F.min(F.struct("neg", "name")).alias("m"))
-        return top.select(*by, "query", F.col("m.name").alias("matched_name"), (-F.col("m.neg")).alias("score"))
-    order = Window.partitionBy(*by, "query").orderBy("neg", "name")
-    return (
-        rows.withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= k)
-        .select(*by, "query", F.col("name").alias("matched_name"), (-F.col("neg")).alias("score"), "place")
+    left = asked.select(
+        *by, "query", normalise_name(F.col("query")).alias("q"),
+        F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int").alias("slice"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
+    )
+    tile = [*by, "chunk", "slice"]
+    key_ddl = "".join(f"`{c}` string, " for c in by)
+    # As many tasks as tiles, so that adaptive coalescing does not put them in one.
+    tasks = int(min(100_000, chunks * slices * (len(by) + 1)))
+    found = (
+        left.repartition(tasks, *tile)
+        .groupBy(*tile)
+        .cogroup(right.repartition(tasks, *tile).groupBy(*tile))
+        .applyInPandas(_best_in_tile(by, k), f"{key_ddl}query string, matched_name string, score double")
     )
+    order = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "matched_name")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
 def screen_best(
-    queries: DataFrame, entries: DataFrame, threshold: float = MATCH_THRESHOLD, chunk_names: int = 50_000
+    queries: DataFrame, entries: DataFrame, threshold: float = MATCH_THRESHOLD, chunk_names: int = 5_000
 ) -> DataFrame:
     """Single best listed name of the query's own ``sdn_type``, even when below the threshold.
 
@@ -125,7 +178,7 @@ def screen_best(
     entries. The entry reported is the lowest id behind the name.
     """
     names = name_index(entries)
-    best = _scored(queries, _packed(names, ["sdn_type"], chunk_names), ["sdn_type"], 1)
+    best = _scored(queries, names, ["sdn_type"], 1, chunk_names).drop("place")
     first = names.groupBy("sdn_type", F.col("name").alias("matched_name")).agg(
         F.min(F.col("ent_num").cast("bigint")).cast("string").alias("entry_id")
     )
@@ -142,11 +195,11 @@ def screen_top(
     aliases: DataFrame,
     k: int = 5,
     threshold: float = MATCH_THRESHOLD,
-    chunk_names: int = 2_000,
+    chunk_names: int = 5_000,
 ) -> DataFrame:
     """Top ``k`` distinct names over primary names and aliases of any type, with every entry behind each."""
     names = name_index(entries, aliases)
-    best = _scored(queries, _packed(names, [], chunk_names), [], k)
+    best = _scored(queries, names, [], k, chunk_names)
     behind = names.select(F.col("name").alias("matched_name"), F.col("ent_num").alias("entry_id")).distinct()
     return best.join(behind, "matched_name").withColumn("is_match", F.col("score") >= threshold)
 
