@@ -22,90 +22,81 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def trailing_sums(
+def framed_sums(
     df: DataFrame,
     keys: list[str],
     ts: str,
-    frames: dict[str, tuple[Column, int, int]],
-    bucket_us: int | None = None,
+    trailing: dict[str, tuple[Column, int, int]] | None = None,
+    to_date: dict[str, Column] | None = None,
+    distinct_to_date: dict[str, str] | None = None,
+    bucket_us: int = HOUR,
 ) -> DataFrame:
-    """Add one column per frame: the sum of a measure over ``[ts + lo, ts + hi]`` (µs, inclusive).
+    """Add trailing sums, running sums and running distinct counts per key in one pass.
+
+    ``trailing``: name -> (measure, lo, hi), the sum over ``[ts + lo, ts + hi]`` (µs,
+    inclusive, ``hi`` <= 0). A row only needs its own bucket and the one before, so
+    rows near the end of a bucket are copied into the next one.
+
+    ``to_date``: name -> whole-number measure, summed over rows of the key with an
+    equal or earlier ``ts``. Totals per (key, bucket) are carried over the few
+    buckets of a key; the window inside a bucket adds the remainder.
 
-    ``hi`` must be <= 0 here, so a row only ever needs its own bucket and the one
-    before; rows near the end of a bucket are copied into the next one.
+    ``distinct_to_date``: name -> column with few distinct values (such as tools).
     """
-    reach = max(-lo for _, lo, _ in frames.values())
-    width = max(bucket_us or 0, reach + 1)
-    start = F.floor(F.col("_t") / F.lit(width))
-    placed = (
-        df.withColumn("_t", micros(ts))
-        .withColumn("_own", start)
-        .withColumn(
-            "_bucket",
-            F.explode(
-                F.when(
-                    F.col("_t") + reach >= (F.col("_own") + 1) * width,
-                    F.array(F.col("_own"), F.col("_own") + 1),
-                ).otherwise(F.array(F.col("_own")))
-            ),
-        )
-    )
+    trailing, to_date, distinct_to_date = trailing or {}, to_date or {}, distinct_to_date or {}
+    reach = max([-lo for _, lo, _ in trailing.values()], default=-1)
+    width = max(bucket_us, reach + 1)
+    measured = {f"_m_{name}": measure.cast("bigint") for name, measure in to_date.items()}
+    timed = df.withColumns({**measured, "_t": micros(ts)}).withColumn("_own", F.floor(F.col("_t") / F.lit(width)))
+    both = F.array(F.col("_own"), F.col("_own") + 1)
+    near_end = F.col("_t") + reach >= (F.col("_own") + 1) * width
+    bucket = F.explode(F.when(near_end, both).otherwise(F.array("_own"))) if trailing else F.col("_own")
+    placed = timed.withColumn("_bucket", bucket)
+    own = F.col("_bucket") == F.col("_own")
     window = Window.partitionBy(*keys, "_bucket").orderBy("_t")
+    so_far = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def up_to(measure: Column, offset: int) -> Column:
-        frame = window.rangeBetween(Window.unboundedPreceding, offset)
-        return F.coalesce(F.sum(measure).over(frame), F.lit(0))
-
-    grown = {}
-    for name, (measure, lo, hi) in frames.items():
-        grown[name] = up_to(measure, hi) - up_to(measure, lo - 1)
-    return (
-        placed.withColumns(grown)
-        .filter(F.col("_bucket") == F.col("_own"))
-        .drop("_t", "_own", "_bucket")
-    )
+        return F.coalesce(F.sum(measure).over(window.rangeBetween(Window.unboundedPreceding, offset)), F.lit(0))
+
+    added = {name: up_to(measure, hi) - up_to(measure, lo - 1) for name, (measure, lo, hi) in trailing.items()}
+    added |= {f"_i_{name}": F.coalesce(F.sum(F.when(own, F.col(f"_m_{name}"))).over(so_far), F.lit(0)) for name in to_date}
+    added |= {f"_v_{name}": F.collect_set(F.when(own, F.col(column))).over(so_far) for name, column in distinct_to_date.items()}
+    framed = placed.withColumns(added).filter(own)
+    if to_date or distinct_to_date:
+        totals = timed.groupBy(*keys, F.col("_own").alias("_bucket")).agg(
+            *[F.sum(f"_m_{name}").alias(f"_s_{name}") for name in to_date],
+            *[F.collect_set(column).alias(f"_s_{name}") for name, column in distinct_to_date.items()],
+        )
+        earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = totals.select(
+            *keys,
+            "_bucket",
+            *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_c_{name}") for name in to_date],
+            *[
+                F.array_distinct(F.flatten(F.collect_set(f"_s_{name}").over(earlier))).alias(f"_c_{name}")
+                for name in distinct_to_date
+            ],
+        )
+        framed = framed.join(carried, [*keys, "_bucket"]).withColumns(
+            {name: F.col(f"_c_{name}") + F.col(f"_i_{name}") for name in to_date}
+            | {
+                name: F.size(F.array_union(f"_c_{name}", f"_v_{name}")).cast("bigint")
+                for name in distinct_to_date
+            }
+        )
+    scratch = [c for c in framed.columns if c in ("_t", "_own", "_bucket") or c[:3] in ("_m_", "_i_", "_v_", "_c_")]
+    return framed.drop(*scratch)
 
 
-def sums_to_date(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    measures: dict[str, Column],
-    bucket_us: int = HOUR,
+def trailing_sums(
+    df: DataFrame, keys: list[str], ts: str, frames: dict[str, tuple[Column, int, int]], bucket_us: int = 0
 ) -> DataFrame:
-    """Add running sums over all rows of the same key with an equal or earlier ``ts``.
+    return framed_sums(df, keys, ts, trailing=frames, bucket_us=bucket_us)
 
-    Two levels: per (key, bucket) totals are summed up over the (few) buckets of a
-    key, and a window inside each bucket adds the remainder.
-    """
-    placed = df.withColumns({f"_m_{name}": measure.cast("bigint") for name, measure in measures.items()})
-    placed = placed.withColumn("_t", micros(ts)).withColumn(
-        "_bucket", F.floor(F.col("_t") / F.lit(bucket_us))
-    )
-    totals = placed.groupBy(*keys, "_bucket").agg(
-        *[F.sum(f"_m_{name}").alias(f"_s_{name}") for name in measures]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_s_{name}").over(earlier), F.lit(0)).alias(f"_c_{name}") for name in measures],
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy("_t")
-        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        placed.join(carried, [*keys, "_bucket"])
-        .withColumns(
-            {
-                name: F.col(f"_c_{name}") + F.coalesce(F.sum(f"_m_{name}").over(inside), F.lit(0))
-                for name in measures
-            }
-        )
-        .drop("_t", "_bucket", *[f"_m_{n}" for n in measures], *[f"_c_{n}" for n in measures])
-    )
+
+def sums_to_date(df: DataFrame, keys: list[str], ts: str, measures: dict[str, Column], bucket_us: int = HOUR) -> DataFrame:
+    return framed_sums(df, keys, ts, to_date=measures, bucket_us=bucket_us)
 
 
 def row_positions(

@@ -143,16 +143,17 @@ def redaction_proof(df: DataFrame, args: str, stored_hash: str) -> DataFrame:
     return df.withColumn("recomputed_hash", fresh).withColumn("matches", fresh == F.col(stored_hash))
 
 
-def build_chain(entries: DataFrame, block_rows: int = 64, id_column: str = "id", body: str = "body") -> DataFrame:
+def build_chain(entries: DataFrame, block_rows: int = 64, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chain entries inside fixed blocks of consecutive ids.
 
     One chain over a whole log is sequential by definition. Here ids are cut into
     blocks of ``block_rows``; each block is folded on its own from the genesis
     value, and :func:`seal_blocks` chains the block digests. A block never holds
-    more than ``block_rows`` rows, whatever the agent, server or day.
+    more than ``block_rows`` rows, whatever the agent, server or day. ``entries``
+    carry ``id`` and ``body``; ``keep`` names further columns to pass through.
     """
-    blocked = entries.withColumn("block", F.floor(F.col(id_column) / block_rows))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(id_column).alias("id"), F.col(body).alias("body"))))
+    blocked = entries.withColumn("block", F.floor(F.col("id") / block_rows))
+    ordered = F.array_sort(F.collect_list(F.struct("id", "body", *keep)))
     folded = blocked.groupBy("block").agg(ordered.alias("rows"))
     hashes = F.aggregate(
         "rows",
@@ -168,6 +169,7 @@ def build_chain(entries: DataFrame, block_rows: int = 64, id_column: str = "id",
             F.col("row.body").alias("body"),
             F.col("hashes")[F.col("at")].alias("prev_hash"),
             F.col("hashes")[F.col("at") + 1].alias("this_hash"),
+            *[F.col(f"row.{name}").alias(name) for name in keep],
         )
     )
 

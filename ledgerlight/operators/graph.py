@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.frames import DAY, trailing_sums
-from ledgerlight.operators.telemetry import money
+from ledgerlight.operators.telemetry import money, units
 from ledgerlight.session import cut_lineage
 
 # Structuring threshold and count, hop limit, edge and neighbour caps.
@@ -55,15 +55,15 @@ def account_summary(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     sides = transfers.select("ts", F.inline(F.array_compact(F.array(sent, got))))
     by_pair = sides.groupBy("account_id", "other").agg(
         F.count("*").alias("n"),
-        F.sum(F.col("sent").cast("decimal(18,2)")).alias("sent"),
-        F.sum(F.col("received").cast("decimal(18,2)")).alias("received"),
+        F.sum(units("sent")).alias("sent"),
+        F.sum(units("received")).alias("received"),
         F.min("ts").alias("first"),
         F.max("ts").alias("last"),
     )
     totals = by_pair.groupBy("account_id").agg(
         F.sum("n").alias("total_transactions"),
-        F.sum("sent").cast("double").alias("total_sent"),
-        F.sum("received").cast("double").alias("total_received"),
+        (F.sum("sent") / 100).alias("total_sent"),
+        (F.sum("received") / 100).alias("total_received"),
         F.count("*").alias("distinct_counterparties"),
         F.min("first").alias("first_activity"),
         F.max("last").alias("last_activity"),
@@ -106,8 +106,8 @@ def links(transfers: DataFrame, min_amount: float = 0.0) -> DataFrame:
     """Both directions of every edge, summed per pair once, so hubs shrink to distinct pairs."""
     kept = transfers.filter(F.greatest("amount_paid", "amount_received") >= min_amount)
     totals = kept.groupBy("from_id", "to_id").agg(
-        F.sum(F.col("amount_paid").cast("decimal(18,2)")).alias("paid"),
-        F.sum(F.col("amount_received").cast("decimal(18,2)")).alias("received"),
+        F.sum(units("amount_paid")).alias("paid"),
+        F.sum(units("amount_received")).alias("received"),
         F.count("*").alias("n"),
     )
     return totals.filter("from_id <> to_id").select(
@@ -137,7 +137,7 @@ def k_hop(transfers: DataFrame, seeds: DataFrame, hops: int, min_amount: float =
         reached = (
             frontier.join(step, frontier["account_id"] == step["a"])
             .groupBy("seed_id", F.col("b").alias("account_id"))
-            .agg(F.sum("amount").cast("double").alias("total_amount"), F.sum("n").alias("transaction_count"))
+            .agg((F.sum("amount") / 100).alias("total_amount"), F.sum("n").alias("transaction_count"))
             .join(visited, ["seed_id", "account_id"], "left_anti")
             .withColumn("hop", F.lit(hop))
         )
@@ -167,7 +167,7 @@ def structuring_check(
     # Days are summed before the join on the account, so a hub sends one row per
     # instant and not one per deposit.
     grouped = small.groupBy("to_id", "ts").agg(
-        F.count("*").alias("n"), F.sum(F.col("amount_received").cast("decimal(18,2)")).alias("amount")
+        F.count("*").alias("n"), F.sum(units("amount_received")).alias("amount")
     )
     inside = (F.col("ts") > F.col("max_ts") - F.make_dt_interval(F.lit(window_days))) & (F.col("ts") <= F.col("max_ts"))
     counted = (
@@ -175,7 +175,7 @@ def structuring_check(
         .groupBy("to_id", "max_ts")
         .agg(
             F.coalesce(F.sum(F.when(inside, F.col("n"))), F.lit(0)).alias("deposit_count"),
-            F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)).cast("double").alias("total_deposits"),
+            (F.coalesce(F.sum(F.when(inside, F.col("amount"))), F.lit(0)) / 100).alias("total_deposits"),
         )
     )
     flagged = (F.col("deposit_count") >= min_deposits) & (F.col("total_deposits") >= threshold)
@@ -216,7 +216,7 @@ def rolling_structuring(
 ) -> DataFrame:
     """The same rule evaluated at every instant an account receives something."""
     small = F.col("amount_received") < threshold
-    cents = F.round(F.col("amount_received") * 100).cast("bigint")
+    cents = units("amount_received")
     instants = transfers.groupBy(F.col("to_id").alias("account_id"), "ts").agg(
         F.count_if(small).alias("n"), F.sum(F.when(small, cents).otherwise(0)).alias("cents")
     )
@@ -391,7 +391,7 @@ def alert_subgraphs(alerts: DataFrame, transfers: DataFrame, max_edges: int = MA
     ranked = edges.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_edges + 1)
     return ranked.groupBy("seed_id").agg(
         F.count_if(F.col("place") <= max_edges).alias("subgraph_edges"),
-        F.sum(F.when(F.col("place") <= max_edges, F.col("total_amount").cast("decimal(18,2)"))).cast("double").alias("subgraph_amount"),
+        (F.sum(F.when(F.col("place") <= max_edges, units("total_amount"))) / 100).alias("subgraph_amount"),
         F.bool_or(F.col("place") > max_edges).alias("truncated"),
     )
 

@@ -150,21 +150,36 @@ def needs_response_check(calls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_sets(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Per distinct (server, tool): its rules in evaluation order, tags, and the default-deny flag.
+    """Per distinct (server, tool): its rules in evaluation order, and what follows from them alone.
 
-    The collected array is bounded by the number of rules, never by calls.
+    Everything that does not depend on the single call is worked out here, once per
+    pair. The collected array is bounded by the number of rules, never by calls.
     """
     rank = F.array_position(F.array(*[F.lit(e) for e in EFFECT_ORDER]), F.col("effect"))
     rule = F.struct(
         rank.alias("rank"), "position", "policy", "effect", "reason", "limit_calls", "window_seconds", "custom_name",
         "stage", "reviewer_group", "timeout_seconds", "session_limit_usd", "warn_at_ratio", "patterns", "tags",
     )
-    sets = match_rules(calls, rules).groupBy("server", "tool").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
     pairs = calls.select("server", "tool").distinct()
+    sets = match_rules(pairs, rules).groupBy("server", "tool").agg(F.array_sort(F.collect_list(rule)).alias("rules"))
     deny = default_deny_servers(rules).withColumn("default_deny", F.lit(True))
     joined = pairs.join(sets, ["server", "tool"], "left").join(deny, "server", "left")
-    return joined.withColumn("default_deny", F.coalesce("default_deny", F.lit(False))).withColumn(
-        "static_tags", static_tags(F.col("rules"))
+    fired = F.transform("rules", lambda r: F.struct(r["policy"].alias("policy"), r["effect"].alias("effect_type")))
+    patterns = F.flatten(F.transform(F.filter("rules", lambda r: r["effect"] == "pii_redaction"), lambda r: r["patterns"]))
+    response = F.filter("rules", lambda r: (r["effect"] == "custom") & (r["stage"] == "response"))
+    nothing = F.array().cast("array<string>")
+    return joined.withColumns(
+        {
+            "default_deny": F.coalesce("default_deny", F.lit(False)),
+            "static_tags": static_tags(F.col("rules")),
+            "policies_fired": F.coalesce(fired, F.array().cast("array<struct<policy:string,effect_type:string>>")),
+            "allow": first_rule("allowlist"),
+            "deny": first_rule("denylist"),
+            "hold": first_rule("hitl_gate"),
+            "cap": first_rule("cost_cap"),
+            "patterns": F.coalesce(F.array_distinct(patterns), nothing),
+            "response_rules": F.coalesce(F.transform(response, lambda r: r["custom_name"]), nothing),
+        }
     )
 
 
@@ -183,6 +198,7 @@ def first_rule(effect: str, extra: Callable[[Column], Column] | None = None) ->
 
 
 def attach_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
+    """Calls with the facts of their rule set; the join side has one row per (server, tool)."""
     return calls.join(rule_sets(calls, rules), ["server", "tool"], "left")
 
 
@@ -199,8 +215,7 @@ def decide_calls(
     """
     history = calls if log is None else log
     ruled = attach_rules(calls, rules)
-    allow = first_rule("allowlist")
-    deny = first_rule("denylist")
+    allow, deny, hold = F.col("allow"), F.col("deny"), F.col("hold")
     early = ruled.withColumn(
         "early",
         F.when(allow.isNotNull(), F.struct(F.lit("PASS").alias("outcome"), allow["policy"].alias("policy"), F.lit("allowlisted").alias("reason")))
@@ -214,7 +229,6 @@ def decide_calls(
     limited = rate_limited(undecided, rules)
     custom = custom_denials(undecided, rules, history)
     joined = early.join(limited, "id", "left").join(custom, "id", "left")
-    hold = first_rule("hitl_gate")
     cost = F.lit(None).cast("struct<policy:string,reason:string>")
     if costs is not None:
         joined = joined.join(cost_cap_state(undecided, costs), "id", "left")
@@ -233,7 +247,6 @@ def decide_calls(
     )
     held = F.col("decision.outcome") == "HOLD"
     keep = [c for c in ("ts", "agent_id", "session_id") if c in calls.columns]
-    fired = F.transform("rules", lambda r: F.struct(r["policy"].alias("policy"), r["effect"].alias("effect_type")))
     return joined.withColumn("decision", decided).select(
         "id",
         *keep,
@@ -244,7 +257,7 @@ def decide_calls(
         F.col("decision.reason").alias("reason"),
         F.when(held, hold["reviewer_group"]).alias("reviewer_group"),
         F.when(held, hold["timeout_seconds"]).alias("timeout_seconds"),
-        F.coalesce(fired, F.array().cast("array<struct<policy:string,effect_type:string>>")).alias("policies_fired"),
+        "policies_fired",
         F.col("static_tags").alias("tags"),
     )
 
@@ -263,7 +276,7 @@ def rate_limited(ruled: DataFrame, rules: DataFrame) -> DataFrame:
         return ruled.filter("false").select("id", F.lit(None).cast("string").alias("limit_policy"))
     denied = None
     open_calls = cut_lineage(
-        ruled.select("id", "ts", "agent_id", F.transform("rules", lambda r: r["policy"]).alias("policies"))
+        ruled.select("id", "ts", "agent_id", F.col("policies_fired.policy").alias("policies"))
     )
     for limit in limits:
         subject = open_calls.filter(F.array_contains("policies", limit["policy"]))
@@ -282,7 +295,7 @@ def custom_denials(ruled: DataFrame, rules: DataFrame, history: DataFrame) -> Da
     request = rules.filter("effect = 'custom' AND stage = 'request'").select("position", "policy", "custom_name").collect()
     found = None
     for rule in request:  # a handful of rule rows
-        subject = ruled.filter(F.exists("rules", lambda r: r["policy"] == rule["policy"]))
+        subject = ruled.filter(F.array_contains("policies_fired.policy", rule["policy"]))
         known = REQUEST_RULES.get(rule["custom_name"])
         if known is None:
             judged = subject.select("id", F.lit("policy_engine_error").alias("reason"))
@@ -304,8 +317,7 @@ def cost_cap_state(ruled: DataFrame, costs: DataFrame) -> DataFrame:
     """``ok``, ``warn`` or ``over`` per call: the session's spend so far against the cap."""
     from ledgerlight.functions.frames import sums_to_date
 
-    cap = first_rule("cost_cap")
-    capped = ruled.withColumn("cap", cap).filter("cap IS NOT NULL").select("id", "ts", "session_id", "cap")
+    capped = ruled.filter("cap IS NOT NULL").select("id", "ts", "session_id", "cap")
     spent = sums_to_date(
         capped.join(costs.select("id", "cost_usd"), "id", "left"),
         ["session_id"],

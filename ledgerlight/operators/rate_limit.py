@@ -2,7 +2,8 @@
 
 A window opens at the first call after the previous one expired, so where a
 window starts depends on all earlier calls of the key and no window frame
-expresses it. The work is split by (key, time chunk) rather than by key:
+expresses it. Keys with few calls are folded over their sorted call times. For
+busy keys the work is split by (key, time chunk) rather than by key:
 
 1. inside each chunk (a few windows long) every possible entry call is mapped to
    the call at which it leaves the chunk, with numpy pointer jumping;
@@ -27,6 +28,9 @@ from pyspark.sql import functions as F
 from ledgerlight.session import cut_lineage
 
 GROUP_TIMES = 1_000_000
+# Calls of one key that are folded in one array, and a chunk longer than all time.
+FOLD_TIMES = 10_000
+ONE_SPAN = 1 << 61
 _OWN, _BEFORE, _AFTER, _ENTRY = 0, 1, 2, 3
 
 
@@ -60,29 +64,58 @@ def _starts(times: np.ndarray, sure: np.ndarray, entry: int | None, width: int)
     return found
 
 
-def _fitting_windows(calls: DataFrame, keys: list[str], width: int, base: int = 16) -> int:
-    """Windows per chunk so that a group of distinct call times stays near a million."""
-    stretch = F.floor(F.unix_micros("ts") / (base * width)).alias("_stretch")
-    counts = calls.groupBy(*keys, stretch).agg(F.count("*").alias("n"))
-    busiest = counts.agg(F.max("n")).first()[0] or 1
-    return base * max(1, min(GROUP_TIMES // busiest, 1 << 20))
-
-
 def fixed_window_limit(
     calls: DataFrame,
     keys: list[str],
     limit: int,
     window_seconds: int,
     chunk_windows: int | None = None,
+    fold_times: int = FOLD_TIMES,
 ) -> DataFrame:
     """``calls(id, ts, keys…)`` with ``window_start``, ``call_in_window`` and ``allowed``.
 
-    Calls are taken in (ts, id) order; denied calls count too.
+    Calls are taken in (ts, id) order; denied calls count too. Keys are counted
+    first: those with at most ``fold_times`` calls are folded in one expression,
+    busier ones go through the chunks.
     """
     width = window_seconds * 1_000_000
+    sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n")).first()[0] or 0) <= fold_times:
+        return _numbered(calls, _folded_starts(calls, keys, width), keys, limit, width, ONE_SPAN)
+    busy = sizes.filter(F.col("_n") > fold_times).select(*keys)
+    quiet = calls.join(busy, keys, "left_anti")
+    crowded = calls.join(busy, keys, "left_semi")
     if chunk_windows is None:
-        chunk_windows = _fitting_windows(calls, keys, width)
+        chunk_windows = _fitting_windows(crowded, keys, width)
     span = chunk_windows * width
+    return _numbered(quiet, _folded_starts(quiet, keys, width), keys, limit, width, ONE_SPAN).unionByName(
+        _numbered(crowded, _chunked_starts(crowded, keys, width, span), keys, limit, width, span)
+    )
+
+
+def _folded_starts(calls: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Window starts of keys with few calls: a fold over each key's sorted call times."""
+    times = calls.groupBy(*keys).agg(F.array_sort(F.collect_set(F.unix_micros("ts"))).alias("times"))
+    nothing = F.expr("CAST(NULL AS struct<last: bigint, starts: array<bigint>>)")
+
+    def opened(acc, t):
+        first = F.struct(t.alias("last"), F.array(t).alias("starts"))
+        later = F.struct(t.alias("last"), F.array_append(acc["starts"], t).alias("starts"))
+        return F.when(acc.isNull(), first).when(t - acc["last"] >= width, later).otherwise(acc)
+
+    return times.select(*keys, F.explode(F.aggregate("times", nothing, opened)["starts"]).alias("_start"))
+
+
+def _fitting_windows(calls: DataFrame, keys: list[str], width: int, base: int = 16) -> int:
+    """Windows per chunk so that a group of distinct call times stays near a million."""
+    stretch = F.floor(F.unix_micros("ts") / (base * width)).alias("_stretch")
+    counts = calls.groupBy(*keys, stretch).agg(F.count("*").alias("n"))
+    busiest = counts.agg(F.max("n")).first()[0] or 1
+    return base * max(1, min(GROUP_TIMES // busiest, 1 << 10))
+
+
+def _chunked_starts(calls: DataFrame, keys: list[str], width: int, span: int) -> DataFrame:
+    """Window starts of busy keys, by (key, time chunk)."""
     timed = calls.withColumn("_t", F.unix_micros("ts")).withColumn("_chunk", F.floor(F.col("_t") / span))
     moments = timed.select(*keys, "_chunk", "_t").distinct()
     start, end = F.col("_chunk") * span, (F.col("_chunk") + 1) * span
@@ -142,6 +175,12 @@ def fixed_window_limit(
         return head.assign(_start=np.array(found, dtype="int64"))
 
     starts = walked.groupBy(*keys, "_chunk").applyInPandas(list_starts, f"{key_ddl}, _start bigint")
+    return starts
+
+
+def _numbered(calls: DataFrame, starts: DataFrame, keys: list[str], limit: int, width: int, span: int) -> DataFrame:
+    """Give every call the last start at or before it, and its place in that window."""
+    timed = calls.withColumn("_t", F.unix_micros("ts")).withColumn("_chunk", F.floor(F.col("_t") / span))
     starts = starts.withColumn("_chunk", F.floor(F.col("_start") / span))
     reach = F.when(F.col("_start") + width > (F.col("_chunk") + 1) * span, F.array(F.col("_chunk"), F.col("_chunk") + 1))
     openings = starts.withColumn("_chunk", F.explode(F.coalesce(reach, F.array("_chunk"))))

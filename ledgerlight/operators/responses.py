@@ -35,19 +35,14 @@ def evaluate_responses(responses: DataFrame, rules: DataFrame) -> DataFrame:
     rule that applies to the call names it.
     """
     ruled = attach_rules(responses, rules)
-    named = F.array_distinct(
-        F.flatten(F.transform(F.filter("rules", lambda r: r["effect"] == "pii_redaction"), lambda r: r["patterns"]))
-    )
     redacted = F.col("payload")
     # Every rule that uses several patterns lists them in table order.
     for name in PII_PATTERNS:
-        hit = F.coalesce(F.array_contains(named, name), F.lit(False))
+        hit = F.coalesce(F.array_contains("patterns", name), F.lit(False))
         redacted = F.when(hit, redact_text(redacted, [name])).otherwise(redacted)
     tags = _tags()
     for name, rule in RESPONSE_RULES.items():
-        applies = F.exists(
-            "rules", lambda r: (r["effect"] == "custom") & (r["stage"] == "response") & (r["custom_name"] == name)
-        )
+        applies = F.array_contains("response_rules", name)
         tags = F.concat(tags, F.when(F.coalesce(applies, F.lit(False)), rule(responses)).otherwise(_tags()))
     return ruled.select(
         *[c for c in responses.columns if c != "payload"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.frames import DAY, HOUR, MINUTE, last_rows, row_positions, sums_to_date, trailing_sums
+from ledgerlight.functions.frames import DAY, MINUTE, framed_sums, last_rows, row_positions, sums_to_date, trailing_sums
 from ledgerlight.operators.audit import DECISION_STATUSES
 
 # Thresholds of the anomaly and incident rules and of the routing.
@@ -55,26 +55,20 @@ def recent_denials(rows: DataFrame, window_us: int = 15 * MINUTE, name: str = "d
     return trailing_sums(rows, ["agent_id"], "ts", {name: (denied, -window_us, 0)})
 
 
-def first_uses(rows: DataFrame, key: str = "session_id") -> DataFrame:
-    """Flag the first row of each (key, tool); one mergeable ``min`` and a join on the row id."""
-    first = rows.groupBy(key, "tool").agg(F.min(F.struct("ts", "id")).alias("f")).select(F.col("f.id").alias("id"), F.lit(1).alias("first_use"))
-    return rows.join(first, "id", "left").withColumn("first_use", F.coalesce("first_use", F.lit(0)))
-
-
 def session_features(rows: DataFrame, minute_us: int = MINUTE) -> DataFrame:
     """Per row, over its session so far: calls in the last minute, calls, tools, holds and denials."""
-    counted = sums_to_date(
-        first_uses(rows),
+    return framed_sums(
+        rows,
         ["session_id"],
         "ts",
-        {
+        trailing={"calls_per_minute": (F.lit(1), -minute_us, 0)},
+        to_date={
             "total_calls": F.lit(1),
-            "unique_tools_count": F.col("first_use"),
             "hitl_ticket_count": F.when(F.col("status") == "HELD", 1).otherwise(0),
             "denial_count": F.when(F.col("status") == "DENIED", 1).otherwise(0),
         },
-    ).drop("first_use")
-    return trailing_sums(counted, ["session_id"], "ts", {"calls_per_minute": (F.lit(1), -minute_us, 0)})
+        distinct_to_date={"unique_tools_count": "tool"},
+    )
 
 
 def session_risk() -> Column:
