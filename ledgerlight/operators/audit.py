@@ -76,8 +76,8 @@ def archive_tiers(calls: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def _escape_char(char: Column) -> Column:
-    point = F.ascii(char)
+def _escape_piece(piece: Column) -> Column:
+    point = F.ascii(piece)
 
     def unit(value: Column) -> Column:
         return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(value.cast("bigint")), 4, "0")))
@@ -86,12 +86,13 @@ def _escape_char(char: Column) -> Column:
     pair = F.concat(
         unit(F.lit(0xD800) + F.shiftright(above, 10)), unit(F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF)))
     )
-    return F.when((point >= 32) & (point <= 126), char).when(point < 0x10000, unit(point)).otherwise(pair)
+    return F.when((point >= 32) & (point <= 126), piece).when(point < 0x10000, unit(point)).otherwise(pair)
 
 
 def ascii_only(text: Column) -> Column:
     """Write every character outside printable ASCII as ``\\uXXXX`` (UTF-16 units)."""
-    escaped = F.concat_ws("", F.transform(F.split(text, "(?!^)", -1), _escape_char))
+    pieces = F.regexp_extract_all(text, F.lit("[ -~]+|[^ -~]"), F.lit(0))  # printable runs stay whole
+    escaped = F.concat_ws("", F.transform(pieces, _escape_piece))
     return F.when(text.rlike("[^ -~]"), escaped).otherwise(text)
 
 

@@ -87,7 +87,8 @@ def fixed_window_limit(
     crowded = calls.join(busy, keys, "left_semi")
     if chunk_windows is None:
         chunk_windows = _fitting_windows(crowded, keys, width)
-    span = chunk_windows * width
+    # A chunk must reach past the two windows that its neighbours look into.
+    span = max(2, chunk_windows) * width
     return _numbered(quiet, _folded_starts(quiet, keys, width), keys, limit, width, ONE_SPAN).unionByName(
         _numbered(crowded, _chunked_starts(crowded, keys, width, span), keys, limit, width, span)
     )
