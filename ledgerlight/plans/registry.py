@@ -18,6 +18,7 @@ from ledgerlight.operators import audit as au
 from ledgerlight.operators import clusters, graph, policy, quality, rate_limit, responses, risk, scenarios, screening, shape
 from ledgerlight.operators import telemetry as te
 from ledgerlight.plans.packs import extended_pack, rules_table
+from ledgerlight.session import cut_lineage
 from ledgerlight.sources import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -360,7 +361,7 @@ def chain_seal(s, d):
 
 def _tampered(s, d):
     """The built chain with one agent's statuses edited and one agent's links cut afterwards."""
-    chained = au.build_chain(_entries(s, d))
+    chained = cut_lineage(au.build_chain(_entries(s, d)))
     edited = F.regexp_replace("body", '"status":"COMPLETED"', '"status":"DENIED"')
     return chained.withColumns(
         {
@@ -379,7 +380,8 @@ def _checks(rows):
 
 @query
 def chain_verify(s, d):
-    rows = au.build_chain(_entries(s, d), keep=("timestamp",)).withColumnRenamed("timestamp", "ts")
+    # A chained log is a stored table; verification reads its hashes twice.
+    rows = cut_lineage(au.build_chain(_entries(s, d), keep=("timestamp",)).withColumnRenamed("timestamp", "ts"))
     return au.verify_chain(_checks(rows), since="2024-01-15").select("valid", "checked", "total", "in_scope")
 
 
