@@ -126,20 +126,38 @@ def stream_rate_limit(calls: DataFrame, limit: int, window_seconds: int) -> Data
     )
 
 
-class SessionRisk(StatefulProcessor):
-    """Running counts per session, dropped after a day without calls."""
+class _Expiring(StatefulProcessor):
+    """State that an event-time timer removes: the newest timer of a key wins."""
+
+    def expire_at(self, micros: int) -> None:
+        due = micros // 1000 + 1
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+class SessionRisk(_Expiring):
+    """Running counts per session, dropped a day of event time after the last call."""
 
     def __init__(self, minute_us: int, ttl_ms: int):
         self.minute, self.ttl = minute_us, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         schema = "calls bigint, held bigint, denied bigint, tools array<string>, recent array<bigint>"
-        self.seen = handle.getValueState("seen", schema, self.ttl)
+        self.state = handle.getValueState("seen", schema)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         calls, held, denied, tools, recent = 0, 0, 0, [], []
-        if self.seen.exists():
-            calls, held, denied, tools, recent = self.seen.get()
+        if self.state.exists():
+            calls, held, denied, tools, recent = self.state.get()
             tools, recent = list(tools), list(recent)
         pdf = _batch(rows)
         out = []
@@ -152,33 +170,35 @@ class SessionRisk(StatefulProcessor):
             recent = [t for t in recent if t >= now - self.minute] + [now]
             risk = 0.05 * len(recent) + 0.3 * min(denied, 3) + 0.2 * min(held, 3)
             out.append((row.id, key[0], calls, len(tools), len(recent), round(max(0.0, min(1.0, risk)), 4)))
-        self.seen.update((calls, held, denied, tools, recent))
+        self.state.update((calls, held, denied, tools, recent))
+        self.expire_at(recent[-1] + self.ttl * 1000)
         yield pd.DataFrame(out, columns=["id", "session_id", "total_calls", "tools", "calls_per_minute", "risk_score"])
 
-    def close(self) -> None:
-        pass
 
-
-def stream_session_risk(audit: DataFrame, minute_us: int = 60_000_000, ttl_ms: int = 86_400_000) -> DataFrame:
-    return audit.select("id", "ts", "session_id", "tool", "status").groupBy("session_id").transformWithStateInPandas(
+def stream_session_risk(
+    audit: DataFrame, minute_us: int = 60_000_000, ttl_ms: int = 86_400_000, watermark: str = WATERMARK
+) -> DataFrame:
+    rows = audit.select("id", "ts", "session_id", "tool", "status").withWatermark("ts", watermark)
+    return rows.groupBy("session_id").transformWithStateInPandas(
         SessionRisk(minute_us, ttl_ms),
         "id bigint, session_id string, total_calls bigint, tools bigint, calls_per_minute bigint, risk_score double",
         "Append",
-        "ProcessingTime",
+        "EventTime",
     )
 
 
-class SessionFlag(StatefulProcessor):
+class SessionFlag(_Expiring):
     """A flagged response marks its session for a day; later calls of the session see the mark."""
 
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.flag = handle.getValueState("flag", "until bigint", self.ttl)
+        self.handle = handle
+        self.state = handle.getValueState("flag", "until bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.flag.get()[0] if self.flag.exists() else None
+        until = self.state.get()[0] if self.state.exists() else None
         pdf = _batch(rows)
         marked = []
         for flagged, now in zip(pdf["flagged"], _micros(pdf["ts"]), strict=True):
@@ -186,16 +206,15 @@ class SessionFlag(StatefulProcessor):
             if flagged:
                 until = now + self.ttl * 1000
         if until is not None:
-            self.flag.update((until,))
+            self.state.update((until,))
+            self.expire_at(until)
         yield pd.DataFrame({"id": pdf["id"].to_numpy(), "session_id": [key[0]] * len(pdf), "session_flagged": marked})
 
-    def close(self) -> None:
-        pass
-
 
-def stream_session_flag(responses: DataFrame, ttl_ms: int = 86_400_000) -> DataFrame:
-    return responses.select("id", "ts", "session_id", "flagged").groupBy("session_id").transformWithStateInPandas(
-        SessionFlag(ttl_ms), "id bigint, session_id string, session_flagged boolean", "Append", "ProcessingTime"
+def stream_session_flag(responses: DataFrame, ttl_ms: int = 86_400_000, watermark: str = WATERMARK) -> DataFrame:
+    rows = responses.select("id", "ts", "session_id", "flagged").withWatermark("ts", watermark)
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        SessionFlag(ttl_ms), "id bigint, session_id string, session_flagged boolean", "Append", "EventTime"
     )
 
 
