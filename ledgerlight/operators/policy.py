@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.operators.rate_limit import fixed_window_limit
+from ledgerlight.operators.rate_limit import busiest_key, fixed_window_limit
 from ledgerlight.session import cut_lineage
 
 # Evaluation order of effects.
@@ -197,9 +197,9 @@ def first_rule(effect: str, extra: Callable[[Column], Column] | None = None) ->
     return F.try_element_at(F.filter("rules", wanted), F.lit(1))
 
 
-def attach_rules(calls: DataFrame, rules: DataFrame) -> DataFrame:
+def attach_rules(calls: DataFrame, rules: DataFrame, sets: DataFrame | None = None) -> DataFrame:
     """Calls with the facts of their rule set; the join side has one row per (server, tool)."""
-    return calls.join(rule_sets(calls, rules), ["server", "tool"], "left")
+    return calls.join(rule_sets(calls, rules) if sets is None else sets, ["server", "tool"], "left")
 
 
 def decide_calls(
@@ -214,7 +214,9 @@ def decide_calls(
     default). ``costs(id, cost_usd)`` switches the session cost cap on.
     """
     history = calls if log is None else log
-    ruled = attach_rules(calls, rules)
+    # The rule sets are a few rows and are used by every stage below, so the pass
+    # over the calls that finds them is made once.
+    ruled = attach_rules(calls, rules, cut_lineage(rule_sets(calls, rules)))
     allow, deny, hold = F.col("allow"), F.col("deny"), F.col("hold")
     early = ruled.withColumn(
         "early",
@@ -274,15 +276,20 @@ def rate_limited(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     )  # a handful of rule rows, never calls
     if not limits:
         return ruled.filter("false").select("id", F.lit(None).cast("string").alias("limit_policy"))
-    denied = None
-    open_calls = cut_lineage(
-        ruled.select("id", "ts", "agent_id", F.col("policies_fired.policy").alias("policies"))
-    )
+    denied = ruled.filter("false").select("id", F.lit(None).cast("string").alias("limit_policy"))
+    policies = F.col("policies_fired.policy")
+    subject_to_any = F.arrays_overlap(policies, F.array(*[F.lit(r["policy"]) for r in limits]))
+    open_calls = cut_lineage(ruled.filter(subject_to_any).select("id", "ts", "agent_id", policies.alias("policies")))
     for limit in limits:
         subject = open_calls.filter(F.array_contains("policies", limit["policy"]))
-        judged = fixed_window_limit(subject.select("id", "ts", "agent_id"), ["agent_id"], limit["limit_calls"], limit["window_seconds"])
+        busiest = busiest_key(subject, ["agent_id"])
+        if busiest <= limit["limit_calls"]:
+            continue  # no agent made more calls in all than one window allows
+        judged = fixed_window_limit(
+            subject.select("id", "ts", "agent_id"), ["agent_id"], limit["limit_calls"], limit["window_seconds"], busiest=busiest
+        )
         over = cut_lineage(judged.filter(~F.col("allowed")).select("id", F.lit(limit["policy"]).alias("limit_policy")))
-        denied = over if denied is None else denied.unionByName(over)
+        denied = denied.unionByName(over)
         open_calls = open_calls.join(over.select("id"), "id", "left_anti")
     return denied
 

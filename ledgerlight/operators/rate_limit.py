@@ -64,6 +64,11 @@ def _starts(times: np.ndarray, sure: np.ndarray, entry: int | None, width: int)
     return found
 
 
+def busiest_key(calls: DataFrame, keys: list[str]) -> int:
+    """Calls of the key that has most of them."""
+    return calls.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def fixed_window_limit(
     calls: DataFrame,
     keys: list[str],
@@ -71,17 +76,20 @@ def fixed_window_limit(
     window_seconds: int,
     chunk_windows: int | None = None,
     fold_times: int = FOLD_TIMES,
+    busiest: int | None = None,
 ) -> DataFrame:
     """``calls(id, ts, keys…)`` with ``window_start``, ``call_in_window`` and ``allowed``.
 
     Calls are taken in (ts, id) order; denied calls count too. Keys are counted
     first: those with at most ``fold_times`` calls are folded in one expression,
-    busier ones go through the chunks.
+    busier ones go through the chunks (``busiest`` saves the count when it is known).
     """
     width = window_seconds * 1_000_000
-    sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n"))
-    if (sizes.agg(F.max("_n")).first()[0] or 0) <= fold_times:
+    if busiest is None:
+        busiest = busiest_key(calls, keys)
+    if busiest <= fold_times:
         return _numbered(calls, _folded_starts(calls, keys, width), keys, limit, width, ONE_SPAN)
+    sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n"))
     busy = sizes.filter(F.col("_n") > fold_times).select(*keys)
     quiet = calls.join(busy, keys, "left_anti")
     crowded = calls.join(busy, keys, "left_semi")
