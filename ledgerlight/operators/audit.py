@@ -229,6 +229,7 @@ def verify_chain(checks: DataFrame, since: str | None = None) -> DataFrame:
     a sequential walk. Two mergeable aggregates, no global sort.
     """
     bad = ~(F.col("link_ok") & F.col("content_ok"))
+    # The two texts.
     detail = F.when(
         ~F.col("link_ok"),
         F.concat(

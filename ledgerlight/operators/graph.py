@@ -15,7 +15,7 @@ MIN_DEPOSITS = 3
 MAX_HOPS = 3
 MAX_EDGES = 500
 MAX_NEIGHBOURS = 25
-# Disposition for each risk level, and the default query dates of an investigation.
+# Disposition for each risk level.
 DISPOSITION = {"high": "escalate", "medium": "monitor", "low": "cleared"}
 
 
@@ -191,6 +191,7 @@ def structuring_check(
 
 
 def structuring_text(max_ts: Column, flagged: Column, window_days: int, threshold: float, min_deposits: int) -> Column:
+    # The three texts.
     count = F.col("deposit_count").cast("string")
     total = F.format_number("total_deposits", 2)
     return (
@@ -415,6 +416,7 @@ def enrich(discovered: DataFrame, transfers: DataFrame, entries: DataFrame, wind
 
 def assess(enriched: DataFrame) -> DataFrame:
     """Risk level and findings: a match is high, structuring medium unless already high."""
+    # The finding texts.
     match = F.coalesce("is_match", F.lit(False))
     structuring = F.coalesce("flagged", F.lit(False))
     found = F.array_compact(
@@ -450,6 +452,7 @@ def recommend(assessed: DataFrame, recorded_at: str) -> DataFrame:
 
 
 def report(recommended: DataFrame) -> DataFrame:
+    # The report texts.
     summary = F.concat(
         F.lit("Account "), "account_id", F.lit(": "), "risk_level", F.lit(" risk, recommended disposition '"), "disposition", F.lit("'."),
     )

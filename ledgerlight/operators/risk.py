@@ -182,6 +182,7 @@ def incidents(events: DataFrame, all_paths: bool = False, single_sanctions_denia
     )
     if not all_paths:
         seen = seen.filter(F.col("path").endswith("escalate"))
+    # The fallback text.
     text = F.concat(
         F.lit("Incident promoted under rule '"), F.col("promotion_rule"), F.lit("' for agent "), F.col("agent_id"),
         F.lit(" on "), F.col("server"), F.lit("/"), F.col("tool"), F.lit("; manual review required."),
@@ -237,6 +238,7 @@ def evidence_packets(audit: DataFrame, minute_us: int = MINUTE) -> DataFrame:
         bucket_us=DAY,
     ).filter("status = 'HELD'").select("id", "prior_approved", "prior_denied")
     held = risk_snapshots(audit, minute_us).filter("status = 'HELD'")
+    # The fallback text.
     text = F.concat(
         F.lit("HITL hold on "), F.col("tool"), F.lit(" ("), F.col("server"), F.lit(") for agent "), F.col("agent_id"),
         F.lit(", fired policy '"), F.col("fired_policy"),

@@ -132,3 +132,11 @@ def test_exact_percentiles(spark):
     df = spark.range(1, 101).withColumn("g", F.col("id") % 2)
     got = {r.g: (r.p50, r.p99) for r in telemetry.value_percentiles(df, "id", {"p50": 0.5, "p99": 0.99}, ["g"]).collect()}
     assert got == {0: (50, 100), 1: (49, 99)}
+
+
+def test_in_windows_half_open_and_overlapping(spark):
+    at = lambda h: START + dt.timedelta(hours=h)
+    rows = spark.createDataFrame([(i, at(i)) for i in range(8)], "id BIGINT, ts TIMESTAMP")
+    windows = spark.createDataFrame([(at(1), at(3)), (at(2), at(4)), (at(6), at(6)), (at(6), at(7))], "start TIMESTAMP, end TIMESTAMP")
+    got = {r.id for r in shape.in_windows(rows, windows).collect() if r.in_window}
+    assert got == {1, 2, 3, 6}
