@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import chat, line_runs, mixing, sharding, simhash
+from ledgerlight.llm import bpe, chat, line_runs, mixing, pstable, sharding, simhash
 from ledgerlight.llm.common import table
 
 SHARDS = 40
 
 
+def vocabulary() -> str:
+    """The public vocabulary file that the contract names."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_pstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """n_near: for the searched documents (doc_id divisible by 20) the documents within 3 bits, itself included."""
     made = simhash.edited_prints(table(spark, sf_dir, "documents"))
@@ -44,8 +55,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_at").repartitionByRange("first_at", "doc_id").sortWithinPartitions("first_at", "doc_id")
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspective_segments(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_fingerprints, op4_line_runs, op5_mixing, op9_perspectives)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op7_bpe, op9_perspectives)}
