@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, line_runs, mixing, pstable, sharding, simhash
+from ledgerlight.llm import bpe, chat, line_runs, mixing, pstable, quality, sharding, shingle_join, simhash
 from ledgerlight.llm.common import table
 
 SHARDS = 40
@@ -55,6 +55,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "first_at").repartitionByRange("first_at", "doc_id").sortWithinPartitions("first_at", "doc_id")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, model).select(
+        "doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -63,4 +71,8 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspective_segments(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op7_bpe, op9_perspectives)}
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_documents(table(spark, sf_dir, "documents")).drop("node")
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op6_quality, op7_bpe, op9_perspectives, op10_shingle_join)}
