@@ -8,7 +8,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,8 +132,9 @@ def context_vectors(sample: DataFrame, known: list[tuple[bytes, bytes]]) -> dict
     def run(batches):
         sums = np.zeros((len(known) + 1, DIMENSIONS), dtype=np.int64)
         padded = np.vstack([index, np.zeros((1, DIMENSIONS), dtype=np.int64)])
-        for pdf in batches:
-            for text in pdf["text"]:
+        for batch in batches:
+            for text in batch.column(0):
+                text = text.as_py()
                 ids = np.array([[spot.get((kind, u), len(known)) for u in these] for kind, these in zip((b"w", b"s", b"m"), units(text))], dtype=np.int64)
                 if ids.shape[1] == 0:
                     continue
@@ -144,9 +145,9 @@ def context_vectors(sample: DataFrame, known: list[tuple[bytes, bytes]]) -> dict
                 for row in ids:
                     np.add.at(sums, row, around)
         used = np.flatnonzero(sums[:-1].any(axis=1))
-        yield pd.DataFrame({"at": used, "sums": list(sums[used])})
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["at", "sums"])
 
-    rows = sample.select("text").mapInPandas(run, "at long, sums array<long>")
+    rows = sample.select("text").mapInArrow(run, "at long, sums array<long>")
     added = rows.select("at", F.posexplode("sums").alias("d", "x")).groupBy("at", "d").agg(F.sum("x").alias("x"))
     total = np.zeros((len(known), DIMENSIONS))
     for r in added.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).collect():  # a row per unit
