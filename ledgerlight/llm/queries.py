@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, line_runs, mixing, pstable, quality, sharding, shingle_join, simhash
+from ledgerlight.llm import bpe, chat, line_runs, mixing, pii, pstable, quality, sharding, shingle_join, simhash
 from ledgerlight.llm.common import table
 
 SHARDS = 40
@@ -67,6 +67,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
 def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspective_segments(table(spark, sf_dir, "conversations"))
 
@@ -75,4 +80,4 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_documents(table(spark, sf_dir, "documents")).drop("node")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op6_quality, op7_bpe, op9_perspectives, op10_shingle_join)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op6_quality, op7_bpe, op8_pii, op9_perspectives, op10_shingle_join)}

@@ -88,12 +88,12 @@ def edited_prints(docs: DataFrame, rows_per_bucket: int = 1000, most_buckets: in
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     part = order_bucket(F.col("doc_id"), order_bounds(docs.select("doc_id"), "doc_id", rows_per_bucket, most_buckets))
     rows = rows.withColumn("part", part)
-    # the first document of each range: the least text among those of the least doc_id
+    # the first document of each range: the least text among those of the least doc_id; a row per range, so it is broadcast
     least = rows.groupBy("part").agg(F.min("doc_id").alias("least"))
     line = Window.orderBy("part")
     whole = Window.partitionBy()
     least = least.withColumn("before", F.coalesce(F.lag("part").over(line), F.max("part").over(whole)))
-    heads = rows.join(least.withColumnRenamed("part", "home"), (F.col("part") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    heads = rows.join(F.broadcast(least.withColumnRenamed("part", "home")), (F.col("part") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("least")))
     heads = heads.groupBy(F.col("before").alias("part"), "doc_id").agg(F.min("text").alias("text"))
     both = rows.select("doc_id", "text", "part", F.lit(0).alias("extra")).union(heads.select("doc_id", "text", "part", F.lit(1)))
     order = Window.partitionBy("part").orderBy("extra", F.col("doc_id").asc_nulls_last(), "text")
