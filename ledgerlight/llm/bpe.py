@@ -8,6 +8,7 @@ import unicodedata
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlight.llm.arrow import map_rows
 
@@ -159,14 +160,15 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     not read. ``path`` is the vocabulary file, which every worker opens.
     """
     types = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["ids array<int>, decoded string"] if texts else [])])
+    kept = [f"k{i}" for i in range(len(keep))]  # names of their own, whatever the columns are called
+    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if texts else [])]
 
     def make():
         coder = codec(path)
 
         def work(columns: dict[str, list]) -> dict[str, list]:
-            out: dict[str, list] = {c: columns[c] for c in keep} | {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
-            for text in columns["__text"]:
+            out: dict[str, list] = {k: columns[k] for k in kept} | {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
+            for text in columns["text"]:
                 parts = coder.parts(text or "")
                 ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
                 out["n_tokens"].append(sum([p[0] for p in parts]))
@@ -179,4 +181,6 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
         return work
 
-    return map_rows(docs.select(*keep, docs["text"].alias("__text")), make, schema)
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep)], F.col("text").alias("text"))
+    done = map_rows(rows, make, ", ".join([*(f"{k} {types[c]}" for k, c in zip(kept, keep)), *made]))
+    return done.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *[m.split()[0] for m in made])

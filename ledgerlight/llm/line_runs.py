@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import hex_bucket, running, same, text_mark, word_count
+from ledgerlight.llm.common import hex_bucket, running, text_mark, word_count
 from ledgerlight.session import cut_lineage
 
 DOC = ["doc_id", "mark"]
@@ -114,33 +114,26 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     return later.groupBy(*DOC, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
-def drop_repeated_runs(docs: DataFrame, min_words: int = 50, keep_empty: bool = True) -> DataFrame:
-    """``docs`` with the repeated runs cut from ``text``, and n_lines, n_dropped as columns ``__lines``, ``__dropped``.
+def drop_repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(row, text, n_lines, n_dropped): each row of ``docs`` as a struct, and its text without the repeated runs.
 
-    All other columns stay as they are, but n_chars, where it is there, is counted anew for changed
-    texts. A text whose lines all go becomes empty, or leaves the table if ``keep_empty`` is false. Null
-    and empty texts stay. Rows equal in doc_id and text are one document and are cut alike.
+    A text whose lines all go becomes empty. Null and empty texts stay as they are. Rows equal in doc_id and text are
+    one document and are cut alike. Columns of any name may be in ``docs``; only doc_id and text are read.
     """
-    names = docs.columns
     runs = repeated_runs(docs.select("doc_id", "text").where("text IS NOT NULL"), min_words)
-    spans = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("__gone"))
+    spans = runs.groupBy(*DOC).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("gone"))
     # a mask with one byte per line up to the last cut: 1 where the line goes
     gaps = F.transform("spans", lambda s, i: F.concat(
         F.repeat(F.lit("0"), s["start"] - F.when(i > 0, F.element_at("spans", F.greatest(i, F.lit(1)))["stop"]).otherwise(0)),
         F.repeat(F.lit("1"), s["stop"] - s["start"]),
     ))
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark"), F.encode(F.array_join(gaps, ""), "utf-8").alias("__mask"), "__gone")
-    keyed = docs.withColumn("__key", text_mark(F.col("text")))
-    joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["__id"]) & (keyed["__key"] == spans["__mark"]), "left")
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda line, i: F.coalesce(F.substring(F.col("__mask"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))), "\n")
-    hit = F.col("__mask").isNotNull()
-    joined = joined.withColumn("__lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)))
-    joined = joined.withColumn("__dropped", F.coalesce("__gone", F.lit(0)))
-    joined = joined.withColumn("__text", F.when(hit, kept).otherwise(F.col("text")))
-    if not keep_empty:
-        joined = joined.where(~hit | (F.col("__dropped") < F.col("__lines")))
-    fresh = {"text": F.col("__text")}
-    if "n_chars" in names:
-        fresh["n_chars"] = F.when(hit, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.select(*[fresh.get(n, F.col(f"`{n}`")).alias(n) for n in names], "__lines", "__dropped")
+    spans = spans.select(F.col("doc_id").alias("id"), "mark", F.encode(F.array_join(gaps, ""), "utf-8").alias("mask"), "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), text_mark(F.col("text")).alias("key"))
+    joined = rows.join(spans, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("mark")), "left")
+    lines = F.split("row.text", "\n")
+    kept = F.array_join(F.filter(lines, lambda line, i: F.coalesce(F.substring(F.col("mask"), i + 1, F.lit(1)) != F.lit(b"1"), F.lit(True))), "\n")
+    text = F.when(F.col("mask").isNotNull(), kept).otherwise(F.col("row.text"))
+    return joined.select(
+        "row", text.alias("text"), F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce("gone", F.lit(0)).cast("long").alias("n_dropped"),
+    )

@@ -213,22 +213,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = UN
     return Model(vectors, *train(pooled, good, calibrate))
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score: the chance that a document is good, of its whole text alone.
+def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` and ``name``: the chance that a document is good, of its whole text alone.
 
     A null or empty text has the score of a text without words. Equal texts have equal scores. Other columns are not read.
     """
     types = dict(docs.dtypes)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))  # UNITS vectors at most
+    kept = [f"k{i}" for i in range(len(keep))]  # names of their own, whatever the columns are called
 
     def make():
         known = Model(**sent.value)
 
         def work(columns):
-            scores = known.score(np.array([pool(t, known.vectors) for t in columns["__text"]]))
-            return {c: columns[c] for c in keep} | {"score": scores.tolist()}
+            scores = known.score(np.array([pool(t, known.vectors) for t in columns["text"]]))
+            return {k: columns[k] for k in kept} | {"score": scores.tolist()}
 
         return work
 
-    kept = ", ".join(f"`{c}` {types[c]}" for c in keep)
-    return map_rows(docs.select(*keep, docs["text"].alias("__text")), make, f"{kept}, score double")
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep)], F.col("text").alias("text"))
+    made = map_rows(rows, make, ", ".join([*(f"{k} {types[c]}" for k, c in zip(kept, keep)), "score double"]))
+    return made.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], F.col("score").alias(name))

@@ -44,10 +44,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_runs.drop_repeated_runs(table(spark, sf_dir, "documents"))
-    return done.select(
-        "doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
-    )
+    return done.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +74,7 @@ def op9_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.near_documents(table(spark, sf_dir, "documents")).drop("node")
+    return shingle_join.near_documents(table(spark, sf_dir, "documents")).drop("node", "group", "mark")
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op6_quality, op7_bpe, op8_pii, op9_perspectives, op10_shingle_join)}

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import components
+from ledgerlight.llm.common import components, text_mark
 from ledgerlight.session import cut_lineage
 
 WORDS = 5
@@ -69,34 +69,35 @@ def bitmap(found: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def batches_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple[list, list]]:
+def slices_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches, each with its column ``text`` as Python strings."""
     for batch in rows:
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            yield part.column(0).to_pylist(), part.column(1).to_pylist()
+            yield part, part.column("text").to_pylist()
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, n, node, bands), and per frequent shingle of a chunk (token, count) with the others null.
+    """Per document (doc_id, mark, n, node, bands), and per frequent shingle of a chunk (token, count) with the others null.
 
     A chunk of the task's documents gives the shingles that it
     holds twice or more: those of passages that many documents share come out of nearly every chunk.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
 
     def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(parts), return_counts=True)
         token, count = token[count > 1].view(np.int64), count[count > 1]
-        none = [pa.nulls(len(token), f.type) for f in list(schema)[:4]]
+        none = [pa.nulls(len(token), f.type) for f in list(schema)[:5]]
         return pa.RecordBatch.from_arrays([*none, pa.array(token, pa.int64()), pa.array(count, pa.int64())], schema=schema)
 
     def run(rows):
         parts, held = [], 0
-        for ids, texts in batches_of(rows):
+        for part, texts in slices_of(rows):
             sets = [shingles(t) for t in texts]
-            nothing = pa.nulls(len(ids), pa.int64())
+            nothing = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) for s in sets], pa.int64()),
                 pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())), nothing, nothing,
             ], schema=schema)
@@ -109,7 +110,8 @@ def digests(docs: DataFrame) -> DataFrame:
         if held:
             yield frequent(parts)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, bands array<long>, token long, count long")
+    rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
+    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bands array<long>, token long, count long")
 
 
 def prefix_tokens(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
@@ -123,7 +125,7 @@ def prefix_tokens(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
     def run(rows):
         known, place = sent.value
-        for _, texts in batches_of(rows):
+        for _, texts in slices_of(rows):
             names, out = [], []
             for text in texts:
                 found = shingles(text)
@@ -146,7 +148,7 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     """(node, n, bits, raw): size, bitmap and the sorted hashes as bytes."""
 
     def run(rows):
-        for _, texts in batches_of(rows):
+        for _, texts in slices_of(rows):
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -240,7 +242,7 @@ def candidate_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) ->
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, mark (the digest of its set).
+    """One row per document: doc_id, n_shingles, component_id, node, group, mark.
 
     Two documents link when their sets of 5-word shingles have a Jaccard likeness of 0.8 or more; component_id is the least doc_id
     reachable by links. The join is exact up to equal 64-bit hashes of different shingles:
@@ -253,7 +255,8 @@ def near_documents(docs: DataFrame) -> DataFrame:
 
     A document without words or text has n_shingles 0, links with nothing and is its own component. A null doc_id
     takes part, and its component_id is null only if no document with an id is reachable. Rows under one doc_id are documents of
-    their own. Repeated rows come out as often as they went in. Other columns are not read. ``node`` names the set.
+    their own. Repeated rows come out as often as they went in. Other columns are not read. ``node`` names the set,
+    ``group`` the component (null without words), ``mark`` is the hash of the text.
     """
     slim = docs.select("doc_id", "text")
     made = cut_lineage(digests(slim))
@@ -286,7 +289,25 @@ def near_documents(docs: DataFrame) -> DataFrame:
     groups = components(links.union(linked_pairs(rest, full)))
     named = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("found"))
-    named = named.join(least, "group").select("node", "found")
+    named = named.join(least, "group").select("node", "group", "found")
     return every.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"), "node"
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("found", "doc_id").alias("component_id"), "node", "group", "mark"
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but for one of each group of linked documents: the least by doc_id (null last) and text hash stays.
+
+    Documents without words stay all. Of rows equal in doc_id and text one stays, if they have words.
+    """
+    found = near_documents(docs).where("n_shingles > 0").withColumn("late", F.col("doc_id").isNull())
+    first = found.groupBy("group").agg(F.min(F.struct("late", "doc_id", "mark")).alias("stays")).select("stays.*")
+    key = lambda doc, mark: (F.coalesce(doc, F.lit(0)).alias("k1"), F.xxhash64(mark, doc.isNull()).alias("k2"))
+    first = first.select(*key(F.col("doc_id"), F.col("mark")), F.lit(True).alias("first"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("row"), *key(F.col("doc_id"), text_mark(F.col("text"))),
+        F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"),
+    )
+    joined = rows.join(first, ["k1", "k2"], "left").where("first OR NOT worded")
+    joined = joined.withColumn("turn", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("worded")))
+    return joined.where("NOT worded OR turn = 1").select("row.*")
