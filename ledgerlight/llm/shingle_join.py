@@ -78,17 +78,17 @@ def slices_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, mark, n, node, bands), and per frequent shingle of a chunk (token, count) with the others null.
+    """Per document (doc_id, mark, n, node, bits, bands), and per frequent shingle of a chunk (token, count) with the others null.
 
     A chunk of the task's documents gives the shingles that it
     holds twice or more: those of passages that many documents share come out of nearly every chunk.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
 
     def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(parts), return_counts=True)
         token, count = token[count > 1].view(np.int64), count[count > 1]
-        none = [pa.nulls(len(token), f.type) for f in list(schema)[:5]]
+        none = [pa.nulls(len(token), f.type) for f in list(schema)[:6]]
         return pa.RecordBatch.from_arrays([*none, pa.array(token, pa.int64()), pa.array(count, pa.int64())], schema=schema)
 
     def run(rows):
@@ -98,7 +98,7 @@ def digests(docs: DataFrame) -> DataFrame:
             nothing = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([node_of(s) for s in sets], pa.int64()),
+                pa.array([node_of(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())), nothing, nothing,
             ], schema=schema)
             for s in sets:
@@ -111,51 +111,98 @@ def digests(docs: DataFrame) -> DataFrame:
             yield frequent(parts)
 
     rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bands array<long>, token long, count long")
+    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bits binary, bands array<long>, token long, count long")
 
 
-def prefix_tokens(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """(node, tokens): the shingles of which two linked sets must share one.
+def shared_tokens(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
+    """(token, node), some repeated: the shingles of prefixes that several nodes have, as keys of 32 bits and a bucket.
 
-    Of n shingles in an order common to all sets, the first n - ceil(0.8 n) + 1. The order is by hash, and the
-    frequent ones (``heavy``, rarest first) come last, so a shared passage isn't looked up where a set has anything else.
+    Two linked sets share one of the first n - ceil(0.8 n) + 1 of their n shingles in an order common to all sets. The order is by
+    hash, and the frequent ones (``heavy``, rarest first) come last, so a shared passage isn't looked up where a set
+    has anything else. Tasks hand on blocks of keys and nodes by bucket; a bucket is sorted where it arrives and keys of one
+    node only go. Frequent shingles are shared anyway, and as many nodes may have one, they pass in blocks of their own. Keys of different
+    shingles may meet; that only adds candidates.
     """
     ranks = np.argsort(heavy, kind="stable")
     sent = docs.sparkSession.sparkContext.broadcast((heavy[ranks], ranks))  # bounded by HEAVY
 
+    def prefix(found, known, place):
+        n = len(found)
+        want = n - -(-PERCENT * n // 100) + 1
+        late = np.zeros(want, dtype=bool)
+        if len(known):
+            spot = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = known[spot] == found
+            if hit[:want].any():
+                order = np.concatenate([np.flatnonzero(~hit), np.flatnonzero(hit)[np.argsort(place[spot[hit]], kind="stable")]])[:want]
+                return found[order], hit[order]
+        return found[:want], late
+
+    def blocks(tokens, nodes, late):
+        tokens, nodes, late = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(late)
+        box = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        box[late] = -1 - (nodes[late] & 0xFFFF)
+        order = np.argsort(box, kind="stable")
+        tokens, nodes, box = tokens[order], nodes[order], box[order]
+        cuts = np.flatnonzero(np.diff(box)) + 1
+        starts, stops = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(box)]])
+        keys = tokens.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([
+            pa.array(box[starts], pa.int64()),
+            # frequent shingles keep all their bits
+            pa.array([(keys if box[a] >= 0 else tokens)[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()),
+            pa.array([nodes[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary()),
+        ], names=["box", "keys", "nodes"])
+
     def run(rows):
         known, place = sent.value
+        tokens, nodes, late, held = [], [], [], 0
         for _, texts in slices_of(rows):
-            names, out = [], []
             for text in texts:
                 found = shingles(text)
-                names.append(node_of(found))
-                n = len(found)
-                want = n - -(-PERCENT * n // 100) + 1 if n else 0
-                if len(known) and n:
-                    spot = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    hit = known[spot] == found
-                    if hit[: want + int(hit.sum())].any():
-                        late = found[hit][np.argsort(place[spot[hit]], kind="stable")]
-                        found = np.concatenate([found[~hit], late])
-                out.append(found[:want].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["node", "tokens"])
-
-    return docs.mapInArrow(run, "node long, tokens array<long>")
+                if len(found):
+                    first, frequent = prefix(found, known, place)
+                    tokens.append(first)
+                    late.append(frequent)
+                    nodes.append(np.full(len(first), node_of(found), dtype=np.int64))
+                    held += len(first)
+            if held >= CHUNK // 4:
+                yield blocks(tokens, nodes, late)
+                tokens, nodes, late, held = [], [], [], 0
+        if held:
+            yield blocks(tokens, nodes, late)
+
+    def several(key, table):
+        box = key[0].as_py()
+        kind = np.uint32 if box >= 0 else np.uint64
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=kind)
+        nodes = np.frombuffer(b"".join(table.column("nodes").to_pylist()), dtype=np.int64)
+        if box >= 0:
+            order = np.lexsort((nodes, keys))
+            keys, nodes = keys[order], nodes[order]
+            fresh = np.ones(len(keys), dtype=bool)
+            fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+            keys, nodes = keys[fresh], nodes[fresh]
+            same = keys[1:] == keys[:-1]
+            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            keys, nodes = (np.uint64(box) << np.uint64(32)) | keys[shared].astype(np.uint64), nodes[shared]
+        return pa.table({"token": pa.array(keys.view(np.int64), pa.int64()), "node": pa.array(nodes, pa.int64())})
+
+    made = docs.mapInArrow(run, "box long, keys binary, nodes binary")
+    return made.groupBy("box").applyInArrow(several, "token long, node long")
 
 
 def whole_sets(docs: DataFrame) -> DataFrame:
-    """(node, n, bits, raw): size, bitmap and the sorted hashes as bytes."""
+    """(node, raw): the sorted hashes as bytes."""
 
     def run(rows):
         for _, texts in slices_of(rows):
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
-                pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()),
-            ], names=["node", "n", "bits", "raw"])
+                pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+            ], names=["node", "raw"])
 
-    return docs.mapInArrow(run, "node long, n long, bits binary, raw binary")
+    return docs.mapInArrow(run, "node long, raw binary")
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -163,12 +210,32 @@ def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def may_link(n: np.ndarray, m: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether sizes and bitmaps allow a link: a bit that only one set has stands for a shingle that only this one has."""
+    mine = np.bitwise_count(one & ~two).sum(axis=-1)
+    theirs = np.bitwise_count(two & ~one).sum(axis=-1)
+    return (PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (np.minimum(n - mine, m - theirs) >= overlap_needed(n, m))
+
+
+def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sizes and bitmaps allow a link."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                left, right = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint64).reshape(len(pdf), -1) for c in ("bits1", "bits2"))
+                yield pdf.loc[may_link(pdf["n1"].to_numpy(), pdf["n2"].to_numpy(), left, right), ["a", "b"]]
+
+    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
+
+
+def linked_pairs(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose sets link, by exact intersection of the sorted hashes.
 
     The rows of one a are brought together in slices by b, each slice led by a's own set, and read as a stream in that order.
     """
-    slim = sets.select("node", "raw")
     per_hub = pairs.groupBy("a").agg(F.count("*").alias("m"))
     per_hub = per_hub.withColumn("slices", (F.col("m") / 64 + 1).cast("int"))
     tails = pairs.join(per_hub, "a").withColumn("slice", F.pmod(F.xxhash64("b"), "slices").cast("int")).join(slim.withColumnRenamed("node", "b"), "b")
@@ -197,14 +264,14 @@ def linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def candidate_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def candidate_pairs(postings: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b), distinct: nodes of different label that share a token, with sizes and bitmaps that allow a link.
 
     Postings (token, node) make tiles of a token and a band of sizes. Bands are powers of 1.25, so linked sets are in
     one band or in neighbours; a node goes to its own band's tile and the next one's, and a pair is taken
     in the tile of the larger set's band. A tile of many nodes is cut into pairs of slices. The overlap is bounded by sizes less the bits that only one bitmap has.
     """
-    rows = postings.join(labels, "node").join(sets.select("node", "n", "bits"), "node")
+    rows = postings.join(labels, "node").join(nodes.select("node", "n", "bits"), "node")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     sizes = rows.groupBy("token", "tile").agg(
@@ -226,12 +293,8 @@ def candidate_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) ->
                 ok = (label[rest] != label[one]) & ((band[rest] == t) | (band[one] == t))
                 if i != j:
                     ok &= part[rest] != part[one]
-                n, m = size[one], size[rest]
-                ok &= PERCENT * np.maximum(n, m) <= 100 * np.minimum(n, m)
-                rest, m = rest[ok], m[ok]
-                mine = np.bitwise_count(bits[one] & ~bits[rest]).sum(axis=1)
-                theirs = np.bitwise_count(bits[rest] & ~bits[one]).sum(axis=1)
-                rest = rest[np.minimum(n - mine, m - theirs) >= overlap_needed(n, m)]
+                rest = rest[ok]
+                rest = rest[may_link(size[one], size[rest], bits[one], bits[rest])]
                 lefts.append(np.minimum(node[one], node[rest]))
                 rights.append(np.maximum(node[one], node[rest]))
         a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (lefts, rights))
@@ -241,6 +304,12 @@ def candidate_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame) ->
     return made.distinct()
 
 
+def open_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """Those whose token is under two labels or more."""
+    ends = postings.join(labels, "node").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    return postings.join(ends.where("lo < hi").select("token"), "token")
+
+
 def near_documents(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, node, group, mark.
 
@@ -248,10 +317,12 @@ def near_documents(docs: DataFrame) -> DataFrame:
     reachable by links. The join is exact up to equal 64-bit hashes of different shingles:
 
     1. equal sets are one node, named by a 64-bit digest;
-    2. nodes that share a MinHash band are checked against the least of the band, which joins large groups of near copies
-       by as many checks as they have members;
-    3. every pair that is not joined yet must share one of the first 20 % of its shingles in a common order, so
-       nodes of different label that share one are compared by tiles of equal size band, by bitmap and then exactly.
+    2. nodes that share a MinHash band, and whose bitmaps allow it, are paired with the least of the band, which ties large
+       groups of near copies together by as many checks as they have members;
+    3. any other linked pair must share one of the first 20 % of its shingles in a common order: nodes that share one
+       and are not tied yet are compared by tiles of neighbouring size bands, by bitmap;
+    4. all these pairs are checked exactly, on the sorted hashes; where checks of step 2 fail, so that a group falls apart, step 3 is
+       done inside it.
 
     A document without words or text has n_shingles 0, links with nothing and is its own component. A null doc_id
     takes part, and its component_id is null only if no document with an id is reachable. Rows under one doc_id are documents of
@@ -261,32 +332,42 @@ def near_documents(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     made = cut_lineage(digests(slim))
     every = made.where("token IS NULL")
-    nodes = cut_lineage(every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("bands").alias("bands")))
+    nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "bits", "bands")])
+    nodes = cut_lineage(nodes)  # rows of one node are equal but for the id
     frequent = made.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n")).where("n >= 16")
     heavy = frequent.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()["token"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
 
     # nodes that share a band: to be checked against the least of them
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = bands.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("band", "key", "a")
-    stars = cut_lineage(bands.join(hubs, ["band", "key"]).where("node > a").select("a", F.col("node").alias("b")).distinct())
-
-    # tokens of prefixes that two nodes share
-    postings = prefix_tokens(slim, heavy).select("node", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    postings = cut_lineage(postings.join(shared, "token").distinct())
-
-    # the sets of all nodes that a check may need, from the texts of the least documents that have them
-    wanted = cut_lineage(postings.select("node").union(stars.select("a")).union(stars.select("b")).distinct())
+    stars = bands.join(hubs, ["band", "key"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
+    stars = cut_lineage(likely_pairs(stars, nodes))
+    likely = components(stars)
+
+    # nodes that share a shingle of their prefixes and aren't likely to be joined by the checks above
+    size = every.agg(F.sum("n").alias("n")).first()["n"] or 0
+    postings = cut_lineage(shared_tokens(slim, heavy, size // 2_500_000 + 1).distinct())
+    labels = cut_lineage(nodes.select("node").join(likely, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    rest = cut_lineage(candidate_pairs(open_postings(postings, labels), nodes, labels))
+
+    # the sets of the nodes to be checked, from the texts of the least documents that have them
+    pairs = stars.union(rest).distinct()
+    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     holders = nodes.join(wanted, "node").select("least").distinct()
     full = whole_sets(slim.join(holders, slim["doc_id"].eqNullSafe(holders["least"]), "left_semi"))
-    full = cut_lineage(full.join(wanted, "node").dropDuplicates(["node"]))
-
-    links = cut_lineage(linked_pairs(stars, full))
-    labels = wanted.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("label"))
-    labels = cut_lineage(labels)
-    open_tokens = postings.join(labels, "node").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    rest = cut_lineage(candidate_pairs(postings.join(open_tokens, "token"), full, labels))
-    groups = components(links.union(linked_pairs(rest, full)))
+    full = cut_lineage(full.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("raw").alias("raw")))
+    links = cut_lineage(linked_pairs(pairs, full))
+    groups = components(links)
+
+    # where a check failed, likely groups fell apart: their members are compared with each other as well
+    parts = labels.join(likely.select("node"), "node", "left_semi").join(groups, "node", "left").select("node", "label", F.coalesce("component", "node").alias("part"))
+    broken = parts.groupBy("label").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("label")
+    apart = cut_lineage(parts.join(broken, "label"))
+    inner = postings.join(apart.select("node", F.col("label").alias("group")), "node").select(F.xxhash64("token", "group").alias("token"), "node")
+    again = apart.select("node", F.col("part").alias("label"))
+    more = cut_lineage(linked_pairs(candidate_pairs(open_postings(inner, again), nodes, again), full))
+    if not more.isEmpty():
+        groups = components(links.union(more))
     named = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("found"))
     named = named.join(least, "group").select("node", "group", "found")
