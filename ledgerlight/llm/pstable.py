@@ -158,7 +158,7 @@ def tiles(classes: DataFrame, dimensions: int, projections: int, tables: int, co
         ids, count, other = [], [], []
         for (t, _, i, j), at in pdf.groupby(["t", "key", "i", "j"], sort=False).indices.items():
             if 2 <= len(at) <= SMALL:
-                by_size.setdefault(len(at), []).append((int(t), at))
+                by_size.setdefault(len(at), []).append((int(t), i != j, at))
             elif len(at) > SMALL:
                 number, pairs = compare(name[at], weight[at], unit[at], all_keys[at], part[at], int(t), cosine, i != j)
                 hit = number > 0
@@ -166,10 +166,11 @@ def tiles(classes: DataFrame, dimensions: int, projections: int, tables: int, co
                 count += number[hit].tolist() + [0] * len(pairs)
                 other += [None] * int(hit.sum()) + [b for _, b in pairs]
         for size, groups in by_size.items():  # small buckets: all their pairs at once
-            members, table = np.array([at for _, at in groups]), np.array([t for t, _ in groups])
+            members, across = np.array([at for *_, at in groups]), np.array([x for _, x, _ in groups])
+            table = np.array([t for t, *_ in groups])
             for x, y in zip(*np.triu_indices(size, 1)):
                 a, b = members[:, x], members[:, y]
-                near = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+                near = (np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine) & (~across | (part[a] != part[b]))
                 a, b, t = a[near], b[near], table[near]
                 first = (all_keys[a] == all_keys[b]).argmax(axis=1) == t
                 a, b = a[first], b[first]
