@@ -22,6 +22,15 @@ def micros(ts: str | Column) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null: a null key is a key like any other."""
+    named = right.withColumnsRenamed({key: f"_r_{key}" for key in keys})
+    hit = F.lit(True)
+    for key in keys:
+        hit = hit & left[key].eqNullSafe(named[f"_r_{key}"])
+    return left.join(named, hit).drop(*[f"_r_{key}" for key in keys])
+
+
 def framed_sums(
     df: DataFrame,
     keys: list[str],
@@ -78,7 +87,7 @@ def framed_sums(
                 for name in distinct_to_date
             ],
         )
-        framed = framed.join(carried, [*keys, "_bucket"]).withColumns(
+        framed = join_null_safe(framed, carried, [*keys, "_bucket"]).withColumns(
             {name: F.col(f"_c_{name}") + F.col(f"_i_{name}") for name in to_date}
             | {
                 name: F.size(F.array_union(f"_c_{name}", f"_v_{name}")).cast("bigint")
@@ -116,7 +125,7 @@ def row_positions(
     )
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_t", tie)
     return (
-        placed.join(carried, [*keys, "_bucket"])
+        join_null_safe(placed, carried, [*keys, "_bucket"])
         .withColumn(name, F.col("_c") + F.row_number().over(inside))
         .drop("_t", "_bucket", "_c")
     )

@@ -120,13 +120,14 @@ def links(transfers: DataFrame, min_amount: float = 0.0) -> DataFrame:
     )
 
 
-def k_hop(transfers: DataFrame, seeds: DataFrame, hops: int, min_amount: float = 0.0) -> DataFrame:
+def k_hop(transfers: DataFrame, seeds: DataFrame, hops: int, min_amount: float = 0.0, max_hops: int = MAX_HOPS) -> DataFrame:
     """Breadth-first neighbourhood of each seed: first hop reached, amount and transfers of that hop.
 
     ``seeds(seed_id)``. An edge between two frontier accounts leads to an account
     already visited and so adds nothing. Lineage is cut after every hop.
     """
-    hops = max(1, min(hops, MAX_HOPS))
+    if not 1 <= hops <= max_hops:
+        raise ValueError(f"hops must be from 1 to {max_hops}, not {hops}; pass a larger max_hops if you mean it")
     step = links(transfers, min_amount)
     if hops > 1:
         step = cut_lineage(step)

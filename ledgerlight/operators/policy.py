@@ -176,7 +176,7 @@ def rule_sets(calls: DataFrame, rules: DataFrame) -> DataFrame:
             "allow": first_rule("allowlist"),
             "deny": first_rule("denylist"),
             "hold": first_rule("hitl_gate"),
-            "cap": first_rule("cost_cap"),
+            "caps": F.filter("rules", lambda r: r["effect"] == "cost_cap"),
             "patterns": F.coalesce(F.array_distinct(patterns), nothing),
             "response_rules": F.coalesce(F.transform(response, lambda r: r["custom_name"]), nothing),
         }
@@ -283,8 +283,6 @@ def rate_limited(ruled: DataFrame, rules: DataFrame) -> DataFrame:
     for limit in limits:
         subject = open_calls.filter(F.array_contains("policies", limit["policy"]))
         busiest = busiest_key(subject, ["agent_id"])
-        if busiest <= limit["limit_calls"]:
-            continue  # no agent made more calls in all than one window allows
         judged = fixed_window_limit(
             subject.select("id", "ts", "agent_id"), ["agent_id"], limit["limit_calls"], limit["window_seconds"], busiest=busiest
         )
@@ -321,23 +319,26 @@ def custom_denials(ruled: DataFrame, rules: DataFrame, history: DataFrame) -> Da
 
 
 def cost_cap_state(ruled: DataFrame, costs: DataFrame) -> DataFrame:
-    """``ok``, ``warn`` or ``over`` per call: the session's spend so far against the cap."""
+    """``ok``, ``warn`` or ``over`` per call: the session's spend so far against every cap of the call.
+
+    ``cost_policy`` is the first cap that is over, else the first that warns, else the first.
+    """
     from ledgerlight.functions.frames import sums_to_date
 
-    capped = ruled.filter("cap IS NOT NULL").select("id", "ts", "session_id", "cap")
+    capped = ruled.filter(F.size("caps") > 0).select("id", "ts", "session_id", "caps")
     spent = sums_to_date(
         capped.join(costs.select("id", "cost_usd"), "id", "left"),
         ["session_id"],
         "ts",
         {"spent_units": F.round(F.coalesce("cost_usd", F.lit(0.0)) * 10_000_000)},
     )
-    limit = F.round(F.col("cap.session_limit_usd") * 10_000_000)
-    state = (
-        F.when(F.col("spent_units") >= limit, "over")
-        .when(F.col("spent_units") >= limit * F.col("cap.warn_at_ratio"), "warn")
-        .otherwise("ok")
-    )
-    return spent.select("id", F.col("cap.policy").alias("cost_policy"), (F.col("spent_units") / 10_000_000).alias("spent_usd"), state.alias("cost_state"))
+    def reached(share: Callable[[Column], Column]) -> Column:
+        return F.filter("caps", lambda cap: F.col("spent_units") >= F.round(cap["session_limit_usd"] * 10_000_000) * share(cap))
+
+    judged = spent.withColumns({"over": reached(lambda cap: F.lit(1.0)), "warn": reached(lambda cap: cap["warn_at_ratio"])})
+    state = F.when(F.size("over") > 0, "over").when(F.size("warn") > 0, "warn").otherwise("ok")
+    telling = F.when(F.size("over") > 0, F.col("over")).when(F.size("warn") > 0, F.col("warn")).otherwise(F.col("caps"))
+    return judged.select("id", telling[0]["policy"].alias("cost_policy"), (F.col("spent_units") / 10_000_000).alias("spent_usd"), state.alias("cost_state"))
 
 
 def review_timeout(held: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.redact import PII_PATTERNS, has_injection_marker, redact_text
+from ledgerlight.functions.redact import has_injection_marker, redact_in_order
 from ledgerlight.operators.policy import RESPONSE_RULES, attach_rules, register_response_rule
 
 # Tags and how long a session flag lasts.
@@ -31,22 +31,22 @@ def injection_tags(responses: DataFrame) -> Column:
 def evaluate_responses(responses: DataFrame, rules: DataFrame) -> DataFrame:
     """Redact and tag ``responses(id, server, tool, payload, flagged)``; nothing is ever denied here.
 
-    Patterns of all redaction rules are applied in rule order, each only where a
-    rule that applies to the call names it.
+    Patterns of the call's redaction rules are applied in the order in which the rules
+    and their lists name them. A response rule without a registered function fails closed:
+    ``policy_error`` is set and the payload withheld.
     """
     ruled = attach_rules(responses, rules)
-    redacted = F.col("payload")
-    # Every rule that uses several patterns lists them in table order.
-    for name in PII_PATTERNS:
-        hit = F.coalesce(F.array_contains("patterns", name), F.lit(False))
-        redacted = F.when(hit, redact_text(redacted, [name])).otherwise(redacted)
+    redacted = redact_in_order(F.col("payload"), F.coalesce("patterns", _tags()))
+    known = F.array(*[F.lit(name) for name in RESPONSE_RULES])
+    unknown = F.coalesce(F.size(F.array_except("response_rules", known)) > 0, F.lit(False))
     tags = _tags()
     for name, rule in RESPONSE_RULES.items():
         applies = F.array_contains("response_rules", name)
         tags = F.concat(tags, F.when(F.coalesce(applies, F.lit(False)), rule(responses)).otherwise(_tags()))
     return ruled.select(
         *[c for c in responses.columns if c != "payload"],
-        redacted.alias("payload"),
+        F.when(~unknown, redacted).alias("payload"),
+        F.when(unknown, F.lit("response_policy_error")).alias("policy_error"),
         F.array_union("static_tags", tags).alias("tags"),
         F.array_distinct(tags).alias("response_tags"),
     )

@@ -127,7 +127,13 @@ def anomaly_signals(audit: DataFrame, bucket_us: int = 5 * MINUTE, denial_us: in
     return sliced.withColumn("zscore", F.round(rate_zscore(F.col("rate_buckets")), 4))
 
 
-def anomaly_flags(signals: DataFrame) -> DataFrame:
+def anomaly_flags(events: DataFrame) -> DataFrame:
+    """Flags of the assessed events whose route has an anomaly step."""
+    return events.filter(F.contains("path", F.lit("anomaly")) & F.col("anomaly_type").isNotNull())
+
+
+def signal_flags(signals: DataFrame) -> DataFrame:
+    """Flags that the signals of every decision would raise, whatever its route."""
     kind, severity = detect(F.col("zscore"), F.col("denials_recent"))
     return signals.withColumn("anomaly_type", kind).withColumn("anomaly_severity", severity).filter("anomaly_type IS NOT NULL")
 

@@ -35,7 +35,7 @@ def judge_scenarios(
         F.when(F.col("status").isNull(), "no audit entries")
         .when(F.col("status") != F.col("expected.status"), "status")
         .when(~F.col("fired_policy").eqNullSafe(F.col("expected.policy_fired")), "fired_policy")
-        .when(F.size(F.array_except("expected.tags_include", "tags")) > 0, "missing_tags")
+        .when(F.size(F.array_except("expected.tags_include", F.coalesce("tags", F.array().cast("array<string>")))) > 0, "missing_tags")
         .when(
             answered & F.col("expected.response_contains").isNotNull()
             & ~F.coalesce(F.contains("text", "expected.response_contains"), F.lit(False)),

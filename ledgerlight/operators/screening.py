@@ -141,8 +141,8 @@ def _scored(
     chunks there are, so a tile stays small however long either side gets. A tile
     hands on ``k`` rows per query; no pair of query and name is ever a row.
     """
-    listed = names.select(*by, "name").distinct()
-    asked = queries.select(*by, "query").distinct()
+    listed = names.select(*by, "name").filter("name IS NOT NULL").distinct()
+    asked = queries.select(*by, "query").filter("query IS NOT NULL").distinct()
     chunks = max(1, -(-listed.count() // chunk_names))
     slices = max(1, -(-asked.count() // slice_queries))
     normal = normalise_name(F.col("name"))

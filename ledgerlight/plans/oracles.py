@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 
 from ledgerlight.functions.redact import INJECTION_PATTERNS, PII_PATTERNS
@@ -10,7 +9,6 @@ from ledgerlight.operators import graph as gr
 from ledgerlight.operators.audit import GENESIS
 from ledgerlight.operators.policy import EFFECT_ORDER, NO_SANCTIONS_CHECK
 from ledgerlight.operators.screening import REFERENCE_URL
-from ledgerlight.operators.shape import FLOOR, PEAK_HOUR, SWING
 from ledgerlight.operators.telemetry import DURATION_BOUNDS
 from ledgerlight.plans import registry as rg
 from ledgerlight.plans.packs import extended_pack
@@ -331,14 +329,12 @@ SELECT *, CASE WHEN is_match THEN 'high' WHEN flagged THEN 'medium' ELSE 'low' E
 SELECT from_id AS account_id, CASE payment_format WHEN 'ACH' THEN 'cleared' WHEN 'Wire' THEN 'escalate' ELSE 'monitor' END AS disposition,
   concat('paid ', to_id) AS rationale, ts AS recorded_at FROM transfers WHERE is_laundering = 1""",
     "profile": f"""
-SELECT weekday, hour, count(*) AS calls,
-  round(({FLOOR}::DOUBLE + {SWING}::DOUBLE * ((cos((hour - {PEAK_HOUR}::DOUBLE) / 24.0::DOUBLE * {2 * math.pi!r}::DOUBLE) + 1.0::DOUBLE) / 2.0::DOUBLE))
-    * CASE WHEN weekday >= 5 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END, 6) AS weight
-FROM (SELECT CAST(isodow(ts) - 1 AS INT) AS weekday, CAST(hour(ts) AS INT) AS hour FROM calls) GROUP BY weekday, hour""",
+SELECT weekday, hour, count(*) FILTER (NOT earlier) AS calls, round(count(*) FILTER (earlier) * 168.0::DOUBLE / sum(count(*) FILTER (earlier)) OVER (), 6) AS weight
+FROM (SELECT CAST(isodow(ts) - 1 AS INT) AS weekday, CAST(hour(ts) AS INT) AS hour, ts < TIMESTAMP '{rg.PROFILE_UNTIL}' AS earlier FROM calls) GROUP BY weekday, hour""",
     "shares": "SELECT *, CAST(round(weight / (SELECT sum(weight) FROM profile) * 5000) AS BIGINT) AS row_count FROM profile",
     "respond": """
 SELECT c.id, c.ts, c.session_id, c.server, c.tool, d.text AS payload, c.tool = 'structuring_check' AND c.k >= 80 AS flagged
-FROM callp c JOIN documents d ON c.id = d.doc_id""",
+FROM callp c JOIN documents d ON c.id % (SELECT count(*) FROM documents) = d.doc_id""",
     "lastrow": "SELECT agent_id, max(id) AS last_id, arg_max(status, id) AS status, arg_max(fired_policy, id) AS fp, arg_max(coalesce(fired_policy, ''), id) AS fired_policy, arg_max(tags, id) AS tags, arg_max(ts, id) AS ts FROM audit GROUP BY agent_id",
     "judged": """
 SELECT concat('case-', l.agent_id) AS id, l.agent_id, concat('class-', right(l.agent_id, 1)) AS attack_class,
@@ -348,7 +344,7 @@ SELECT concat('case-', l.agent_id) AS id, l.agent_id, concat('class-', right(l.a
        WHEN l.status = 'COMPLETED' AND right(l.agent_id, 1) = '1' AND NOT coalesce(contains(t.text, 'a'), false) THEN 'response_contains'
        WHEN l.status = 'COMPLETED' AND right(l.agent_id, 1) = '2' AND coalesce(contains(t.text, 'e'), false) THEN 'response_not_contains'
        WHEN right(l.agent_id, 1) = '6' AND l.agent_id NOT IN (SELECT agent_id FROM inc) THEN 'no_incident' END AS failure
-FROM lastrow l LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY 1) t ON t.conv_id = l.last_id // 2""",
+FROM lastrow l LEFT JOIN (SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY 1) t ON t.conv_id = (l.last_id // 2) % (SELECT count(DISTINCT conv_id) FROM conversations)""",
 }
 
 
@@ -442,8 +438,8 @@ add(
 add(
     "in_flight",
     f"""SELECT {ts('minute')} AS minute, CAST(sum(step) OVER (ORDER BY minute) AS BIGINT) AS open_calls FROM (
-  SELECT minute, sum(step) AS step FROM (SELECT date_trunc('minute', opened_at) AS minute, 1 AS step FROM pairs WHERE closed_at IS NOT NULL
-    UNION ALL SELECT date_trunc('minute', closed_at), -1 FROM pairs WHERE closed_at IS NOT NULL) GROUP BY minute)""",
+  SELECT minute, sum(step) AS step FROM (SELECT date_trunc('minute', opened_at) AS minute, 1 AS step FROM pairs WHERE opened_as <> 'DENIED'
+    UNION ALL SELECT date_trunc('minute', closed_at), -1 FROM pairs WHERE opened_as <> 'DENIED' AND closed_at IS NOT NULL AND id % 100 <> 0) GROUP BY minute)""",
 )
 add(
     "fires_panel",
@@ -492,7 +488,7 @@ FROM (SELECT coalesce(a.day, c.day) AS day, coalesce(a.n, 0) AS audit_rows, coal
 )
 add(
     "flagged_tools_top",
-    "SELECT tool, anomaly_severity, count(*) AS flags FROM sigf WHERE anomaly_type IS NOT NULL GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10",
+    "SELECT tool, anomaly_severity, count(*) AS flags FROM evts WHERE anomaly_type IS NOT NULL AND path LIKE '%anomaly%' GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 10",
 )
 add(
     "review_percentiles",
@@ -620,8 +616,9 @@ FROM early0 e LEFT JOIN first_check f USING (agent_id)) u)""",
 )
 add(
     "cost_cap",
-    """SELECT id, round(u / 10000000, 7) AS spent_usd, CASE WHEN u >= 100000 THEN 'over' WHEN u >= 80000 THEN 'warn' ELSE 'ok' END AS cost_state
-FROM (SELECT c.id, CAST(sum(coalesce(CAST(round(k.cost_usd * 10000000) AS BIGINT), 0)) OVER (PARTITION BY c.session_id ORDER BY epoch_us(c.ts) RANGE UNBOUNDED PRECEDING) AS BIGINT) AS u
+    """SELECT id, round(u / 10000000, 7) AS spent_usd, CASE WHEN u >= 100000 OR graph AND u >= 50000 THEN 'over' WHEN u >= 80000 OR graph AND u >= 40000 THEN 'warn' ELSE 'ok' END AS cost_state,
+  CASE WHEN u < 100000 AND graph AND u >= 40000 THEN 'tight-cost-cap' ELSE 'session-cost-cap' END AS cost_policy
+FROM (SELECT c.id, c.server = 'transaction-graph' AS graph, CAST(sum(coalesce(CAST(round(k.cost_usd * 10000000) AS BIGINT), 0)) OVER (PARTITION BY c.session_id ORDER BY epoch_us(c.ts) RANGE UNBOUNDED PRECEDING) AS BIGINT) AS u
   FROM calls c LEFT JOIN costs k ON c.id = k.id)""",
 )
 add(
@@ -640,8 +637,8 @@ FROM audit h WHERE status = 'HELD' AND ts <= TIMESTAMP '2024-01-20 12:00:00'
 )
 
 
-def _redacted(x: str) -> str:
-    for pattern in PII_PATTERNS.values():
+def _redacted(x: str, backwards: bool = False) -> str:
+    for pattern in reversed(PII_PATTERNS.values()) if backwards else PII_PATTERNS.values():
         x = f"regexp_replace({x}, '{pattern}', '[REDACTED]', 'g')"
     return x
 
@@ -658,6 +655,15 @@ add(
     f"""SELECT id, session_id, {ts('ts')} AS flag_from, {ts('ts + INTERVAL 24 HOUR')} AS flag_until, 'incident:structuring|severity:high' AS tags FROM respond WHERE flagged""",
 )
 add("redact_payloads", f"SELECT payload_id, md5({_redacted('text')}) AS clean_md5, {_redacted('text')} <> text AS changed FROM payloads")
+add(
+    "redact_in_rule_order",
+    f"SELECT payload_id, md5(CASE WHEN length(text) % 2 = 0 THEN {_redacted('text', True)} ELSE {_redacted('text')} END) AS clean_md5 FROM payloads",
+)
+add(
+    "redact_event_props",
+    """SELECT event_id, CASE WHEN event_id % 50 = 0 THEN '"[REJECTED: not JSON]"' ELSE concat('{"note":"ssn [REDACTED]","props":', props, '}') END AS clean FROM
+  (SELECT event_id, props, lpad(CAST(event_id AS VARCHAR), 4, '0') AS tail FROM events)""",
+)
 add(
     "redaction_hits",
     " UNION ALL ".join(
@@ -692,10 +698,11 @@ add(
     """SELECT CASE WHEN risk_score < 0.2 THEN '0.0-0.2' WHEN risk_score < 0.4 THEN '0.2-0.4' WHEN risk_score < 0.6 THEN '0.4-0.6' WHEN risk_score < 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS bucket,
   count(*) AS value FROM snaps GROUP BY 1""",
 )
-add("anomaly_flags", "SELECT id, agent_id, anomaly_type, anomaly_severity FROM sigf WHERE anomaly_type IS NOT NULL")
+add("signal_flags", "SELECT id, agent_id, anomaly_type, anomaly_severity FROM sigf WHERE anomaly_type IS NOT NULL")
+add("anomaly_flags", "SELECT id, agent_id, anomaly_type, anomaly_severity FROM evts WHERE anomaly_type IS NOT NULL AND path LIKE '%anomaly%'")
 add(
     "flags_by_severity",
-    f"SELECT anomaly_severity AS severity, count(*) AS value FROM sigf WHERE anomaly_type IS NOT NULL AND ts >= TIMESTAMP '{rg.AS_OF}' - INTERVAL 20 DAY GROUP BY 1",
+    f"SELECT anomaly_severity AS severity, count(*) AS value FROM evts WHERE anomaly_type IS NOT NULL AND path LIKE '%anomaly%' AND ts >= TIMESTAMP '{rg.AS_OF}' - INTERVAL 20 DAY GROUP BY 1",
 )
 add("route_events", "SELECT path, outcome, count(*) AS events FROM evts GROUP BY 1, 2")
 add(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlight.functions.frames import DAY, HOUR
-from ledgerlight.functions.redact import PII_PATTERNS, has_injection_marker, pattern_hits, redact_text
+from ledgerlight.functions.redact import PII_PATTERNS, has_injection_marker, pattern_hits, redact_in_order, redact_json, redact_text
 from ledgerlight.operators import audit as au
 from ledgerlight.operators import clusters, graph, policy, quality, rate_limit, responses, risk, scenarios, screening, shape
 from ledgerlight.operators import telemetry as te
@@ -31,6 +31,7 @@ WINDOW_DAYS = 90
 DEPOSIT_LIMIT = 10_000.0
 TARGET_ACCOUNTS = 1_000
 SEED = 42
+PROFILE_UNTIL = "2024-01-16"
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -161,7 +162,9 @@ def error_ratio(s, d):
 
 @query
 def in_flight(s, d):
-    return te.in_flight(_pairs(s, d))
+    """Every hundredth call is left open."""
+    closed = F.when(F.col("id") % 100 != 0, F.col("closed_at"))
+    return te.in_flight(_pairs(s, d).withColumn("closed_at", closed))
 
 
 @query
@@ -249,7 +252,7 @@ def audit_growth(s, d):
 
 @query
 def flagged_tools_top(s, d):
-    flags = risk.anomaly_flags(risk.anomaly_signals(ad.audit(s, d), BUCKET_US, DENIAL_US))
+    flags = risk.anomaly_flags(_events(s, d))
     counted = te.count_by(flags, "tool", "anomaly_severity", name="flags")
     return te.top_n(counted, "flags", 10, "tool", "anomaly_severity")
 
@@ -446,10 +449,13 @@ def decide_calls(s, d):
 def cost_cap(s, d):
     from ledgerlight.plans.packs import rules_table as table
 
-    cap = [dict(policy="session-cost-cap", server="*", tools=["*"], effect="cost_cap", session_limit_usd=0.01)]
+    cap = [
+        dict(policy="session-cost-cap", server="*", tools=["*"], effect="cost_cap", session_limit_usd=0.01),
+        dict(policy="tight-cost-cap", server="transaction-graph", tools=["*"], effect="cost_cap", session_limit_usd=0.005),
+    ]
     ruled = policy.attach_rules(ad.calls(s, d), table(s, cap))
     state = policy.cost_cap_state(ruled, ad.call_costs(s, d))
-    return state.select("id", F.round("spent_usd", 7).alias("spent_usd"), "cost_state")
+    return state.select("id", F.round("spent_usd", 7).alias("spent_usd"), "cost_state", "cost_policy")
 
 
 def _held(s, d):
@@ -477,7 +483,7 @@ def pending_reviews(s, d):
 def _responses(s, d):
     texts = ad.table(s, d, "documents").select("doc_id", F.col("text").alias("payload"))
     calls = _calls(s, d)
-    joined = calls.join(texts, calls["id"] == texts["doc_id"])
+    joined = calls.join(texts, F.pmod("id", F.lit(texts.count())) == texts["doc_id"])
     flagged = (F.col("tool") == "structuring_check") & (F.col("k") >= 80)
     return joined.select("id", "ts", "session_id", "server", "tool", "payload", flagged.alias("flagged"))
 
@@ -500,6 +506,20 @@ def redact_payloads(s, d):
     return ad.payloads(s, d).select("payload_id", F.md5(clean).alias("clean_md5"), (clean != F.col("text")).alias("changed"))
 
 
+@query
+def redact_in_rule_order(s, d):
+    """Half of the payloads name their patterns from last to first."""
+    names = F.array(*[F.lit(name) for name in PII_PATTERNS])
+    clean = redact_in_order(F.col("text"), F.when(F.length("text") % 2 == 0, F.reverse(names)).otherwise(names))
+    return ad.payloads(s, d).select("payload_id", F.md5(clean).alias("clean_md5"))
+
+
+@query
+def redact_event_props(s, d):
+    digits = F.concat(F.lit('{"note":"ssn 123-45-'), F.lpad(F.pmod("event_id", F.lit(10000)).cast("string"), 4, "0"), F.lit('","props":'), "props", F.lit("}"))
+    return ad.table(s, d, "events").select("event_id", redact_json(F.when(F.col("event_id") % 50 == 0, "{broken").otherwise(digits), ["ssn"]).alias("clean"))
+
+
 @query
 def redaction_hits(s, d):
     return pattern_hits(ad.payloads(s, d), "text", list(PII_PATTERNS))
@@ -562,13 +582,19 @@ def risk_histogram(s, d):
 
 @query
 def anomaly_flags(s, d):
-    flags = risk.anomaly_flags(risk.anomaly_signals(ad.audit(s, d), BUCKET_US, DENIAL_US))
+    flags = risk.anomaly_flags(_events(s, d))
+    return flags.select("id", "agent_id", "anomaly_type", "anomaly_severity")
+
+
+@query
+def signal_flags(s, d):
+    flags = risk.signal_flags(risk.anomaly_signals(ad.audit(s, d), BUCKET_US, DENIAL_US))
     return flags.select("id", "agent_id", "anomaly_type", "anomaly_severity")
 
 
 @query
 def flags_by_severity(s, d):
-    flags = risk.anomaly_flags(risk.anomaly_signals(ad.audit(s, d), BUCKET_US, DENIAL_US))
+    flags = risk.anomaly_flags(_events(s, d))
     return risk.flags_by_severity(flags, AS_OF, 20)
 
 
@@ -918,7 +944,8 @@ def _judged(s, d):
     last = scenarios.last_entry(ad.audit(s, d))
     answers = last.select("agent_id", (F.col("status") == "COMPLETED").alias("ok"), "last_id")
     turns = ad.table(s, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-    texted = answers.join(turns, F.floor(answers["last_id"] / 2) == turns["conv_id"], "left").select("agent_id", "ok", "text")
+    spread = F.pmod(F.floor(answers["last_id"] / 2), F.lit(turns.count()))
+    texted = answers.join(turns, spread == turns["conv_id"], "left").select("agent_id", "ok", "text")
     found = risk.incidents(_events(s, d)).select("agent_id")
     return scenarios.judge_scenarios(cases, ad.audit(s, d), texted, found)
 
@@ -959,7 +986,7 @@ def invalid_dispositions(s, d):
 
 @query
 def seasonal_profile(s, d):
-    return shape.seasonal_profile(ad.calls(s, d))
+    return shape.seasonal_profile(ad.calls(s, d), PROFILE_UNTIL)
 
 
 def _windows(s, d):
@@ -974,7 +1001,7 @@ def in_windows(s, d):
 
 
 def _apportioned(s, d):
-    profile = shape.seasonal_profile(ad.calls(s, d))
+    profile = shape.seasonal_profile(ad.calls(s, d), PROFILE_UNTIL)
     return shape.apportion(profile, "weight", 5_000)
 
 

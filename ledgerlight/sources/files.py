@@ -62,9 +62,22 @@ def read_patterns(spark: SparkSession, path: str, limit: int | None = None) -> D
     )
 
 
+def whole_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Header-less CSV rows with exactly the columns of the schema; all are parsed, so that pruned ones count too."""
+    reader = spark.read.schema(schema).option("columnPruning", "false").option("escape", '"')
+    return reader.csv(path, mode="DROPMALFORMED")
+
+
+def rejected_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(record, reason) of the rows that :func:`whole_rows` leaves out: those with too few or too many columns."""
+    reader = spark.read.schema(f"{schema}, _record STRING").option("columnPruning", "false").option("escape", '"')
+    raw = reader.csv(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_record")
+    return raw.filter("_record IS NOT NULL").select(F.col("_record").alias("record"), F.lit("column_count").alias("reason"))
+
+
 def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
     """Header-less 12-column CSV; short rows drop out and the last row of an id wins."""
-    raw = spark.read.schema(schemas.WATCHLIST_CSV).csv(path, mode="DROPMALFORMED", escape='"')
+    raw = whole_rows(spark, path, schemas.WATCHLIST_CSV)
     placed = raw.withColumn("_at", F.monotonically_increasing_id())
     entries = placed.select(
         F.trim("ent_num").alias("ent_num"),
@@ -79,7 +92,7 @@ def read_watchlist(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_aliases(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.schema(schemas.ALIAS_CSV).csv(path, mode="DROPMALFORMED", escape='"')
+    raw = whole_rows(spark, path, schemas.ALIAS_CSV)
     named = raw.select(F.trim("ent_num").alias("ent_num"), F.trim("alt_name").alias("alias"))
     return named.filter(F.coalesce(F.col("alias") != "", F.lit(False)))
 
@@ -103,9 +116,9 @@ def open_table(spark: SparkSession, path: str, schema: str, id_columns: list[str
     if path.endswith(".csv"):
         df = spark.read.schema(schema).csv(path, header=True)
     elif path.endswith(".parquet"):
-        df = spark.read.parquet(path)
+        df = spark.read.schema(schema).parquet(path)
     else:
-        df = spark.read.option("recursiveFileLookup", "true").parquet(path)
+        df = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     return df.withColumns({c: F.col(c).cast("string") for c in id_columns if c in df.columns})
 
 
