@@ -15,7 +15,7 @@ from ledgerlight.llm.arrow import map_rows
 #: White space as Unicode has it; the pre-tokenizer and normalizer of the vocabulary file use it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words, and pieces, of which a task keeps the encoding; common ones come early, later ones are encoded each time.
-MEMO = 500_000
+MEMO = 100_000
 
 
 def byte_letters() -> list[str]:

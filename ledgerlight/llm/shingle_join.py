@@ -19,10 +19,12 @@ PERCENT = 80
 BANDS, ROWS = 8, 4
 BITS = 1024
 #: Shingles sorted in one go to find those that are frequent; hints only, the result doesn't depend on them.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 #: At most so many frequent shingles (8 bytes each) are sent to the tasks; the others are ordered by hash.
 HEAVY = 1 << 18
 TILE = 1024
+#: Rows that a task compares in one go, on average.
+BOX = 50_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -63,12 +65,17 @@ def node_of(found: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True) if len(found) else None
 
 
-def bitmap(found: np.ndarray) -> bytes:
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[(found >> np.uint64(20)) % np.uint64(BITS)] = 1
+def bitmap(found: np.ndarray, size: int = BITS) -> bytes:
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(found >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes()
 
 
+def wide_bitmap(found: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, four times the shingles or more; its halves laid over each other are that of half the size."""
+    return bitmap(found, max(BITS, 1 << (4 * len(found) - 1).bit_length()))
+
+
 def slices_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches, each with its column ``text`` as Python strings."""
     for batch in rows:
@@ -78,17 +85,17 @@ def slices_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, mark, n, node, bits, bands), and per frequent shingle of a chunk (token, count) with the others null.
+    """Per document (doc_id, mark, n, node, bits, wide, bands), and per frequent shingle of a chunk (token, count) with the others null.
 
     A chunk of the task's documents gives the shingles that it
     holds twice or more: those of passages that many documents share come out of nearly every chunk.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
 
     def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(parts), return_counts=True)
         token, count = token[count > 1].view(np.int64), count[count > 1]
-        none = [pa.nulls(len(token), f.type) for f in list(schema)[:6]]
+        none = [pa.nulls(len(token), f.type) for f in list(schema)[:7]]
         return pa.RecordBatch.from_arrays([*none, pa.array(token, pa.int64()), pa.array(count, pa.int64())], schema=schema)
 
     def run(rows):
@@ -99,6 +106,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
+                pa.array([wide_bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())), nothing, nothing,
             ], schema=schema)
             for s in sets:
@@ -111,7 +119,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield frequent(parts)
 
     rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bits binary, bands array<long>, token long, count long")
+    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bits binary, wide binary, bands array<long>, token long, count long")
 
 
 def shared_tokens(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -141,7 +149,7 @@ def shared_tokens(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame
     def blocks(tokens, nodes, late):
         tokens, nodes, late = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(late)
         box = ((tokens >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-        box[late] = -1 - (nodes[late] & 0xFFFF)
+        box[late] = -1 - nodes[late] % buckets
         order = np.argsort(box, kind="stable")
         tokens, nodes, box = tokens[order], nodes[order], box[order]
         cuts = np.flatnonzero(np.diff(box)) + 1
@@ -166,7 +174,7 @@ def shared_tokens(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame
                     late.append(frequent)
                     nodes.append(np.full(len(first), node_of(found), dtype=np.int64))
                     held += len(first)
-            if held >= CHUNK // 4:
+            if held >= CHUNK:
                 yield blocks(tokens, nodes, late)
                 tokens, nodes, late, held = [], [], [], 0
         if held:
@@ -218,17 +226,30 @@ def may_link(n: np.ndarray, m: np.ndarray, one: np.ndarray, two: np.ndarray) ->
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and bitmaps allow a link."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
+    """Those of the pairs (a, b) whose sizes and wide bitmaps, folded to the smaller one's size, allow a link."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("wide1"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("wide2"))
+
+    def folded(bits: np.ndarray, size: int) -> np.ndarray:
+        while len(bits) > size:
+            half = len(bits) // 2
+            bits = bits[:half] | bits[half:]
+        return bits
+
+    def allowed(n, m, left, right):
+        left, right = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
+        size = min(len(left), len(right))
+        return bool(may_link(n, m, folded(left, size), folded(right, size)))
 
     def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                left, right = (np.frombuffer(b"".join(pdf[c]), dtype=np.uint64).reshape(len(pdf), -1) for c in ("bits1", "bits2"))
-                yield pdf.loc[may_link(pdf["n1"].to_numpy(), pdf["n2"].to_numpy(), left, right), ["a", "b"]]
+        for batch in batches:
+            n, m = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
+            left, right = batch.column("wide1"), batch.column("wide2")
+            keep = [allowed(n[i], m[i], left[i].as_buffer(), right[i].as_buffer()) for i in range(batch.num_rows)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").mapInPandas(run, "a long, b long")
+    near = pairs.join(one, "a").join(two.select("b", "n2"), "b").where(F.expr(f"{PERCENT} * greatest(n1, n2) <= 100 * least(n1, n2)"))
+    return near.join(two.select("b", "wide2"), "b").mapInArrow(run, "a long, b long")
 
 
 def linked_pairs(pairs: DataFrame, slim: DataFrame) -> DataFrame:
@@ -271,16 +292,19 @@ def candidate_pairs(postings: DataFrame, nodes: DataFrame, labels: DataFrame) ->
     one band or in neighbours; a node goes to its own band's tile and the next one's, and a pair is taken
     in the tile of the larger set's band. A tile of many nodes is cut into pairs of slices. The overlap is bounded by sizes less the bits that only one bitmap has.
     """
-    rows = postings.join(labels, "node").join(nodes.select("node", "n", "bits"), "node")
+    rows = postings.join(labels, "node").join(nodes.select("node", "n"), "node")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     sizes = rows.groupBy("token", "tile").agg(
         F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("band") == F.col("tile")).alias("own")
-    ).where("m > 1 AND lo < hi AND own").select("token", "tile", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
-    cut = rows.join(sizes, ["token", "tile"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    ).where("m > 1 AND lo < hi AND own").select("token", "tile", "m", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+    sizes = cut_lineage(sizes)
+    boxes = (sizes.agg(F.sum(F.col("m") * F.col("parts")).alias("rows")).first()["rows"] or 0) // BOX + 16
+    cut = rows.join(sizes.drop("m"), ["token", "tile"]).join(nodes.select("node", "bits"), "node")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cut = cut.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")})
-    box = F.pmod(F.xxhash64("token", "tile", "i", "j"), F.lit(4096))
+    box = F.pmod(F.xxhash64("token", "tile", "i", "j"), F.lit(boxes))
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         node, label, size = (pdf[c].to_numpy() for c in ("node", "label", "n"))
@@ -301,13 +325,20 @@ def candidate_pairs(postings: DataFrame, nodes: DataFrame, labels: DataFrame) ->
         return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
     made = cut.withColumn("box", box).groupBy("box").applyInPandas(near, "a long, b long")
-    return made.distinct()
+    return likely_pairs(made.distinct(), nodes)
 
 
 def open_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those whose token is under two labels or more."""
-    ends = postings.join(labels, "node").groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    return postings.join(ends.where("lo < hi").select("token"), "token")
+    """Those whose token is under two labels or more; of tokens with the same nodes (a shared passage has many) one stays.
+
+    Lists of nodes are told apart by their length and two 64-bit sums of hashes.
+    """
+    ends = postings.join(labels, "node").groupBy("token").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    one = ends.where("lo < hi").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
+    return postings.join(one, "token", "left_semi")
 
 
 def near_documents(docs: DataFrame) -> DataFrame:
@@ -332,7 +363,7 @@ def near_documents(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     made = cut_lineage(digests(slim))
     every = made.where("token IS NULL")
-    nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "bits", "bands")])
+    nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "bits", "wide", "bands")])
     nodes = cut_lineage(nodes)  # rows of one node are equal but for the id
     frequent = made.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n")).where("n >= 16")
     heavy = frequent.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()["token"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
@@ -365,7 +396,8 @@ def near_documents(docs: DataFrame) -> DataFrame:
     apart = cut_lineage(parts.join(broken, "label"))
     inner = postings.join(apart.select("node", F.col("label").alias("group")), "node").select(F.xxhash64("token", "group").alias("token"), "node")
     again = apart.select("node", F.col("part").alias("label"))
-    more = cut_lineage(linked_pairs(candidate_pairs(open_postings(inner, again), nodes, again), full))
+    more = cut_lineage(candidate_pairs(open_postings(inner, again), nodes, again))
+    more = cut_lineage(linked_pairs(more, full))
     if not more.isEmpty():
         groups = components(links.union(more))
     named = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
