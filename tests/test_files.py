@@ -67,7 +67,7 @@ def test_writers(spark, tmp_path):
     assert len(spark.read.parquet(str(tmp_path / "pub")).columns) == 19
     files.write_by_month(call_rows(spark), str(tmp_path / "m"), "timestamp")
     assert spark.read.parquet(str(tmp_path / "m")).select("month").distinct().count() == 1
-    opened = files.open_table(spark, str(tmp_path / "m"), "", ["id"])
+    opened = files.open_table(spark, str(tmp_path / "m"), "id BIGINT, agent_id STRING", ["id"])
     assert dict(opened.dtypes)["id"] == "string" and opened.count() == 6
     people = spark.createDataFrame([("a",), ("b",)], "account_id STRING")
     files.write_accounts(people, people.limit(1), str(tmp_path / "acc"))

@@ -48,16 +48,18 @@ def test_self_transfer_counts_once(spark, people):
     assert (row.total_transactions, row.total_sent, row.total_received, row.distinct_counterparties) == (1, 7.0, 5.0, 1)
 
 
-def hops(moves, spark, seed, n, least=0.0):
+def hops(moves, spark, seed, n, least=0.0, most=graph.MAX_HOPS):
     seeds = spark.createDataFrame([(seed,)], "seed_id STRING")
-    return {r.account_id: (r.hop, r.total_amount, r.transaction_count) for r in graph.k_hop(moves, seeds, n, least).collect()}
+    return {r.account_id: (r.hop, r.total_amount, r.transaction_count) for r in graph.k_hop(moves, seeds, n, least, most).collect()}
 
 
 def test_neighbours(moves, spark):
     one = hops(moves, spark, "1:ACC001", 1)
     assert one == {"1:ACC002": (1, 9050.0, 2), "1:ACC003": (1, 8500.0, 1), "1:ACC004": (1, 9500.0, 1), "2:ACC010": (1, 50000.0, 1)}
     assert hops(moves, spark, "1:ACC001", 2)["3:ACC020"] == (2, 45000.0, 1)
-    assert set(hops(moves, spark, "1:ACC001", 9, 10_000)) == {"2:ACC010", "3:ACC020"}
+    assert set(hops(moves, spark, "1:ACC001", 9, 10_000, 9)) == {"2:ACC010", "3:ACC020"}
+    with pytest.raises(ValueError):
+        hops(moves, spark, "1:ACC001", 9)
 
 
 def test_neighbours_equal_brute_force(spark):

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import connect, difference
-from conftest import SF_DIR
+from paths import SF_DIR
 
 CORE = [
     "telemetry_hourly", "review_daily", "cost_daily", "histogram_quantiles", "in_flight", "top_agent_days", "call_pairs",

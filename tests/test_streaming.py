@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR
+from paths import SF_DIR
 from ledgerlight.operators import audit as au
 from ledgerlight.operators import rate_limit, risk, telemetry
 from ledgerlight.sources import adapters as ad
