@@ -56,4 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.table_path = path
+    return made
+
+
+def remove_tables(*tables: DataFrame) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.table_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
