@@ -147,6 +147,73 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = d.doc_id
 """
 
+PHRASES = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words
+  FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)
+), counted AS (
+  SELECT lang, phrase, k, CAST(count(*) AS HUGEINT) AS f
+  FROM (SELECT lang, k, array_to_string(words[i : i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, words, k, unnest(range(1, CAST(len(words) AS BIGINT) - k + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+  )) GROUP BY ALL HAVING count(*) >= 100
+), sizes AS (SELECT lang, CAST(sum(len(words)) AS HUGEINT) AS n FROM pieces GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.phrase, c.k, c.f AS a, x.f AS l, y.f AS r, n, cut, 1000 * c.f * n // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS w FROM counted WHERE k > 1) c
+  JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : cut], ' ')
+  JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1 : c.k], ' ')
+  JOIN sizes s ON s.lang = c.lang
+), parts AS (
+  SELECT DISTINCT lang, f, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM counted WHERE k > 2))
+), best AS (
+  SELECT * FROM cuts WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.lang = cuts.lang AND p.phrase = cuts.phrase AND 100 * p.f >= 100 * cuts.a)
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM best QUALIFY rank <= 2000
+"""
+
+# the levels of each tree as lists; a row's siblings with their sides are then folded from its leaf to the root
+MERKLE = """
+WITH RECURSIVE steps AS (
+  SELECT list(list_reduce([v, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS crc
+  FROM (SELECT CAST(range AS BIGINT) AS v FROM range(256))
+), fields AS (
+  SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS plain, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS added,
+    xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, b) AS INT) + 1]))) % 7 = 0 AS tampered
+  FROM documents, steps
+), leaves AS (
+  SELECT doc_id, coalesce('1' || lang, '0') AS tree,
+    sha256(array_to_string(list_transform(plain, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), '')) AS leaf,
+    CASE WHEN tampered THEN sha256(array_to_string(list_transform(added, lambda x: coalesce(octet_length(encode(x)) || ':' || x, '-')), '')) END AS changed
+  FROM fields
+), ordered AS (SELECT *, CAST(row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS INT) AS pos FROM leaves),
+low AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM ordered GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, list_transform(range(0, CAST(len(nodes) AS BIGINT), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM low WHERE len(nodes) > 1
+), tops AS (SELECT tree, nodes[1] AS subroot, CAST(row_number() OVER (ORDER BY tree) - 1 AS INT) AS place FROM low WHERE len(nodes) = 1),
+high AS (
+  SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM tops
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, CAST(len(nodes) AS BIGINT), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], ''))) FROM high WHERE len(nodes) > 1
+), steps_up AS (
+  SELECT doc_id, leaf, changed, place, subroot, pos, tree, 0 AS part, level, nodes, (pos >> level) AS here FROM ordered JOIN tops USING (tree) JOIN low USING (tree) WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, leaf, changed, place, subroot, pos, tree, 1, level, nodes, (place >> level) FROM ordered JOIN tops USING (tree), high WHERE len(nodes) > 1
+), paths AS (
+  SELECT tree, pos, list(CASE WHEN here % 2 = 1 THEN '<' || nodes[here] ELSE coalesce('>' || nodes[here + 2], '.') END ORDER BY part, level) AS proof FROM steps_up GROUP BY tree, pos
+), folded AS (
+  SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM high WHERE len(nodes) = 1) AS root, coalesce(proof, []) AS proof,
+    list_reduce(list_prepend(coalesce(changed, leaf), coalesce(proof, [])), lambda acc, s: CASE s[1] WHEN '<' THEN sha256(s[2:] || acc) WHEN '>' THEN sha256(acc || s[2:]) ELSE sha256(acc) END) AS folded_root
+  FROM ordered JOIN tops USING (tree) LEFT JOIN paths USING (tree, pos)
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(proof, lambda s: s[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sharding": SHARDING,
     "op2_pstable": NEAR_VECTORS,
@@ -154,4 +221,6 @@ ORACLES: dict[str, str] = {
     "op5_mixing": MIXING,
     "op9_perspectives": PERSPECTIVES,
     "op10_shingle_join": SHINGLE_JOIN,
+    "op11_phrases": PHRASES,
+    "op13_merkle": MERKLE,
 }

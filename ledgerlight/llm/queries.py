@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm import bpe, chat, line_runs, merkle, mixing, pii, pstable, quality, sharding, shingle_join, simhash
+from ledgerlight.llm import bpe, chat, language, line_runs, merkle, mixing, phrases, pii, pstable, quality, sharding, shingle_join, simhash
 from ledgerlight.llm.common import table
 
 SHARDS = 40
@@ -77,10 +77,20 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.near_documents(table(spark, sf_dir, "documents")).drop("node", "group", "mark")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.fold(F.col("doc_id")) == 0
+    return language.predict(docs, language.fit(docs)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose doc_id's checksum 7 divides are tampered with."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered).drop("proof")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op6_quality, op7_bpe, op8_pii, op9_perspectives, op10_shingle_join, op13_merkle)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_pstable, op3_fingerprints, op4_line_runs, op5_mixing, op6_quality, op7_bpe, op8_pii, op9_perspectives, op10_shingle_join, op11_phrases, op12_language, op13_merkle)}
