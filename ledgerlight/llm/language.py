@@ -19,14 +19,14 @@ FIT_ROWS = 600
 LANGUAGES = 64
 #: Bytes of a fitted document, at most, from its middle; scoring reads whole texts.
 FIT_BYTES = 1024
-HIDDEN = 16
+HIDDEN = 12
 WIDTH = 8
 #: Bytes that are labelled in one go, and those read before and after them to get the states going.
-STRETCH = 128
+STRETCH = 256
 LEAD = 8
 #: Stretches in one matrix.
-LANES = 2048
-STEPS = 700
+LANES = 1024
+STEPS = 400
 BATCH = 64
 
 #: A byte that stands for nothing: before the start and after the end.
@@ -42,90 +42,96 @@ def inputs(text: str) -> np.ndarray:
 
 
 def start(languages: int, seed: int) -> Weights:
-    """Random weights: bytes as vectors, and for each direction the gates' and the candidate's."""
+    """Random weights: bytes as vectors, and for each direction those of the two gates and of the candidate, over (state, byte's vector, 1)."""
     rng = np.random.default_rng(seed)
-    draw = lambda *shape: (rng.standard_normal(shape) / math.sqrt(shape[0])).astype(np.float32)
-    weights = {"bytes": (rng.standard_normal((256, WIDTH)) * 0.5).astype(np.float32), "out": draw(2 * HIDDEN, languages), "out_bias": np.zeros(languages, np.float32)}
+    draw = lambda *shape: (rng.standard_normal(shape) / math.sqrt(shape[1])).astype(np.float32)
+    seen = HIDDEN + WIDTH + 1
+    weights = {"bytes": draw(WIDTH, 256) * np.float32(8), "out": draw(languages, 2 * HIDDEN), "out_bias": np.zeros(languages, np.float32)}
     for side in ("ahead", "back"):
-        weights |= {
-            f"{side}_in": draw(WIDTH, 3 * HIDDEN), f"{side}_bias": np.zeros(3 * HIDDEN, np.float32),
-            f"{side}_gates": draw(HIDDEN, 2 * HIDDEN), f"{side}_new": draw(HIDDEN, HIDDEN),
-        }
+        weights |= {f"{side}_gates": draw(2 * HIDDEN, seen), f"{side}_new": draw(HIDDEN, seen)}
     return weights
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    """The logistic function, by the faster tanh."""
-    np.multiply(x, 0.5, out=x)
+def squash(x: np.ndarray) -> None:
+    """The logistic function of 2 * x, in place, by the faster tanh."""
     np.tanh(x, out=x)
-    np.multiply(x, 0.5, out=x)
-    return np.add(x, 0.5, out=x)
+    x += 1
+    x *= np.float32(0.5)
 
 
-def unroll(codes: np.ndarray, table: np.ndarray, gates: np.ndarray, new: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States after every byte: codes is (steps, lanes), the result (steps, lanes, HIDDEN).
-
-    ``table`` holds what each byte adds to the update gate, the reset gate and the candidate. With ``keep`` also all that the way back needs.
-    """
+def unroll(codes: np.ndarray, vectors: np.ndarray, gates: np.ndarray, new: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+    """States after every byte: codes is (steps, lanes), the result (steps, HIDDEN, lanes). With ``keep`` also all that the way back needs."""
     steps, lanes = codes.shape
-    states = np.empty((steps, lanes, HIDDEN), dtype=np.float32)
-    state, held = np.zeros((lanes, HIDDEN), dtype=np.float32), []
+    states = np.empty((steps, HIDDEN, lanes), dtype=np.float32)
+    state, held = np.zeros((HIDDEN, lanes), dtype=np.float32), []
+    seen = np.ones((HIDDEN + WIDTH + 1, lanes), dtype=np.float32)
+    both, fresh = np.empty((2 * HIDDEN, lanes), dtype=np.float32), np.empty((HIDDEN, lanes), dtype=np.float32)
     for t in range(steps):
-        given = table[codes[t]]
-        both = squash(given[:, : 2 * HIDDEN] + state @ gates)
-        update, reset = both[:, :HIDDEN], both[:, HIDDEN:]
-        mixed = reset * state
-        fresh = np.tanh(given[:, 2 * HIDDEN :] + mixed @ new)
+        seen[:HIDDEN] = state
+        np.take(vectors, codes[t], axis=1, mode="clip", out=seen[HIDDEN:-1])
+        first = seen.copy() if keep else seen
+        np.matmul(gates, seen, out=both)
+        squash(both)
+        seen[:HIDDEN] *= both[HIDDEN:]  # the reset gate
+        np.matmul(new, seen, out=fresh)
+        np.tanh(fresh, out=fresh)
         if keep:
-            held.append((state, both, mixed, fresh))
-        state = state + update * (fresh - state)
-        states[t] = state
+            held.append((first, both.copy(), seen.copy(), fresh.copy()))
+        step = np.subtract(fresh, state, out=states[t])
+        step *= both[:HIDDEN]  # the update gate
+        step += state
+        state = step
     return states, held
 
 
 def through_time(slopes: np.ndarray, codes: np.ndarray, held: list, gates: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Backpropagation through time: slopes of the rows of the table, of the gates' and of the candidate's weights."""
-    table = np.zeros((256, 3 * HIDDEN), dtype=np.float32)
+    """Backpropagation through time: slopes of the bytes' vectors, of the gates' and of the candidate's weights."""
+    steps, lanes = codes.shape
+    given = np.empty((WIDTH, steps, lanes), dtype=np.float32)
     d_gates, d_new = np.zeros_like(gates), np.zeros_like(new)
     carried = np.zeros_like(slopes[0])
-    for t in range(len(held) - 1, -1, -1):
-        state, both, mixed, fresh = held[t]
-        update, reset = both[:, :HIDDEN], both[:, HIDDEN:]
+    for t in range(steps - 1, -1, -1):
+        first, both, second, fresh = held[t]
+        state, update, reset = first[:HIDDEN], both[:HIDDEN], both[HIDDEN:]
         slope = slopes[t] + carried
         d_fresh = slope * update * (1 - fresh**2)
-        d_new += mixed.T @ d_fresh
-        d_mixed = d_fresh @ new.T
-        d_both = np.concatenate([slope * (fresh - state), d_mixed * state], axis=1) * both * (1 - both)
-        d_gates += state.T @ d_both
-        carried = slope * (1 - update) + d_mixed * reset + d_both @ gates.T
-        np.add.at(table, codes[t], np.concatenate([d_both, d_fresh], axis=1))
-    return table, d_gates, d_new
+        d_new += d_fresh @ second.T
+        d_second = new.T @ d_fresh
+        d_mixed = d_second[:HIDDEN]
+        d_both = np.concatenate([slope * (fresh - state), d_mixed * state]) * 2 * both * (1 - both)
+        d_gates += d_both @ first.T
+        d_first = gates.T @ d_both
+        carried = slope * (1 - update) + d_mixed * reset + d_first[:HIDDEN]
+        given[:, t] = d_second[HIDDEN:-1] + d_first[HIDDEN:-1]
+    return given.reshape(WIDTH, -1) @ np.eye(256, dtype=np.float32)[codes.ravel()], d_gates, d_new
 
 
 def chances(scores: np.ndarray) -> np.ndarray:
-    scores = np.exp(scores - scores.max(axis=-1, keepdims=True))
-    return scores / scores.sum(axis=-1, keepdims=True)
+    """Of (steps, languages, lanes), in place."""
+    scores -= scores.max(axis=1, keepdims=True)
+    np.exp(scores, out=scores)
+    scores /= scores.sum(axis=1, keepdims=True)
+    return scores
 
 
 def slopes_of(weights: Weights, codes: np.ndarray, truth: np.ndarray) -> tuple[float, Weights]:
     """Mean log loss over all bytes, each to be labelled with its text's language, and its slopes. codes is (steps, lanes)."""
     real = codes != NOTHING
-    sides = {"ahead": codes, "back": codes[::-1]}
-    ran = {s: unroll(c, weights["bytes"] @ weights[f"{s}_in"] + weights[f"{s}_bias"], weights[f"{s}_gates"], weights[f"{s}_new"], True) for s, c in sides.items()}
-    both = np.concatenate([ran["ahead"][0], ran["back"][0][::-1]], axis=2)
-    found = chances(both @ weights["out"] + weights["out_bias"])
+    lines = {"ahead": codes, "back": codes[::-1]}
+    ran = {s: unroll(c, weights["bytes"], weights[f"{s}_gates"], weights[f"{s}_new"], True) for s, c in lines.items()}
+    both = np.concatenate([ran["ahead"][0], ran["back"][0][::-1]], axis=1)
+    found = chances(weights["out"] @ both + weights["out_bias"][:, None])
     n = max(1, int(real.sum()))
-    own = np.take_along_axis(found, np.broadcast_to(truth[None, :, None], (*codes.shape, 1)), axis=2)[..., 0]
-    loss = float(-np.log(own[real] + 1e-9).sum() / n)
+    lanes = np.arange(len(truth))
+    loss = float(-np.log(found[:, truth, lanes][real] + 1e-9).sum() / n)
     error = found
-    error[:, np.arange(len(truth)), truth] -= 1
-    error *= (real / n)[..., None].astype(np.float32)
-    slopes = {"out": np.tensordot(both, error, axes=([0, 1], [0, 1])), "out_bias": error.sum(axis=(0, 1)), "bytes": np.zeros_like(weights["bytes"])}
-    down = error @ weights["out"].T
-    for side, part in (("ahead", down[..., :HIDDEN]), ("back", down[::-1, :, HIDDEN:])):
-        table, slopes[f"{side}_gates"], slopes[f"{side}_new"] = through_time(part, sides[side], ran[side][1], weights[f"{side}_gates"], weights[f"{side}_new"])
-        slopes[f"{side}_in"], slopes[f"{side}_bias"] = weights["bytes"].T @ table, table.sum(axis=0)
-        slopes["bytes"] += table @ weights[f"{side}_in"].T
+    error[:, truth, lanes] -= 1
+    error *= (real / n)[:, None].astype(np.float32)
+    slopes = {"out": np.tensordot(error, both, axes=([0, 2], [0, 2])), "out_bias": error.sum(axis=(0, 2)), "bytes": np.zeros_like(weights["bytes"])}
+    down = weights["out"].T @ error
+    for side, part in (("ahead", down[:, :HIDDEN]), ("back", down[::-1, HIDDEN:])):
+        vectors, slopes[f"{side}_gates"], slopes[f"{side}_new"] = through_time(part, lines[side], ran[side][1], weights[f"{side}_gates"], weights[f"{side}_new"])
+        slopes["bytes"] += vectors
     return loss, slopes
 
 
@@ -135,7 +141,7 @@ def train(texts: list[np.ndarray], truth: np.ndarray, languages: int, steps: int
     weights = start(languages, seed)
     first, second = ({k: np.zeros_like(w) for k, w in weights.items()} for _ in range(2))
     members = [np.flatnonzero(truth == i) for i in range(languages)]
-    size = STRETCH // 2
+    size = STRETCH // 4
     for step in range(1, steps + 1):
         drawn = np.array([rng.choice(members[i % languages]) for i in rng.permutation(max(BATCH, languages))])
         codes = np.full((size, len(drawn)), NOTHING, dtype=np.uint8)
@@ -160,29 +166,29 @@ class Model:
     names: list[str]
     weights: Weights
 
-    def label(self, codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
-        """(steps, lanes, languages): the chances of each language at each byte."""
+    def label(self, codes: np.ndarray) -> np.ndarray:
+        """(steps, languages, lanes): the chances of each language at each byte."""
         w = self.weights
-        ahead, _ = unroll(codes, tables[0], w["ahead_gates"], w["ahead_new"], False)
-        back, _ = unroll(codes[::-1], tables[1], w["back_gates"], w["back_new"], False)
-        scores = ahead.reshape(-1, HIDDEN) @ w["out"][:HIDDEN] + back[::-1].reshape(-1, HIDDEN) @ w["out"][HIDDEN:] + w["out_bias"]
-        return chances(scores).reshape(*codes.shape, -1)
+        ahead, _ = unroll(codes, w["bytes"], w["ahead_gates"], w["ahead_new"], False)
+        back, _ = unroll(codes[::-1], w["bytes"], w["back_gates"], w["back_new"], False)
+        scores = w["out"][:, :HIDDEN] @ ahead
+        scores += (w["out"][:, HIDDEN:] @ back)[::-1]
+        scores += w["out_bias"][:, None]
+        return chances(scores)
 
     def pooled(self, texts: list[str | None]) -> np.ndarray:
         """(texts, languages): the mean of the chances over the letters' bytes of each whole text; equal texts get equal ones.
 
         A text is cut into stretches, which are labelled side by side, each with a few bytes of its neighbours.
         """
-        tables = [self.weights["bytes"] @ self.weights[f"{s}_in"] + self.weights[f"{s}_bias"] for s in ("ahead", "back")]
         total = np.zeros((len(texts), len(self.names)))
         owners, rows, filled = [], np.full((LANES, STRETCH + 2 * LEAD), NOTHING, dtype=np.uint8), 0
 
         def add() -> None:
-            codes = np.ascontiguousarray(rows[:filled].T)
-            found = self.label(codes, tables)[LEAD : LEAD + STRETCH]
-            core = codes[LEAD : LEAD + STRETCH]
-            found *= LETTERS[core][..., None]
-            np.add.at(total, np.array(owners), found.sum(axis=0, dtype=np.float64))
+            codes = np.ascontiguousarray(rows[:filled].T).astype(np.intp)
+            found = self.label(codes)[LEAD : LEAD + STRETCH]
+            found *= LETTERS[codes[LEAD : LEAD + STRETCH]][:, None]
+            np.add.at(total, np.array(owners), found.sum(axis=0, dtype=np.float64).T)
 
         for i, text in enumerate(texts):
             raw = inputs(text or "")
