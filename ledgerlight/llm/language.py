@@ -26,7 +26,7 @@ STRETCH = 256
 LEAD = 8
 #: Stretches in one matrix.
 LANES = 1024
-STEPS = 400
+STEPS = 500
 BATCH = 64
 
 #: A byte that stands for nothing: before the start and after the end.
@@ -146,8 +146,9 @@ def train(texts: list[np.ndarray], truth: np.ndarray, languages: int, steps: int
         drawn = np.array([rng.choice(members[i % languages]) for i in rng.permutation(max(BATCH, languages))])
         codes = np.full((size, len(drawn)), NOTHING, dtype=np.uint8)
         for lane, i in enumerate(drawn):
-            at = rng.integers(0, max(1, len(texts[i]) - size + 1))
-            cut = texts[i][at : at + size]
+            least = rng.integers(4, size + 1)  # short texts are learnt as well
+            at = rng.integers(0, max(1, len(texts[i]) - least + 1))
+            cut = texts[i][at : at + least]
             codes[: len(cut), lane] = cut
         _, slopes = slopes_of(weights, codes, truth[drawn])
         norm = math.sqrt(sum(float((s**2).sum()) for s in slopes.values()))
