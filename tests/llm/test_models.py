@@ -146,7 +146,7 @@ def test_found_spans(spark):
         r = made[i]
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
         assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest()
-        assert set(pii.joined(base).split(",")) <= set(r.spans.split(","))
+        assert set(filter(None, pii.joined(base).split(","))) <= set(r.spans.split(","))
         if i < 1000:
             assert r.n_added == 0, (text, r.spans)
     assert made[1008].spans == "email:5:39"
