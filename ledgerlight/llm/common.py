@@ -12,6 +12,8 @@ from ledgerlight.session import cut_lineage
 #: A word is a run of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Rows of a file of two numbers, about.
+FILE_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,20 +98,24 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
     Each round points every node at its smallest neighbour, follows the pointers one step
     further and replaces the edges by those between the nodes pointed at, so paths shrink
-    by half at least. Rounds are cut by tables in the shared folder; nothing is collected.
+    by half at least. Rounds are cut by tables in the shared folder, of as many files as their rows
+    need; nothing is collected.
     """
     links = cut_lineage(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b").distinct())
+    rows = links.count()
+    parts = rows // FILE_ROWS + 1
     labels = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().select("node", F.col("node").alias("component"))
-    while not links.isEmpty():
+    while rows:
         both = links.union(links.select("b", "a"))
-        points = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")))
+        points = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).coalesce(parts))
         onward = points.select(F.col("a").alias("to"), F.col("to").alias("further"))
-        points = cut_lineage(points.join(onward, "to").select("a", F.col("further").alias("to")))
+        further = cut_lineage(points.join(onward, "to").select("a", F.col("further").alias("to")).coalesce(parts))
         labels = cut_lineage(
-            labels.join(points, labels["component"] == points["a"], "left").select("node", F.coalesce("to", "component").alias("component"))
+            labels.join(further, labels["component"] == further["a"], "left").select("node", F.coalesce("to", "component").alias("component")).coalesce(parts)
         )
-        ends = points.select(F.col("a").alias("b"), F.col("to").alias("d"))
+        ends = further.select(F.col("a").alias("b"), F.col("to").alias("d"))
         links = cut_lineage(
-            links.join(points, "a").join(ends, "b").select(F.least("to", "d").alias("a"), F.greatest("to", "d").alias("b")).where("a <> b").distinct()
+            links.join(further, "a").join(ends, "b").select(F.least("to", "d").alias("a"), F.greatest("to", "d").alias("b")).where("a <> b").distinct().coalesce(parts)
         )
+        rows = links.count()
     return labels

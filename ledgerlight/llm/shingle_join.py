@@ -25,6 +25,8 @@ HEAVY = 1 << 18
 TILE = 1024
 #: Rows that a task compares in one go, on average.
 BOX = 50_000
+#: Shingles of the sets in a slice of a tile, and in a task, on average.
+SLICE = 4_000_000
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,15 +67,20 @@ def node_of(found: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "big", signed=True) if len(found) else None
 
 
-def bitmap(found: np.ndarray, size: int = BITS) -> bytes:
+def bitmap(found: np.ndarray) -> bytes:
+    """A bitmap of a power of two of bits, four times the shingles or more; its halves laid over each other are that of half the size."""
+    size = max(BITS, 1 << (4 * len(found) - 1).bit_length())
     bits = np.zeros(size, dtype=np.uint8)
     bits[(found >> np.uint64(20)) % np.uint64(size)] = 1
     return np.packbits(bits).tobytes()
 
 
-def wide_bitmap(found: np.ndarray) -> bytes:
-    """A bitmap of a power of two of bits, four times the shingles or more; its halves laid over each other are that of half the size."""
-    return bitmap(found, max(BITS, 1 << (4 * len(found) - 1).bit_length()))
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (along the last axis) as those of ``size`` words."""
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
 
 
 def slices_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -85,17 +92,17 @@ def slices_of(rows: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tuple
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, mark, n, node, bits, wide, bands), and per frequent shingle of a chunk (token, count) with the others null.
+    """Per document (doc_id, mark, n, node, bits, bands), and per frequent shingle of a chunk (token, count) with the others null.
 
     A chunk of the task's documents gives the shingles that it
     holds twice or more: those of passages that many documents share come out of nearly every chunk.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("wide", pa.binary()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64())), ("token", pa.int64()), ("count", pa.int64())])
 
     def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(parts), return_counts=True)
         token, count = token[count > 1].view(np.int64), count[count > 1]
-        none = [pa.nulls(len(token), f.type) for f in list(schema)[:7]]
+        none = [pa.nulls(len(token), f.type) for f in list(schema)[:6]]
         return pa.RecordBatch.from_arrays([*none, pa.array(token, pa.int64()), pa.array(count, pa.int64())], schema=schema)
 
     def run(rows):
@@ -106,7 +113,6 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([node_of(s) for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([wide_bitmap(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())), nothing, nothing,
             ], schema=schema)
             for s in sets:
@@ -119,7 +125,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield frequent(parts)
 
     rows = docs.select("doc_id", text_mark(F.col("text")).alias("mark"), "text")
-    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bits binary, wide binary, bands array<long>, token long, count long")
+    return rows.mapInArrow(run, "doc_id long, mark long, n long, node long, bits binary, bands array<long>, token long, count long")
 
 
 def shared_tokens(docs: DataFrame, heavy: np.ndarray, buckets: int) -> DataFrame:
@@ -226,15 +232,9 @@ def may_link(n: np.ndarray, m: np.ndarray, one: np.ndarray, two: np.ndarray) ->
 
 
 def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose sizes and wide bitmaps, folded to the smaller one's size, allow a link."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("wide").alias("wide1"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("wide").alias("wide2"))
-
-    def folded(bits: np.ndarray, size: int) -> np.ndarray:
-        while len(bits) > size:
-            half = len(bits) // 2
-            bits = bits[:half] | bits[half:]
-        return bits
+    """Those of the pairs (a, b) whose sizes and bitmaps, folded to the smaller one's size, allow a link."""
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
 
     def allowed(n, m, left, right):
         left, right = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
@@ -244,12 +244,12 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             n, m = batch.column("n1").to_pylist(), batch.column("n2").to_pylist()
-            left, right = batch.column("wide1"), batch.column("wide2")
+            left, right = batch.column("bits1"), batch.column("bits2")
             keep = [allowed(n[i], m[i], left[i].as_buffer(), right[i].as_buffer()) for i in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     near = pairs.join(one, "a").join(two.select("b", "n2"), "b").where(F.expr(f"{PERCENT} * greatest(n1, n2) <= 100 * least(n1, n2)"))
-    return near.join(two.select("b", "wide2"), "b").mapInArrow(run, "a long, b long")
+    return near.join(two.select("b", "bits2"), "b").mapInArrow(run, "a long, b long")
 
 
 def linked_pairs(pairs: DataFrame, slim: DataFrame) -> DataFrame:
@@ -285,47 +285,105 @@ def linked_pairs(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def candidate_pairs(postings: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), distinct: nodes of different label that share a token, with sizes and bitmaps that allow a link.
+def shared(one: np.ndarray, two: np.ndarray) -> int:
+    """Elements that two sorted arrays without repeats have in common."""
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    spot = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    return int((large[spot] == small).sum())
+
 
-    Postings (token, node) make tiles of a token and a band of sizes. Bands are powers of 1.25, so linked sets are in
-    one band or in neighbours; a node goes to its own band's tile and the next one's, and a pair is taken
-    in the tile of the larger set's band. A tile of many nodes is cut into pairs of slices. The overlap is bounded by sizes less the bits that only one bitmap has.
+def tiles(postings: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(token, tile, i, j, node, label, n, band, part): nodes of different labels that share a token, by tiles of neighbouring sizes.
+
+    Bands are powers of 1.25, so linked sets are in one band or in neighbours; a node goes to its own band's tile and the
+    next one's, and a pair is taken in the tile of the larger set's band. A tile of many nodes, or of large sets, is cut into pairs of slices.
     """
     rows = postings.join(labels, "node").join(nodes.select("node", "n"), "node")
     rows = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / PERCENT)) + 1e-9).cast("int"))
     rows = rows.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     sizes = rows.groupBy("token", "tile").agg(
-        F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("band") == F.col("tile")).alias("own")
-    ).where("m > 1 AND lo < hi AND own").select("token", "tile", "m", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
-    sizes = cut_lineage(sizes)
-    boxes = (sizes.agg(F.sum(F.col("m") * F.col("parts")).alias("rows")).first()["rows"] or 0) // BOX + 16
-    cut = rows.join(sizes.drop("m"), ["token", "tile"]).join(nodes.select("node", "bits"), "node")
-    cut = cut.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        F.count("*").alias("m"), F.sum("n").alias("all"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.col("band") == F.col("tile")).alias("own")
+    ).where("m > 1 AND lo < hi AND own")
+    sizes = sizes.select("token", "tile", F.greatest(F.ceil(F.col("m") / TILE), F.ceil(F.col("all") / SLICE)).cast("int").alias("parts"))
+    cut = rows.join(sizes, ["token", "tile"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cut = cut.withColumns({"i": F.least("part", "with"), "j": F.greatest("part", "with")})
-    box = F.pmod(F.xxhash64("token", "tile", "i", "j"), F.lit(boxes))
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, label, size = (pdf[c].to_numpy() for c in ("node", "label", "n"))
-        band, tile, part = (pdf[c].to_numpy() for c in ("band", "tile", "part"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1)
-        lefts, rights = [], []
-        for (_, t, i, j), at in pdf.groupby(["token", "tile", "i", "j"], sort=False).indices.items():
-            for x, one in enumerate(at[:-1]):
-                rest = at[x + 1 :]
-                ok = (label[rest] != label[one]) & ((band[rest] == t) | (band[one] == t))
-                if i != j:
-                    ok &= part[rest] != part[one]
-                rest = rest[ok]
-                rest = rest[may_link(size[one], size[rest], bits[one], bits[rest])]
-                lefts.append(np.minimum(node[one], node[rest]))
-                rights.append(np.maximum(node[one], node[rest]))
-        a, b = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (lefts, rights))
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    made = cut.withColumn("box", box).groupBy("box").applyInPandas(near, "a long, b long")
-    return likely_pairs(made.distinct(), nodes)
+    return cut.select("token", "tile", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"), "node", "label", "n", "band", "part")
+
+
+TILED = ["token", "tile", "i", "j"]
+
+
+def near_by_tile(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Iterator[np.ndarray]]]:
+    """For each tile of a table with bitmaps: its rows' places, labels, and for each of its rows the later ones that may link to it.
+
+    What comes out for a row depends on the labels at that time: the caller may join labels as it goes.
+    """
+    label, size = pdf["label"].to_numpy(), pdf["n"].to_numpy()
+    band, tile, part = (pdf[c].to_numpy() for c in ("band", "tile", "part"))
+    for (_, t, i, j), at in pdf.groupby(TILED, sort=False).indices.items():
+        raw = [np.frombuffer(b, dtype=np.uint64) for b in pdf["bits"].iloc[at]]
+        width = min(map(len, raw))
+        bits = np.stack([folded(b, width) for b in raw])
+        short, names = folded(bits, BITS // 64), label[at].copy()
+
+        def later(x, at=at, bits=bits, short=short, names=names, t=t, i=i, j=j):
+            rest = np.arange(x + 1, len(at))
+            ok = (names[rest] != names[x]) & ((band[at[rest]] == t) | (band[at[x]] == t))
+            if i != j:
+                ok &= part[at[rest]] != part[at[x]]
+            rest = rest[ok]
+            for tried in (short, bits):
+                rest = rest[may_link(size[at[x]], size[at[rest]], tried[x], tried[rest])]
+            return rest
+
+        yield at, names, later
+
+
+def tile_members(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those rows of the tiles that have a partner there, by sizes and bitmaps."""
+    boxes = placed.count() // BOX + 16
+    names = placed.columns
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema)
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        partnered = np.zeros(len(pdf), dtype=bool)
+        for at, _, later in near_by_tile(pdf):
+            for x in range(len(at) - 1):
+                rest = later(x)
+                if len(rest):
+                    partnered[at[x]] = True
+                    partnered[at[rest]] = True
+        return pdf.loc[partnered, names]
+
+    rows = placed.join(nodes.select("node", "bits"), "node").withColumn("box", F.pmod(F.xxhash64(*TILED), F.lit(boxes)))
+    return rows.groupBy("box").applyInPandas(find, kept)
+
+
+def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each tile, links that tie together all its members that are tied by links, one fewer than there are members at most.
+
+    Pairs that the bitmaps allow are checked on the sorted hashes, unless both are tied already.
+    """
+    boxes = (members.agg(F.sum("n").alias("n")).first()["n"] or 0) // SLICE + 16
+
+    def tie(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, size, lefts, rights = pdf["node"].to_numpy(), pdf["n"].to_numpy(), [], []
+        raw = [np.frombuffer(x, dtype=np.uint64) for x in pdf["raw"]]
+        pdf = pdf.assign(bits=[bitmap(x) for x in raw])
+        for at, names, later in near_by_tile(pdf):
+            for x in range(len(at) - 1):
+                for y in later(x):
+                    if names[x] == names[y]:
+                        continue
+                    both = shared(raw[at[x]], raw[at[y]])
+                    if 100 * both >= PERCENT * (size[at[x]] + size[at[y]] - both):
+                        names[names == names[y]] = names[x]
+                        lefts.append(min(node[at[x]], node[at[y]]))
+                        rights.append(max(node[at[x]], node[at[y]]))
+        return pd.DataFrame({"a": np.array(lefts, dtype=np.int64), "b": np.array(rights, dtype=np.int64)})
+
+    rows = members.join(sets, "node").withColumn("box", F.pmod(F.xxhash64(*TILED), F.lit(boxes)))
+    return rows.groupBy("box").applyInPandas(tie, "a long, b long")
 
 
 def open_postings(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -348,12 +406,11 @@ def near_documents(docs: DataFrame) -> DataFrame:
     reachable by links. The join is exact up to equal 64-bit hashes of different shingles:
 
     1. equal sets are one node, named by a 64-bit digest;
-    2. nodes that share a MinHash band, and whose bitmaps allow it, are paired with the least of the band, which ties large
-       groups of near copies together by as many checks as they have members;
+    2. nodes that share a MinHash band, and whose bitmaps allow it, are checked against the least of the band, which ties most
+       of a large group of near copies together by as many checks as it has members;
     3. any other linked pair must share one of the first 20 % of its shingles in a common order: nodes that share one
        and are not tied yet are compared by tiles of neighbouring size bands, by bitmap;
-    4. all these pairs are checked exactly, on the sorted hashes; where checks of step 2 fail, so that a group falls apart, step 3 is
-       done inside it.
+    4. in tiles where bitmaps allow links the sets are intersected, and each tile hands on as many links as tie its members together.
 
     A document without words or text has n_shingles 0, links with nothing and is its own component. A null doc_id
     takes part, and its component_id is null only if no document with an id is reachable. Rows under one doc_id are documents of
@@ -363,43 +420,34 @@ def near_documents(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text")
     made = cut_lineage(digests(slim))
     every = made.where("token IS NULL")
-    nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "bits", "wide", "bands")])
+    nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "bits", "bands")])
     nodes = cut_lineage(nodes)  # rows of one node are equal but for the id
     frequent = made.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("n")).where("n >= 16")
     heavy = frequent.orderBy(F.desc("n"), "token").limit(HEAVY).select("token").toPandas()["token"].to_numpy(dtype=np.int64)[::-1].view(np.uint64)
 
-    # nodes that share a band: to be checked against the least of them
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The sets of nodes, from the texts of the least documents that have them."""
+        holders = nodes.join(wanted, "node").select("least").distinct()
+        full = whole_sets(slim.join(holders, slim["doc_id"].eqNullSafe(holders["least"]), "left_semi"))
+        return full.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("raw").alias("raw"))
+
+    # nodes that share a band are checked against the least of them
     bands = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     hubs = bands.groupBy("band", "key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("band", "key", "a")
     stars = bands.join(hubs, ["band", "key"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
     stars = cut_lineage(likely_pairs(stars, nodes))
-    likely = components(stars)
+    ends = cut_lineage(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = cut_lineage(linked_pairs(stars, cut_lineage(sets_of(ends))))
+    groups = components(links)
 
-    # nodes that share a shingle of their prefixes and aren't likely to be joined by the checks above
+    # nodes that share a shingle of their prefixes and aren't tied yet are compared
     size = every.agg(F.sum("n").alias("n")).first()["n"] or 0
     postings = cut_lineage(shared_tokens(slim, heavy, size // 2_500_000 + 1).distinct())
-    labels = cut_lineage(nodes.select("node").join(likely, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-    rest = cut_lineage(candidate_pairs(open_postings(postings, labels), nodes, labels))
-
-    # the sets of the nodes to be checked, from the texts of the least documents that have them
-    pairs = stars.union(rest).distinct()
-    wanted = cut_lineage(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    holders = nodes.join(wanted, "node").select("least").distinct()
-    full = whole_sets(slim.join(holders, slim["doc_id"].eqNullSafe(holders["least"]), "left_semi"))
-    full = cut_lineage(full.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("raw").alias("raw")))
-    links = cut_lineage(linked_pairs(pairs, full))
-    groups = components(links)
-
-    # where a check failed, likely groups fell apart: their members are compared with each other as well
-    parts = labels.join(likely.select("node"), "node", "left_semi").join(groups, "node", "left").select("node", "label", F.coalesce("component", "node").alias("part"))
-    broken = parts.groupBy("label").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("label")
-    apart = cut_lineage(parts.join(broken, "label"))
-    inner = postings.join(apart.select("node", F.col("label").alias("group")), "node").select(F.xxhash64("token", "group").alias("token"), "node")
-    again = apart.select("node", F.col("part").alias("label"))
-    more = cut_lineage(candidate_pairs(open_postings(inner, again), nodes, again))
-    more = cut_lineage(linked_pairs(more, full))
-    if not more.isEmpty():
-        groups = components(links.union(more))
+    labels = cut_lineage(nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    placed = cut_lineage(tiles(open_postings(postings, labels), nodes, labels))
+    members = cut_lineage(tile_members(placed, nodes))
+    more = tile_links(members, sets_of(cut_lineage(members.select("node").distinct())))
+    groups = components(links.union(more))
     named = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
     least = named.groupBy("group").agg(F.min("least").alias("found"))
     named = named.join(least, "group").select("node", "group", "found")
