@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +11,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+def per_worker(name: str, make: Callable[[], object]):
+    """One object for all tasks of a Python worker. Functions come to workers by value, so this module's own globals would not last."""
+    kept = sys.__dict__.setdefault("_ledgerlight_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str, rows: int = 256) -> DataFrame:
     """``make`` is called once a task and gives a function from columns (lists of one slice) to columns.
 

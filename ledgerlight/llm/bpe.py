@@ -10,12 +10,34 @@ from heapq import heapify, heappop, heappush
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.arrow import map_rows
+from ledgerlight.llm.arrow import map_rows, per_worker
 
 #: White space as Unicode has it; the pre-tokenizer and normalizer of the vocabulary file use it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words, and pieces, of which a task keeps the encoding; common ones come early, later ones are encoded each time.
-MEMO = 100_000
+#: Words, and pieces, of which a worker keeps the encoding, per generation.
+MEMO = 75_000
+
+
+class Memo:
+    """What was found for a key, in two generations: a full young one becomes the old one, so what is asked for stays."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, found) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = found
 
 
 def byte_letters() -> list[str]:
@@ -51,8 +73,8 @@ class Codec:
         self.rank_of = self.ranks.get
         self.digits = {i: str(i) for i in self.strings}
         self.controls = regex.compile("[\x1c-\x1f]").search
-        self.by_word: dict[str, tuple[int, str, str]] = {}
-        self.by_piece: dict[str, list[int]] = {}
+        self.by_word = Memo(MEMO)
+        self.by_piece = Memo(MEMO)
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: the pair of least rank, leftmost first, is joined until none is left.
@@ -103,16 +125,11 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]
 
-    def remember(self, memo: dict, key: str, ids: list[int]) -> tuple[int, str, str]:
-        """(number of ids, the ids as text, the decoded text), kept while there is room."""
-        digits = self.digits
-        found = (len(ids), " ".join([digits[i] for i in ids]), self.decode(ids))
-        if len(memo) < MEMO:
-            memo[key] = found
-        return found
-
     def told(self, word: str) -> tuple[int, str, str]:
-        """What a stretch of text without special tokens encodes to."""
+        """(number of ids, the ids as text, the decoded text) of a stretch of text without special tokens."""
+        known = self.by_word.get(word)
+        if known is not None:
+            return known
         raw = word
         if not word.isascii():
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")  # letters are lowered one by one, so no final sigma
@@ -121,17 +138,22 @@ class Codec:
             known = self.by_piece.get(piece)
             if known is None:
                 known = self.merge(piece)
-                if len(self.by_piece) < MEMO:
-                    self.by_piece[piece] = known
+                self.by_piece.put(piece, known)
             ids += known
-        return self.remember(self.by_word, raw, ids)
+        digits = self.digits
+        found = (len(ids), " ".join([digits[i] for i in ids]), self.decode(ids))
+        self.by_word.put(raw, found)
+        return found
 
     def section(self, text: str) -> list[tuple[int, str, str]]:
         """Pieces never hold white space, so a text is taken word by word and each word is encoded once."""
         if self.controls(text):  # str.split also parts at these, the vocabulary's white space does not
             return [self.told(text)]
-        known, told = self.by_word.get, self.told
-        return [known(w) or told(w) for w in text.split()]
+        told, words, found = self.told, text.split(), []
+        for at in range(0, len(words), 1000):  # the young generation may be another one after a thousand words
+            known = self.by_word.young.get
+            found += [known(w) or told(w) for w in words[at : at + 1000]]
+        return found
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """(number of ids, ids as text, decoded text) of each part of a text that has ids."""
@@ -164,7 +186,7 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
     made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["ids array<int>", "decoded string"] if texts else [])]
 
     def make():
-        coder = codec(path)
+        coder = per_worker(f"codec of {path}", lambda: codec(path))
 
         def work(columns: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {k: columns[k] for k in kept} | {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
