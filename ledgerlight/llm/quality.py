@@ -148,10 +148,9 @@ def context_vectors(sample: DataFrame, known: list[tuple[bytes, bytes]]) -> dict
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(sums[used].tolist(), pa.list_(pa.int64()))], names=["at", "sums"])
 
     rows = sample.select("text").mapInArrow(run, "at long, sums array<long>")
-    added = rows.select("at", F.posexplode("sums").alias("d", "x")).groupBy("at", "d").agg(F.sum("x").alias("x"))
+    added = rows.groupBy("at").agg(*[F.sum(F.col("sums")[d]).alias(f"d{d}") for d in range(DIMENSIONS)]).toArrow()  # a row per unit
     total = np.zeros((len(known), DIMENSIONS))
-    for r in added.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).collect():  # a row per unit
-        total[r["at"]] = [x["x"] for x in r["v"]]
+    total[added.column("at").to_numpy()] = np.stack([added.column(f"d{d}").to_numpy() for d in range(DIMENSIONS)], axis=1)
     size = np.linalg.norm(total, axis=1, keepdims=True)
     total = total / np.where(size == 0, 1, size) + index / math.sqrt(NONZERO)
     found: dict[bytes, dict[bytes, np.ndarray]] = {b"w": {}, b"s": {}, b"m": {}}
@@ -199,17 +198,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, size: int = UN
             known = sent.value
             return lambda columns: {"doc_id": columns["doc_id"], "good": columns["good"], "pooled": [pool(t, known).tolist() for t in columns["text"]]}
 
-        got = map_rows(sample, make, "doc_id long, good int, pooled array<double>").toPandas().sort_values("doc_id", kind="stable")
+        got = map_rows(sample, make, "doc_id long, good int, pooled array<double>").toArrow().sort_by("doc_id")
+        sent.destroy()
     finally:
         sample.unpersist()
     width = DIMENSIONS + 1
-    good = got["good"].to_numpy(dtype=int)
+    good = got.column("good").to_numpy().astype(int)
     if len(set(good)) < 2:  # nothing to tell apart: the share of good rows, or a half
         share = float(good.mean()) if len(good) else 0.5
         share = min(max(share, 0.001), 0.999)
         return Model(vectors, np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), math.log(share / (1 - share)), 1.0)
-    pooled = np.array(got["pooled"].tolist())
-    calibrate = np.array([zlib.crc32(b"calibrate%d" % d) % 5 == 0 for d in got["doc_id"]])
+    pooled = got.column("pooled").combine_chunks().flatten().to_numpy().reshape(-1, width)
+    calibrate = np.array([zlib.crc32(b"calibrate%d" % d) % 5 == 0 for d in got.column("doc_id").to_pylist()])
     return Model(vectors, *train(pooled, good, calibrate))
 
 
