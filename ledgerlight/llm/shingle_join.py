@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import components, text_mark
-from ledgerlight.session import cut_lineage
+from ledgerlight.session import cut_lineage, remove_tables
 
 WORDS = 5
 PERCENT = 80
@@ -359,6 +359,18 @@ def tile_members(placed: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("box").applyInPandas(find, kept)
 
 
+def different_tiles(members: DataFrame) -> DataFrame:
+    """The rows of one tile of those that compare the same members: the shingles of a shared passage make very many such.
+
+    Lists of members are told apart by their length and two 64-bit sums of hashes. Tiles of two slices stay all.
+    """
+    lists = members.where("i = j").groupBy("tile", "token", "i").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
+    )
+    one = lists.groupBy("tile", "m", "x", "y").agg(F.min(F.struct("token", "i")).alias("one")).select("tile", "one.token", "one.i")
+    return members.where("i < j").unionByName(members.where("i = j").join(one, ["tile", "token", "i"], "left_semi").select(members.columns))
+
+
 def tile_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): for each tile, links that tie together all its members that are tied by links, one fewer than there are members at most.
 
@@ -437,7 +449,8 @@ def near_documents(docs: DataFrame) -> DataFrame:
     stars = bands.join(hubs, ["band", "key"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
     stars = cut_lineage(likely_pairs(stars, nodes))
     ends = cut_lineage(stars.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    links = cut_lineage(linked_pairs(stars, cut_lineage(sets_of(ends))))
+    full = cut_lineage(sets_of(ends))
+    links = cut_lineage(linked_pairs(stars, full))
     groups = components(links)
 
     # nodes that share a shingle of their prefixes and aren't tied yet are compared
@@ -445,7 +458,9 @@ def near_documents(docs: DataFrame) -> DataFrame:
     postings = cut_lineage(shared_tokens(slim, heavy, size // 2_500_000 + 1).distinct())
     labels = cut_lineage(nodes.select("node").join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("label")))
     placed = cut_lineage(tiles(open_postings(postings, labels), nodes, labels))
-    members = cut_lineage(tile_members(placed, nodes))
+    found = cut_lineage(tile_members(placed, nodes))
+    members = cut_lineage(different_tiles(found))
+    remove_tables(postings, labels, placed, found, full)
     more = tile_links(members, sets_of(cut_lineage(members.select("node").distinct())))
     groups = components(links.union(more))
     named = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("group"))
