@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlight.session import cut_lineage
+
 # Fixed value: what the first entry of a chain points back to.
 GENESIS = "0" * 64
 # Fixed value: decision statuses that start a call.
@@ -116,12 +121,67 @@ def _sorted(field: Column, kind: T.DataType) -> Column:
     return field
 
 
+def _lower_escapes(text: Column) -> Column:
+    """Escapes of control characters with small hex digits; a backslash that is itself escaped starts none."""
+    lowered = text
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        lowered = F.regexp_replace(lowered, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.when(text.rlike(r"\\u00[01][A-F]"), lowered).otherwise(text)
+
+
+def _has(kind: T.DataType, wanted: tuple[type, ...]) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has(f.dataType, wanted) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _has(kind.elementType, wanted)
+    return isinstance(kind, wanted) or (isinstance(kind, T.MapType) and _has(kind.valueType, wanted))
+
+
+def _plain(value, kind: T.DataType):
+    """An Arrow value as what ``json`` writes for its type; map keys become texts."""
+    if value is None:
+        return None
+    if isinstance(kind, T.StructType):
+        return {f.name: _plain(value[f.name], f.dataType) for f in kind.fields}
+    if isinstance(kind, T.ArrayType):
+        return [_plain(v, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType):
+        return {str(k): _plain(v, kind.valueType) for k, v in value}
+    return value if isinstance(value, (bool, int, float, str)) else str(value)
+
+
+def _json_of(row: Column, kind: T.DataType) -> Column:
+    """JSON in the JVM where its digits are the canonical ones; doubles and maps go through an Arrow function.
+
+    The JVM lays doubles out by other rules (``1.0E-5`` for ``1e-05``) and not always in the fewest digits, and it doesn't sort maps.
+    """
+    if not _has(kind, (T.DoubleType, T.FloatType, T.MapType)):
+        return _lower_escapes(ascii_only(F.to_json(row, {"ignoreNullFields": "false"})))
+
+    def write(values: pa.Array) -> pa.Array:
+        import json
+
+        plain = [_plain(v, kind) for v in values.to_pylist()]
+        return pa.array([None if v is None else json.dumps(v, sort_keys=True, separators=(",", ":")) for v in plain], pa.string())
+
+    return F.arrow_udf(write, "string")(row)
+
+
+def _type_of(kind: T.DataType) -> T.DataType:
+    """The type that ``_sorted`` gives."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _type_of(f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_type_of(kind.elementType))
+    return T.StringType() if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else kind
+
+
 def canonical_json(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Deterministic JSON of the named columns: sorted keys, no spaces, nulls kept, ASCII only."""
+    """Deterministic JSON of the named columns: sorted keys, no spaces, nulls kept, ASCII only, numbers in the fewest digits."""
     fields = {f.name: f.dataType for f in df.schema.fields}
     names = sorted(columns or fields)
     row = F.struct(*[_sorted(F.col(name), fields[name]).alias(name) for name in names])
-    return ascii_only(F.to_json(row, {"ignoreNullFields": "false"}))
+    return _json_of(row, T.StructType([T.StructField(name, _type_of(fields[name])) for name in names]))
 
 
 def entry_columns(df: DataFrame) -> list[str]:
@@ -135,7 +195,7 @@ def entry_hash(df: DataFrame) -> Column:
 
 def args_hash(df: DataFrame, column: str) -> Column:
     kind = df.schema[column].dataType
-    return F.sha2(ascii_only(F.to_json(_sorted(F.col(column), kind), {"ignoreNullFields": "false"})), 256)
+    return F.sha2(_json_of(_sorted(F.col(column), kind), _type_of(kind)), 256)
 
 
 def redaction_proof(df: DataFrame, args: str, stored_hash: str) -> DataFrame:
@@ -185,6 +245,40 @@ def seal_blocks(chained: DataFrame, fan_in: int = 64) -> DataFrame:
     return groups.select("segment", F.size("tails").alias("blocks"), "entries", digest.alias("digest"))
 
 
+def seal_levels(chained: DataFrame, fan_in: int = 64) -> DataFrame:
+    """(level, segment, entries, digest): the blocks' last hashes as level 0, then the digests of ``fan_in`` neighbours, up to one root.
+
+    A segment folds the digests below it from the genesis value, so one that is missing or was changed changes every
+    digest above it. Each level is a ``fan_in``-th of the one before and is a table of its own.
+    """
+    level = chained.groupBy(F.col("block").alias("segment")).agg(F.count("*").alias("entries"), F.max_by("this_hash", "id").alias("digest"))
+    levels = [cut_lineage(level.select(F.lit(0).alias("level"), "segment", "entries", "digest"))]
+    while levels[-1].agg(F.max("segment").alias("last")).first()["last"] or len(levels) == 1:
+        groups = levels[-1].groupBy(F.floor(F.col("segment") / fan_in).alias("above")).agg(
+            F.array_sort(F.collect_list(F.struct("segment", "digest"))).alias("below"), F.sum("entries").alias("entries")
+        )
+        digest = F.aggregate("below", F.lit(GENESIS), lambda acc, part: F.sha2(F.concat(acc, part["digest"]), 256))
+        levels.append(cut_lineage(groups.select(F.lit(len(levels)).alias("level"), F.col("above").alias("segment"), "entries", digest.alias("digest"))))
+        if levels[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, levels)
+
+
+def seal_root(chained: DataFrame, fan_in: int = 64) -> DataFrame:
+    """One row: the root over all segments, the number of levels and of entries; none for an empty chain."""
+    sealed = seal_levels(chained, fan_in)
+    top = sealed.agg(F.max("level").alias("levels"), F.max_by(F.struct("digest", "entries"), "level").alias("top"))
+    return top.where("levels IS NOT NULL").select(F.col("top.digest").alias("root"), "levels", F.col("top.entries").alias("entries"))
+
+
+def seal_differences(kept: DataFrame, found: DataFrame) -> DataFrame:
+    """(level, segment, problem): segments of the kept seal that are missing or changed now, and those that are new."""
+    old = kept.select("level", "segment", F.col("digest").alias("old"))
+    both = old.join(found.select("level", "segment", F.col("digest").alias("new")), ["level", "segment"], "full")
+    problem = F.when(F.col("new").isNull(), "missing").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "changed")
+    return both.select("level", "segment", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def chain_checks(
     entries: DataFrame, expected_hash: Column, restart: str | None = None, bucket_rows: int = 1 << 20
 ) -> DataFrame:
