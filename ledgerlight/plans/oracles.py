@@ -548,6 +548,25 @@ add(
   list_reduce(list_prepend('{GENESIS}', list(tail ORDER BY block)), lambda acc, x: sha256(acc || x)) AS digest
 FROM (SELECT block, len(bodies) AS n, list_reduce(list_prepend('{GENESIS}', bodies), lambda acc, x: sha256(acc || x)) AS tail FROM blocks) GROUP BY 1""",
 )
+add(
+    "chain_root",
+    f"""SELECT root, levels, entries FROM (
+  WITH RECURSIVE sealed AS (
+    SELECT 0 AS level, list(tail ORDER BY block) AS nodes
+    FROM (SELECT block, list_reduce(list_prepend('{GENESIS}', bodies), lambda acc, x: sha256(acc || x)) AS tail FROM blocks)
+    UNION ALL
+    SELECT level + 1, list_transform(range(0, CAST(len(nodes) AS BIGINT), 64), lambda i: list_reduce(list_prepend('{GENESIS}', nodes[i + 1 : i + 64]), lambda acc, x: sha256(acc || x)))
+    FROM sealed WHERE len(nodes) > 1 OR level = 0
+  )
+  SELECT nodes[1] AS root, CAST(level AS INT) AS levels, (SELECT CAST(sum(len(bodies)) AS BIGINT) FROM blocks) AS entries FROM sealed WHERE len(nodes) = 1 AND level > 0
+)""",
+)
+add(
+    "canonical_numbers",
+    """SELECT l_orderkey, l_linenumber, concat('{"each":', CAST(price / quantity AS VARCHAR), ',"huge":', CAST(price * 1e15 AS VARCHAR), ',"parts":{"a":', CAST(discount * 1e4 AS VARCHAR),
+  ',"z":', CAST(quantity / 3 AS VARCHAR), '},"price":', CAST(price AS VARCHAR), ',"tiny":', CAST(discount / 1e7 AS VARCHAR), '}') AS body
+FROM (SELECT l_orderkey, l_linenumber, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS quantity, CAST(l_discount AS DOUBLE) AS discount FROM lineitem)""",
+)
 add(
     "chain_verify",
     "SELECT true AS valid, count(*) AS checked, count(*) AS total, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS in_scope FROM audit",

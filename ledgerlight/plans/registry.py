@@ -362,6 +362,22 @@ def chain_seal(s, d):
     return au.seal_blocks(au.build_chain(_entries(s, d)))
 
 
+@query
+def chain_root(s, d):
+    return au.seal_root(au.build_chain(_entries(s, d)))
+
+
+@query
+def canonical_numbers(s, d):
+    """Doubles of all sizes, and a map, as canonical JSON."""
+    price, quantity, discount = (F.col(f"l_{c}").cast("double") for c in ("extendedprice", "quantity", "discount"))
+    rows = ad.table(s, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", price.alias("price"), (price / quantity).alias("each"), (discount / 1e7).alias("tiny"), (price * 1e15).alias("huge"),
+        F.create_map(F.lit("z"), quantity / 3, F.lit("a"), discount * 1e4).alias("parts"),
+    )
+    return rows.select("l_orderkey", "l_linenumber", au.canonical_json(rows, ["price", "each", "tiny", "huge", "parts"]).alias("body"))
+
+
 def _tampered(s, d):
     """The built chain with one agent's statuses edited and one agent's links cut afterwards."""
     chained = cut_lineage(au.build_chain(_entries(s, d)))
