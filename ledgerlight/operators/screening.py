@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Pairs compared in one numpy step: keeps the working arrays near the processor cache.
-PAIRS_AT_ONCE = 32_768
+# Pairs of a numpy step, and the table cells its edit distances may take.
+PAIRS_AT_ONCE = 262_144
+CELLS_AT_ONCE = 1_000_000
+# Weights of word likeness, and of parts and word sets of names 1.5 and 8 times as long.
+WORDS_WEIGHT = 0.95
+PART_WEIGHT = 0.9
+FAR_PART_WEIGHT = 0.6
 # Null marker, default threshold, and where a listed entry can be looked up.
 NULL_MARK = "-0-"
 MATCH_THRESHOLD = 70.0
@@ -37,52 +44,217 @@ def reference_url(ent_num: Column) -> Column:
     return F.concat(F.lit(REFERENCE_URL), ent_num)
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _columns(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Texts as columns of code points (zero-padded) and their lengths."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    table = np.zeros((max(1, int(lengths.max(initial=0))), len(texts)), dtype=np.int32)
+    table = np.zeros((int(lengths.max(initial=0)), len(texts)), dtype=np.int32)
     for column, text in enumerate(texts):
         table[: len(text), column] = [ord(c) for c in text]
     return table, lengths
 
 
-def _edits(asked: tuple[np.ndarray, np.ndarray], listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Edit distance of every asked text (rows) to every listed one (columns), one position pair per step."""
-    a_codes, a_sizes = asked
-    codes, sizes = listed
-    height, q, n = len(codes), len(a_sizes), len(sizes)
-    before = np.empty((height + 1, q, n), dtype=np.int16)
-    before[:] = np.arange(height + 1, dtype=np.int16)[:, None, None]
+def _block_edits(left: list[str], right: list[str]) -> np.ndarray:
+    (a, a_sizes), (b, b_sizes) = _columns(left), _columns(right)
+    every = np.arange(len(left))
+    before = np.repeat(np.arange(len(b) + 1, dtype=np.int32)[:, None], len(left), axis=1)
     after = np.empty_like(before)
-    step = np.empty((q, n), dtype=np.int16)
-    result = np.repeat(sizes[None, :].astype(np.int16), q, axis=0)
-    every = np.arange(n)
-    for i in range(1, int(a_sizes.max(initial=0)) + 1):
+    result = b_sizes.astype(np.int32)
+    for i in range(1, len(a) + 1):
         after[0] = i
-        row = a_codes[i - 1][:, None]
-        for j in range(1, height + 1):
-            np.add(before[j - 1], codes[j - 1][None, :] != row, out=step, casting="unsafe")
-            np.minimum(before[j], after[j - 1], out=after[j])
-            after[j] += 1
-            np.minimum(after[j], step, out=after[j])
-        done = np.flatnonzero(a_sizes == i)
-        if len(done):
-            result[done] = after[sizes[None, :], done[:, None], every[None, :]]
+        for j in range(1, len(b) + 1):
+            after[j] = np.minimum(np.minimum(before[j], after[j - 1]) + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
+        done = a_sizes == i
+        result[done] = after[b_sizes, every][done]
         before, after = after, before
-    return result.astype(np.float64)
-
-
-def name_scores(asked: list[str], whole: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """0-100 per asked and listed name: the better of whole-string likeness and, at 95 %, of the sorted words."""
-
-    def likeness(texts: list[str], listed: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        coded = _codes(texts)
-        longest = np.maximum(coded[1][:, None], listed[1][None, :])
-        return np.where(longest == 0, 0.0, 1.0 - _edits(coded, listed) / np.maximum(longest, 1))
+    return result
+
+
+def edits(left: list[str], right: list[str]) -> np.ndarray:
+    """Edit distance of each pair of texts; pairs of like length go together, in blocks of at most ``CELLS_AT_ONCE`` cells."""
+    result = np.zeros(len(left), dtype=np.int64)
+    sizes = np.array([max(len(x), len(y)) + 1 for x, y in zip(left, right, strict=True)], dtype=np.int64)
+    order = np.argsort(sizes, kind="stable")
+    end = len(order)
+    while end:
+        start = max(0, end - max(1, CELLS_AT_ONCE // int(sizes[order[end - 1]])))
+        at = order[start:end]
+        result[at] = _block_edits([left[i] for i in at], [right[i] for i in at])
+        end = start
+    return result
+
+
+def _numbered(parts: list[str]) -> list[tuple[str, int]]:
+    """Parts with the number of their occurrence, so that sets of them meet as the bags do."""
+    seen: dict[str, int] = {}
+    out = []
+    for part in parts:
+        seen[part] = seen.get(part, 0) + 1
+        out.append((part, seen[part]))
+    return out
+
+
+class _Text:
+    """What the scores and their bounds need of one normalised name."""
+
+    def __init__(self, normal: str):
+        self.normal = normal
+        words = sorted(w for w in normal.split(" ") if w)
+        self.ordered = " ".join(words)
+        self.words = sorted(set(words))
+        self.letters = _numbered(list(normal))
+        padded = f" {normal} "
+        self.grams = _numbered([padded[i : i + 2] for i in range(len(padded) - 1)])
+        self.words_size = max(0, sum(len(w) + 1 for w in self.words) - 1)
+
+
+class NameIndex:
+    """Inverted index over some names: postings of letters, pairs of letters and words.
+
+    ``top`` returns the best ``k`` names of every query. Shared postings bound each score from above: an edit
+    distance is at least the difference in length, at least the letters not shared, and at least half the padded
+    letter pairs not shared. Names are then scored exactly, those with the highest bounds first, until no name left
+    could reach the ``k`` best; a name whose bound equals the worst of these is scored too, as ties go to the smaller
+    name. So the answer is that of scoring all names.
+    """
 
-    ordered = [" ".join(sorted(w for w in text.split(" ") if w)) for text in asked]
-    best = np.maximum(likeness(asked, whole), likeness(ordered, words) * 0.95)
-    return np.floor(best * 10_000 + 0.5) / 100
+    def __init__(self, names: list[str], normals: list[str]):
+        order = sorted(range(len(names)), key=names.__getitem__)
+        self.names = [names[i] for i in order]
+        self.texts = [_Text(normals[i]) for i in order]
+        self.size = np.array([len(t.normal) for t in self.texts], dtype=np.int64)
+        self.ordered_size = np.array([len(t.ordered) for t in self.texts], dtype=np.int64)
+        self.words_size = np.array([t.words_size for t in self.texts], dtype=np.int64)
+        self.postings = {kind: self._post(kind) for kind in ("letters", "grams", "words")}
+
+    def _post(self, kind: str) -> dict:
+        lists: dict = {}
+        for i, text in enumerate(self.texts):
+            for part in getattr(text, kind):
+                lists.setdefault(part, []).append(i)
+        return {part: np.array(at, dtype=np.int64) for part, at in lists.items()}
+
+    def shared(self, kind: str, parts: list, sizes: list[int] | None = None) -> np.ndarray:
+        """Parts shared with every name, or the sum of their sizes."""
+        lists = [(self.postings[kind][p], 1 if sizes is None else sizes[i]) for i, p in enumerate(parts) if p in self.postings[kind]]
+        if not lists:
+            return np.zeros(len(self.names), dtype=np.int64)
+        at = np.concatenate([x for x, _ in lists])
+        weights = None if sizes is None else np.repeat([s for _, s in lists], [len(x) for x, _ in lists])
+        return np.bincount(at, weights=weights, minlength=len(self.names)).astype(np.int64)
+
+    def bounds(self, query: _Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per name: upper bounds of the whole, ordered and part likeness, and the exact one of the word sets."""
+        letters, grams = self.shared("letters", query.letters), self.shared("grams", query.grams)
+        common = np.maximum(0, self.shared("words", query.words, [len(w) + 1 for w in query.words]) - 1)
+
+        def like(size: int, sizes: np.ndarray) -> np.ndarray:
+            longest = np.maximum(size, sizes)
+            least = np.maximum(np.abs(size - sizes), np.maximum(longest - letters, (longest + 2 - grams) // 2))
+            return np.where(longest == 0, 0.0, 1.0 - least / np.maximum(longest, 1))
+
+        size = len(query.normal)
+        scale = self.scale(size)
+        shorter = np.minimum(size, self.size)
+        least = np.maximum(0, np.maximum(shorter - letters, (shorter - grams) // 2))
+        long_enough = (shorter > 0) & (2 * np.maximum(size, self.size) >= 3 * shorter)
+        part = np.where(long_enough, (1.0 - least / np.maximum(shorter, 1)) * scale, 0.0)
+        fewest = np.minimum(query.words_size, self.words_size)
+        sets = np.where(common > 0, common / np.maximum(fewest, 1) * WORDS_WEIGHT * scale, 0.0)
+        return like(size, self.size), like(len(query.ordered), self.ordered_size) * WORDS_WEIGHT, part, sets
+
+    def scale(self, size: int) -> np.ndarray:
+        longer, shorter = np.maximum(size, self.size), np.minimum(size, self.size)
+        return np.where(2 * longer < 3 * shorter, 1.0, np.where(longer <= 8 * shorter, PART_WEIGHT, FAR_PART_WEIGHT))
+
+    def exact(self, queries: list[_Text], q: np.ndarray, n: np.ndarray, bounds: tuple) -> np.ndarray:
+        """Scores of the pairs (query ``q[i]``, name ``n[i]``); a likeness whose bound is already beaten is left out."""
+        whole, ordered, part, best = bounds
+        best = best.copy()
+
+        def raise_to(bound: np.ndarray, likeness) -> None:
+            at = np.flatnonzero(bound > best)
+            if len(at):
+                best[at] = np.maximum(best[at], likeness(at))
+
+        def plain(kind: str, weight: float):
+            def run(at: np.ndarray) -> np.ndarray:
+                left, right = [getattr(queries[i], kind) for i in q[at]], [getattr(self.texts[i], kind) for i in n[at]]
+                longest = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)])
+                return (1.0 - edits(left, right) / longest) * weight
+
+            return run
+
+        def windows(at: np.ndarray) -> np.ndarray:
+            least = np.empty(len(at), dtype=np.int64)
+            weight, shorter = np.empty(len(at)), np.empty(len(at), dtype=np.int64)
+            left, right, owner = [], [], []
+
+            def flush() -> None:
+                if owner:
+                    np.minimum.at(least, owner, edits(left, right))
+                    left.clear(), right.clear(), owner.clear()
+
+            for place, i in enumerate(at):
+                short, long = sorted((queries[q[i]].normal, self.texts[n[i]].normal), key=len)
+                least[place] = shorter[place] = len(short)
+                weight[place] = PART_WEIGHT if len(long) <= 8 * len(short) else FAR_PART_WEIGHT
+                if short in long:
+                    least[place] = 0
+                    continue
+                for start in range(len(long) - len(short) + 1):
+                    left.append(short), right.append(long[start : start + len(short)]), owner.append(place)
+                    if len(owner) >= PAIRS_AT_ONCE:
+                        flush()
+            flush()
+            return (1.0 - least / shorter) * weight
+
+        raise_to(whole, plain("normal", 1.0))
+        raise_to(ordered, plain("ordered", WORDS_WEIGHT))
+        raise_to(part, windows)
+        return _rounded(best)
+
+    def top(self, normals: list[str], k: int) -> list[list[tuple[str, float]]]:
+        """Per query the best ``k`` names with their scores, in the order of the names."""
+        found: list[list[tuple[str, float]]] = []
+        block = max(1, PAIRS_AT_ONCE // max(1, len(self.names)))
+        for at in range(0, len(normals) if self.names else 0, block):
+            found += self._top([_Text(x) for x in normals[at : at + block]], k)
+        return found or [[] for _ in normals]
+
+    def _top(self, queries: list[_Text], k: int) -> list[list[tuple[str, float]]]:
+        bounds = tuple(np.stack(x) for x in zip(*(self.bounds(query) for query in queries), strict=True))
+        most = _rounded(np.max(bounds, axis=0))
+        scores = np.full(most.shape, -1.0)
+        first = min(4 * k, most.shape[1])
+        todo = np.zeros(most.shape, dtype=bool)
+        np.put_along_axis(todo, np.argpartition(-most, first - 1, axis=1)[:, :first], True, axis=1)
+        kept = min(k, most.shape[1])
+        for _ in range(2):  # the likeliest names, then all that could still be among the best
+            q, n = np.nonzero(todo)
+            scores[q, n] = self.exact(queries, q, n, tuple(x[q, n] for x in bounds))
+            worst = np.partition(scores, -kept, axis=1)[:, -kept]
+            todo = (scores < 0) & (most >= worst[:, None])
+        found = []
+        for row in scores:
+            best = np.argsort(-row, kind="stable")[:kept]
+            found.append([(self.names[i], float(row[i])) for i in best])
+        return found
+
+
+def _rounded(likeness: np.ndarray) -> np.ndarray:
+    return np.floor(likeness * 10_000 + 0.5) / 100
+
+
+def name_scores(query: str, names: list[str]) -> dict[str, float]:
+    """0-100 per distinct normalised name: the best of four likenesses.
+
+    Whole string: 1 - edits / longer length. Sorted words, at 95 %: the same of the words in order. Word sets, at
+    95 %: length of the distinct words both have, over that of the shorter set, each joined by spaces. Part of a
+    name, only if one is 1.5 times as long as the other: the shorter string against every window of its length in the
+    longer. From 1.5 times on, word sets and parts count 90 %, beyond 8 times 60 %.
+    """
+    listed = sorted(set(names))
+    return dict(NameIndex(listed, listed).top([query], len(listed))[0]) if listed else {}
 
 
 def name_index(entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -105,29 +277,23 @@ def attach_aliases(entries: DataFrame, aliases: DataFrame) -> DataFrame:
     return entries.join(aliases.filter(F.col("alias") != ""), "ent_num", "left")
 
 
-def _best_in_tile(by: list[str], k: int):
-    """Best ``k`` of a tile's names for each of its queries; ties go to the smaller name."""
-
-    def run(asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        listed = listed.sort_values("name")
-        names = listed["name"].to_numpy()
-        columns = {"query": [], "matched_name": [], "score": []}
-        if len(names):
-            whole, words = _codes(listed["n"].tolist()), _codes(listed["s"].tolist())
-            asked = asked.assign(size=asked["q"].str.len()).sort_values("size")
-            block = max(1, PAIRS_AT_ONCE // len(names))
-            for at in range(0, len(asked), block):
-                part = asked.iloc[at : at + block]
-                for text, scores in zip(part["query"], name_scores(part["q"].tolist(), whole, words), strict=True):
-                    least = np.partition(scores, -k)[-k] if len(scores) > k else -1.0
-                    near = np.flatnonzero(scores >= least)
-                    near = near[np.argsort(-scores[near], kind="stable")][:k]
-                    columns["query"] += [text] * len(near)
-                    columns["matched_name"] += names[near].tolist()
-                    columns["score"] += scores[near].tolist()
-        keys = {column: [asked[column].iloc[0]] * len(columns["query"]) for column in by} if len(asked) else {c: [] for c in by}
-        texts = {c: pd.Series(v, dtype=object) for c, v in {**keys, **columns}.items() if c != "score"}
-        return pd.DataFrame({**texts, "score": pd.Series(columns["score"], dtype="float64")})
+def _best_of_tiles(by: list[str], k: int):
+    """Best ``k`` names of a chunk for each query of a slice; an index serves the slices that follow it in a task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, index = None, None
+        for tiles in batches:
+            for tile in tiles.to_dict("records"):
+                where = (*(tile[c] for c in by), tile["chunk"])
+                if where != held:
+                    held, index = where, NameIndex(list(tile["names"]), list(tile["normals"]))
+                rows = [
+                    (*where[:-1], query, name, score)
+                    for query, best in zip(tile["queries"], index.top(list(tile["asked"]), k), strict=True)
+                    for name, score in best
+                ]
+                if rows:
+                    yield pd.DataFrame(rows, columns=[*by, "query", "matched_name", "score"])
 
     return run
 
@@ -137,55 +303,53 @@ def _scored(
 ) -> DataFrame:
     """Best ``k`` distinct names per query, over tiles of (slice of queries) x (chunk of names).
 
-    Both sides are de-duplicated and counted; the counts set how many slices and
-    chunks there are, so a tile stays small however long either side gets. A tile
-    hands on ``k`` rows per query; no pair of query and name is ever a row.
+    Both sides are de-duplicated and counted; the counts set how many slices and chunks there are. A chunk is one row
+    and is shuffled (or, if Spark finds the chunks small, broadcast) once, however many queries there are; only the
+    slices are repeated, once per chunk, and adaptive execution splits a chunk that meets very many. Inside a tile an
+    inverted index finds the names that can be among the best (see ``NameIndex``). A tile hands on ``k`` rows per
+    query; no pair of query and name is ever a row.
     """
     listed = names.select(*by, "name").filter("name IS NOT NULL").distinct()
     asked = queries.select(*by, "query").filter("query IS NOT NULL").distinct()
     chunks = max(1, -(-listed.count() // chunk_names))
     slices = max(1, -(-asked.count() // slice_queries))
-    normal = normalise_name(F.col("name"))
-    right = listed.select(
-        *by, "name", normal.alias("n"), sorted_tokens(normal).alias("s"),
-        F.pmod(F.xxhash64("name"), F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
+    chunk = F.pmod(F.xxhash64("name"), F.lit(chunks)).alias("chunk")
+    right = listed.groupBy(*by, chunk).agg(F.collect_list(F.struct("name", normalise_name(F.col("name")).alias("n"))).alias("l"))
+    slice_of = F.pmod(F.xxhash64("query"), F.lit(slices)).alias("slice")
+    left = asked.groupBy(*by, slice_of).agg(F.collect_list(F.struct("query", normalise_name(F.col("query")).alias("q"))).alias("a"))
+    left = left.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+    # As many tasks as slices and chunks make, so that adaptive coalescing does not put the tiles in one.
+    left = left.repartition(int(min(100_000, chunks * slices * (len(by) + 1))), *by, "chunk", "slice")
+    tiles = left.join(right, [*by, "chunk"]).select(
+        *by, "chunk", F.col("l.name").alias("names"), F.col("l.n").alias("normals"), F.col("a.query").alias("queries"), F.col("a.q").alias("asked")
     )
-    left = asked.select(
-        *by, "query", normalise_name(F.col("query")).alias("q"),
-        F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int").alias("slice"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
-    )
-    tile = [*by, "chunk", "slice"]
     key_ddl = "".join(f"`{c}` string, " for c in by)
-    # As many tasks as tiles, so that adaptive coalescing does not put them in one.
-    tasks = int(min(100_000, chunks * slices * (len(by) + 1)))
-    found = (
-        left.repartition(tasks, *tile)
-        .groupBy(*tile)
-        .cogroup(right.repartition(tasks, *tile).groupBy(*tile))
-        .applyInPandas(_best_in_tile(by, k), f"{key_ddl}query string, matched_name string, score double")
-    )
+    found = tiles.mapInPandas(_best_of_tiles(by, k), f"{key_ddl}query string, matched_name string, score double")
     order = Window.partitionBy(*by, "query").orderBy(F.desc("score"), "matched_name")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
+def _null_queries(queries: DataFrame, by: list[str]) -> DataFrame:
+    return queries.filter("query IS NULL").select(*by, "query").distinct().withColumn("is_match", F.lit(False))
+
+
 def screen_best(
     queries: DataFrame, entries: DataFrame, threshold: float = MATCH_THRESHOLD, chunk_names: int = 5_000
 ) -> DataFrame:
     """Single best listed name of the query's own ``sdn_type``, even when below the threshold.
 
     ``queries(query, sdn_type)``. Nothing comes back only when the type has no
-    entries. The entry reported is the lowest id behind the name.
+    entries; a null query comes back unmatched, with a null name and score. The
+    entry reported is the lowest id behind the name.
     """
     names = name_index(entries)
     best = _scored(queries, names, ["sdn_type"], 1, chunk_names).drop("place")
     first = names.groupBy("sdn_type", F.col("name").alias("matched_name")).agg(
         F.min(F.col("ent_num").cast("bigint")).cast("string").alias("entry_id")
     )
-    return (
-        best.join(first, ["sdn_type", "matched_name"])
-        .withColumn("is_match", F.col("score") >= threshold)
-        .withColumn("reference_url", reference_url(F.col("entry_id")))
+    found = best.join(first, ["sdn_type", "matched_name"]).withColumn("is_match", F.col("score") >= threshold)
+    return found.unionByName(_null_queries(queries, ["sdn_type"]), allowMissingColumns=True).withColumn(
+        "reference_url", reference_url(F.col("entry_id"))
     )
 
 
@@ -197,11 +361,15 @@ def screen_top(
     threshold: float = MATCH_THRESHOLD,
     chunk_names: int = 5_000,
 ) -> DataFrame:
-    """Top ``k`` distinct names over primary names and aliases of any type, with every entry behind each."""
+    """Top ``k`` distinct names over primary names and aliases of any type, with every entry behind each.
+
+    A null query comes back as one unmatched row.
+    """
     names = name_index(entries, aliases)
     best = _scored(queries, names, [], k, chunk_names)
     behind = names.select(F.col("name").alias("matched_name"), F.col("ent_num").alias("entry_id")).distinct()
-    return best.join(behind, "matched_name").withColumn("is_match", F.col("score") >= threshold)
+    found = best.join(behind, "matched_name").withColumn("is_match", F.col("score") >= threshold)
+    return found.unionByName(_null_queries(queries, []), allowMissingColumns=True)
 
 
 def entry_detail(ids: DataFrame, entries: DataFrame) -> DataFrame:

@@ -72,7 +72,22 @@ def _score(a: str, b: str) -> str:
         longest = f"greatest(length({x}), length({y}))"
         return f"(CASE WHEN {longest} = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({x}, {y})::DOUBLE / {longest}::DOUBLE END)"
 
-    best = f"greatest({like(a + '.n', b + '.n')}, {like(a + '.s', b + '.s')} * 0.95::DOUBLE)"
+    def words(x: str) -> str:
+        return f"list_distinct(list_filter(string_split({x}, ' '), lambda t: t <> ''))"
+
+    def joined(x: str) -> str:
+        return f"length(array_to_string({x}, ' '))"
+
+    n, m = a + ".n", b + ".n"
+    longer, shorter = f"greatest(length({n}), length({m}))", f"least(length({n}), length({m}))"
+    scale = f"CASE WHEN 2 * {longer} < 3 * {shorter} THEN 1.0::DOUBLE WHEN {longer} <= 8 * {shorter} THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END"
+    common = joined(f"list_intersect({words(n)}, {words(m)})")
+    fewest = f"greatest(1, least({joined(words(n))}, {joined(words(m))}))"
+    sets = f"{common}::DOUBLE / {fewest}::DOUBLE * 0.95::DOUBLE * ({scale})"
+    short, long = f"CASE WHEN length({n}) <= length({m}) THEN {n} ELSE {m} END", f"CASE WHEN length({n}) <= length({m}) THEN {m} ELSE {n} END"
+    apart = f"list_min(list_transform(range(1, {longer} - {shorter} + 2), lambda i: levenshtein({short}, substring({long}, i, {shorter}))))"
+    part = f"CASE WHEN {shorter} > 0 AND 2 * {longer} >= 3 * {shorter} THEN (1.0::DOUBLE - {apart}::DOUBLE / {shorter}::DOUBLE) * ({scale}) ELSE 0.0::DOUBLE END"
+    best = f"greatest({like(n, m)}, {like(a + '.s', b + '.s')} * 0.95::DOUBLE, {sets}, {part})"
     return f"floor({best} * 10000::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE"
 
 

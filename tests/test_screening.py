@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,13 +70,89 @@ def test_top_matches_reach_aliases_and_chunks_agree(spark, listed):
 
 def test_edit_distance_against_spark(spark):
     words = ["kitten", "sitting", "", "abc", "Saturday", "sunday", "né 日本", "n日"]
-    table = screening._codes(words)
-    mine = screening._edits(table, table)
+    mine = screening.edits([a for a in words for _ in words], words * len(words)).reshape(len(words), len(words))
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i INT, w STRING")
     pairs = df.alias("a").join(df.alias("b"), F.lit(True)).select("a.i", F.col("b.i").alias("j"), F.levenshtein("a.w", "b.w").alias("d"))
     assert all(mine[r.i, r.j] == r.d for r in pairs.collect())
 
 
+@pytest.mark.parametrize("query, name, least", [
+    ("ivan petrov", "PETROV, Ivan Sergeyevich", 80), ("Banco Nacional", "BANCO NACIONAL DE CUBA", 90), ("aerocaribean", "AEROCARIBBEAN AIRLINES", 75),
+])
+def test_parts_and_word_sets_of_a_name_match(spark, listed, query, name, least):
+    entries = listed[0].limit(0).unionByName(spark.createDataFrame([("1", "entity", name), ("2", "entity", "ZZ TOP")], "ent_num STRING, sdn_type STRING, name STRING"), allowMissingColumns=True)
+    asked = spark.createDataFrame([(query, "entity")], "query STRING, sdn_type STRING")
+    row = screening.screen_best(asked, entries).first()
+    assert row.matched_name == name and row.is_match and row.score >= least
+
+
+def plain_score(q, n):
+    """The four likenesses by their definition, one pair at a time."""
+
+    def distance(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+            last = row
+        return last[-1]
+
+    def like(a, b):
+        return 1 - distance(a, b) / max(len(a), len(b)) if a or b else 0.0
+
+    short, long = sorted((q, n), key=len)
+    scale = 1.0 if 2 * len(long) < 3 * len(short) else 0.9 if len(long) <= 8 * len(short) else 0.6
+    a, b = set(q.split()), set(n.split())
+    sets = len(" ".join(a & b)) / max(1, min(len(" ".join(a)), len(" ".join(b)))) * 0.95 * scale
+    part = 0.0
+    if short and 2 * len(long) >= 3 * len(short):
+        part = max((1 - distance(short, long[i : i + len(short)]) / len(short)) * scale for i in range(len(long) - len(short) + 1))
+    best = max(like(q, n), like(" ".join(sorted(q.split())), " ".join(sorted(n.split()))) * 0.95, sets, part)
+    return math.floor(best * 10_000 + 0.5) / 100
+
+
+def test_index_gives_the_answer_of_all_pairs():
+    draw = random.Random(5)
+    words = ["ivan", "petrov", "banco", "nacional", "de", "cuba", "a", "né", "trading", "tradng", "co", "co"]
+    names = sorted({" ".join(draw.choices(words, k=draw.randint(0, 5))) for _ in range(150)} | {"", "x  y", "aaaaaaaaaa", "a" * 60})
+    queries = names[::7] + ["", "zq", "aaa", "  ".join(words), "petrov ivn", "bnc"]
+    index = screening.NameIndex(names[::-1], names[::-1])
+    for k in (1, 4, 1000):
+        for query, found in zip(queries, index.top(queries, k), strict=True):
+            wanted = sorted(((n, plain_score(query, n)) for n in names), key=lambda x: (-x[1], x[0]))[:k]
+            assert found == wanted, query
+
+
+def test_index_leaves_most_names_unscored(monkeypatch):
+    draw = random.Random(1)
+    names = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=12)) for _ in range(2000)]
+    scored = []
+    plain = screening.edits
+    monkeypatch.setattr(screening, "edits", lambda a, b: scored.append(len(a)) or plain(a, b))
+    found = screening.NameIndex(names, names).top([n[1:] for n in names[:20]], 1)
+    assert [f[0][0] for f in found] == names[:20] and sum(scored) < 20 * 2000 * 0.02
+
+
+def test_null_queries_come_back_unmatched(spark, listed):
+    asked = spark.createDataFrame([(None, "entity"), ("", "entity"), ("Aerocaribbean Airlines", "entity"), (None, "entity")], "query STRING, sdn_type STRING")
+    rows = {r["query"]: r for r in screening.screen_best(asked, listed[0]).collect()}
+    assert len(rows) == 3 and not rows[None].is_match and rows[None].matched_name is None and rows["Aerocaribbean Airlines"].is_match
+    assert rows[""].score == 0 and not rows[""].is_match
+    top = screening.screen_top(asked.select("query"), *listed, k=2).collect()
+    assert [(r.matched_name, r.is_match) for r in top if r["query"] is None] == [(None, False)]
+    empty = asked.limit(0)
+    assert screening.screen_best(empty, listed[0]).count() == 0 and screening.screen_best(asked, listed[0].limit(0)).count() == 1
+
+
+def test_names_are_shuffled_once_however_many_queries(spark, listed):
+    asked = spark.range(3000).select(F.concat(F.lit("name "), "id").alias("query"), F.lit("entity").alias("sdn_type"))
+    names = screening.name_index(listed[0])
+    tiles = screening._scored(asked, names, ["sdn_type"], 1, 1)
+    plan = tiles._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") == 1 and tiles.count() == 3000
+
+
 def test_entry_detail_and_rejects(spark, listed):
     ids = spark.createDataFrame([("36",), ("nope",)], "ent_num STRING")
     assert {r.ent_num: r.found for r in screening.entry_detail(ids, listed[0]).collect()} == {"36": True, "nope": False}
