@@ -46,33 +46,41 @@ def reference_url(ent_num: Column) -> Column:
 
 def _columns(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Texts as columns of code points (zero-padded) and their lengths."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    table = np.zeros((int(lengths.max(initial=0)), len(texts)), dtype=np.int32)
-    for column, text in enumerate(texts):
-        table[: len(text), column] = [ord(c) for c in text]
-    return table, lengths
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    table = np.zeros((len(texts), int(lengths.max(initial=0))), dtype=np.int32)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.int32)
+    table[np.arange(table.shape[1]) < lengths[:, None]] = codes
+    return np.ascontiguousarray(table.T), lengths
 
 
 def _block_edits(left: list[str], right: list[str]) -> np.ndarray:
     (a, a_sizes), (b, b_sizes) = _columns(left), _columns(right)
     every = np.arange(len(left))
     before = np.repeat(np.arange(len(b) + 1, dtype=np.int32)[:, None], len(left), axis=1)
-    after = np.empty_like(before)
+    after, step = np.empty_like(before), np.empty_like(before[0])
     result = b_sizes.astype(np.int32)
     for i in range(1, len(a) + 1):
         after[0] = i
         for j in range(1, len(b) + 1):
-            after[j] = np.minimum(np.minimum(before[j], after[j - 1]) + 1, before[j - 1] + (a[i - 1] != b[j - 1]))
-        done = a_sizes == i
-        result[done] = after[b_sizes, every][done]
+            np.add(before[j - 1], a[i - 1] != b[j - 1], out=step)
+            np.minimum(before[j], after[j - 1], out=after[j])
+            after[j] += 1
+            np.minimum(after[j], step, out=after[j])
+        done = every[a_sizes == i]
+        result[done] = after[b_sizes[done], done]
         before, after = after, before
     return result
 
 
+def _longest(left: list[str], right: list[str]) -> np.ndarray:
+    a, b = (np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) for texts in (left, right))
+    return np.maximum(a, b)
+
+
 def edits(left: list[str], right: list[str]) -> np.ndarray:
     """Edit distance of each pair of texts; pairs of like length go together, in blocks of at most ``CELLS_AT_ONCE`` cells."""
     result = np.zeros(len(left), dtype=np.int64)
-    sizes = np.array([max(len(x), len(y)) + 1 for x, y in zip(left, right, strict=True)], dtype=np.int64)
+    sizes = _longest(left, right) + 1
     order = np.argsort(sizes, kind="stable")
     end = len(order)
     while end:
@@ -178,9 +186,9 @@ class NameIndex:
 
         def plain(kind: str, weight: float):
             def run(at: np.ndarray) -> np.ndarray:
-                left, right = [getattr(queries[i], kind) for i in q[at]], [getattr(self.texts[i], kind) for i in n[at]]
-                longest = np.array([max(len(x), len(y)) for x, y in zip(left, right, strict=True)])
-                return (1.0 - edits(left, right) / longest) * weight
+                asked, listed = [getattr(x, kind) for x in queries], [getattr(x, kind) for x in self.texts]
+                left, right = [asked[i] for i in q[at].tolist()], [listed[i] for i in n[at].tolist()]
+                return (1.0 - edits(left, right) / _longest(left, right)) * weight
 
             return run
 
@@ -225,15 +233,15 @@ class NameIndex:
         bounds = tuple(np.stack(x) for x in zip(*(self.bounds(query) for query in queries), strict=True))
         most = _rounded(np.max(bounds, axis=0))
         scores = np.full(most.shape, -1.0)
-        first = min(4 * k, most.shape[1])
-        todo = np.zeros(most.shape, dtype=bool)
-        np.put_along_axis(todo, np.argpartition(-most, first - 1, axis=1)[:, :first], True, axis=1)
         kept = min(k, most.shape[1])
-        for _ in range(2):  # the likeliest names, then all that could still be among the best
-            q, n = np.nonzero(todo)
+        worst = np.full(len(queries), -1.0)
+        for first in (4 * k, 64 * k, most.shape[1]):  # the likeliest names, more of them, then all that could still be among the best
+            likeliest = np.where((scores < 0) & (most >= worst[:, None]), most, -1.0)
+            if first < most.shape[1]:
+                likeliest[likeliest < np.partition(likeliest, -first, axis=1)[:, -first, None]] = -1.0
+            q, n = np.nonzero(likeliest >= 0)
             scores[q, n] = self.exact(queries, q, n, tuple(x[q, n] for x in bounds))
             worst = np.partition(scores, -kept, axis=1)[:, -kept]
-            todo = (scores < 0) & (most >= worst[:, None])
         found = []
         for row in scores:
             best = np.argsort(-row, kind="stable")[:kept]
