@@ -237,8 +237,8 @@ class NameIndex:
         worst = np.full(len(queries), -1.0)
         for first in (4 * k, 64 * k, most.shape[1]):  # the likeliest names, more of them, then all that could still be among the best
             likeliest = np.where((scores < 0) & (most >= worst[:, None]), most, -1.0)
-            if first < most.shape[1]:
-                likeliest[likeliest < np.partition(likeliest, -first, axis=1)[:, -first, None]] = -1.0
+            if first < most.shape[1]:  # ties at the cut wait for the next round
+                np.put_along_axis(likeliest, np.argpartition(-likeliest, first, axis=1)[:, first:], -1.0, axis=1)
             q, n = np.nonzero(likeliest >= 0)
             scores[q, n] = self.exact(queries, q, n, tuple(x[q, n] for x in bounds))
             worst = np.partition(scores, -kept, axis=1)[:, -kept]
