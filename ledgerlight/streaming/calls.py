@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from ledgerlight.operators.telemetry import telemetry_hourly
 from ledgerlight.sources.files import replace_partitions
 
 WATERMARK = "10 minutes"
+NEVER = -(1 << 62)
 
 
 def stream_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -85,100 +87,153 @@ def stream_review_timeout(
     )
 
 
-def _batch(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """The rows of one key in this micro-batch, in (ts, id) order."""
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait in list state until the watermark has passed them and are handled in (ts, id) order.
 
+    So rows that come late (within the watermark) or in another order of files give the same answer. One event-time
+    timer per key wakes at its earliest waiting row and, once none waits, when its state has no use any more; then
+    all of it is removed. ``columns`` are the waiting ones (``ts`` in microseconds), ``state`` the schema of what is
+    kept, ``handle_in_order`` takes the kept values (None at first) with the rows and returns the new ones, the time
+    in microseconds from which they are of no use, and the output.
+    """
 
-def _micros(ts: pd.Series) -> list[int]:
-    return (ts.astype("datetime64[us]").astype("int64")).tolist()
-
-
-class FixedWindowLimit(StatefulProcessor):
-    """Window start and calls used per key; one pass over each micro-batch."""
-
-    def __init__(self, limit: int, window_seconds: int):
-        self.limit, self.width = limit, window_seconds * 1_000_000
+    columns = ""
+    state = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", "start bigint, used bigint")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.kept = handle.getValueState("kept", f"{self.state}, expires bigint")
+
+    def wake_at(self, millis: int) -> None:
+        timers = list(self.handle.listTimers())
+        if timers and min(timers) <= millis:
+            return
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(millis)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        start, used = self.window.get() if self.window.exists() else (None, 0)
-        pdf = _batch(rows)
-        allowed = []
-        for now in _micros(pdf["ts"]):
-            if start is None or now - start >= self.width:
-                start, used = now, 0
-            used += 1
-            allowed.append(used <= self.limit)
-        self.window.update((start, used))
-        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "agent_id": [key[0]] * len(pdf), "allowed": allowed})
+        names = [part.split()[0] for part in self.columns.split(", ")]
+        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf["ts"] = pdf["ts"].astype("datetime64[us]").astype("int64")
+        values = pdf[names].astype(object).where(pdf[names].notna(), None)
+        self.waiting.appendList(list(values.itertuples(index=False, name=None)))
+        self.wake_at(int(pdf["ts"].min()) // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        names = [part.split()[0] for part in self.columns.split(", ")]
+        rows = sorted(map(tuple, self.waiting.get()), key=lambda row: (row[1], row[0]))
+        due = [row for row in rows if row[1] <= passed]
+        kept = tuple(self.kept.get()) if self.kept.exists() else None
+        out, expires = None, None if kept is None else kept[-1]
+        if due:
+            kept, expires, out = self.handle_in_order(key, None if kept is None else kept[:-1], pd.DataFrame(due, columns=names))
+            self.kept.update((*kept, expires))
+        rest = rows[len(due) :]
+        if rest:
+            self.waiting.put(rest)
+            self.handle.registerTimer(rest[0][1] // 1000)
+        else:
+            self.waiting.clear()
+            if expires is None or expires <= passed:
+                self.kept.clear()
+            else:
+                self.handle.registerTimer(expires // 1000 + 1)
+        return iter([] if out is None else [out])
 
     def close(self) -> None:
         pass
 
 
-def stream_rate_limit(calls: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Fixed-window limit per agent, with state carried between micro-batches."""
-    return calls.select("id", "ts", "agent_id").groupBy("agent_id").transformWithStateInPandas(
-        FixedWindowLimit(limit, window_seconds), "id bigint, agent_id string, allowed boolean", "Append", "None"
-    )
-
-
-class _Expiring(StatefulProcessor):
-    """State that an event-time timer removes: the newest timer of a key wins."""
-
-    def expire_at(self, micros: int) -> None:
-        due = micros // 1000 + 1
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(due)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        return iter([])
+class FixedWindowLimits(_InOrder):
+    """Window start and calls used per rule of an agent, a map of policies in the state of the agent."""
+
+    columns = "id bigint, ts bigint, tool string"
+    state = "windows map<string, struct<start: bigint, used: bigint>>"
+
+    def __init__(self, limits: list[tuple[str, str | None, int, int]]):
+        self.limits = limits
+
+    def handle_in_order(self, key, kept, rows):
+        windows = {} if kept is None else {policy: tuple(window) for policy, window in kept[0].items()}
+        times, tools = rows["ts"].to_numpy(), rows["tool"].to_numpy()
+        denied_by = np.full(len(rows), None, dtype=object)
+        expires = 0
+        for policy, tool, limit, seconds in self.limits:
+            width = seconds * 1_000_000
+            # A call that an earlier rule denied is not charged to a later one.
+            charged = np.flatnonzero([by is None for by in denied_by] & ((tools == tool) if tool is not None else np.ones(len(rows), bool)))
+            start, used = windows.get(policy, (None, 0))
+            at, now = 0, times[charged]
+            while at < len(now):  # one step per window
+                if start is None or now[at] - start >= width:
+                    start, used = int(now[at]), 0
+                end = int(np.searchsorted(now, start + width, side="left"))
+                over = charged[at + max(0, limit - used) : end]
+                denied_by[over] = policy
+                used, at = used + end - at, end
+            if start is not None:
+                windows[policy] = (start, used)
+                expires = max(expires, start + width)
+        out = pd.DataFrame({"id": rows["id"].astype("int64"), "agent_id": [key[0]] * len(rows), "allowed": [by is None for by in denied_by], "denied_by": denied_by})
+        return (windows,), expires, out
+
+
+def stream_rate_limit(
+    calls: DataFrame, limits: list[tuple[str, str | None, int, int]], watermark: str = WATERMARK
+) -> DataFrame:
+    """Fixed-window limits per (policy, agent), in the order of the rules, as ``fixed_window_limit`` in batch.
 
-    def close(self) -> None:
-        pass
+    ``limits`` are (policy, tool or None for any, calls, seconds). Rows come out once the watermark has passed them;
+    the state of an agent is removed once its last window is over. Rows without a time are left out.
+    """
+    rows = calls.select("id", "ts", "agent_id", "tool").filter("ts IS NOT NULL").withWatermark("ts", watermark)
+    return rows.groupBy("agent_id").transformWithStateInPandas(
+        FixedWindowLimits(limits), "id bigint, agent_id string, allowed boolean, denied_by string", "Append", "EventTime"
+    )
 
 
-class SessionRisk(_Expiring):
+class SessionRisk(_InOrder):
     """Running counts per session, dropped a day of event time after the last call."""
 
-    def __init__(self, minute_us: int, ttl_ms: int):
-        self.minute, self.ttl = minute_us, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        schema = "calls bigint, held bigint, denied bigint, tools array<string>, recent array<bigint>"
-        self.state = handle.getValueState("seen", schema)
+    columns = "id bigint, ts bigint, tool string, status string"
+    state = "calls bigint, held bigint, denied bigint, tools array<string>, recent array<bigint>"
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        calls, held, denied, tools, recent = 0, 0, 0, [], []
-        if self.state.exists():
-            calls, held, denied, tools, recent = self.state.get()
-            tools, recent = list(tools), list(recent)
-        pdf = _batch(rows)
-        out = []
-        for row, now in zip(pdf.itertuples(), _micros(pdf["ts"]), strict=True):
-            calls += 1
-            held += row.status == "HELD"
-            denied += row.status == "DENIED"
-            if row.tool not in tools:
-                tools.append(row.tool)
-            recent = [t for t in recent if t >= now - self.minute] + [now]
-            risk = 0.05 * len(recent) + 0.3 * min(denied, 3) + 0.2 * min(held, 3)
-            out.append((row.id, key[0], calls, len(tools), len(recent), round(max(0.0, min(1.0, risk)), 4)))
-        self.state.update((calls, held, denied, tools, recent))
-        self.expire_at(recent[-1] + self.ttl * 1000)
-        yield pd.DataFrame(out, columns=["id", "session_id", "total_calls", "tools", "calls_per_minute", "risk_score"])
+    def __init__(self, minute_us: int, ttl_ms: int):
+        self.minute, self.ttl = minute_us, ttl_ms * 1000
+
+    def handle_in_order(self, key, kept, rows):
+        calls, held, denied, tools, recent = (0, 0, 0, [], []) if kept is None else kept
+        times = rows["ts"].to_numpy()
+        upto = np.searchsorted(times, times, side="right")  # rows of the same time see each other, as in batch
+
+        def so_far(base: int, hit: pd.Series) -> np.ndarray:
+            return base + np.cumsum(hit.to_numpy())[upto - 1]
+
+        new_tool = rows["tool"].notna() & ~rows["tool"].isin(list(tools)) & ~rows["tool"].duplicated()
+        held_now, denied_now = so_far(held, rows["status"].eq("HELD")), so_far(denied, rows["status"].eq("DENIED"))
+        known = so_far(len(tools), new_tool)
+        seen = np.concatenate([np.array(list(recent), dtype=np.int64), times])
+        lately = np.searchsorted(seen, times, side="right") - np.searchsorted(seen, times - self.minute, side="left")
+        risk = 0.05 * lately + 0.3 * np.minimum(denied_now, 3) + 0.2 * np.minimum(held_now, 3)
+        out = pd.DataFrame({
+            "id": rows["id"].astype("int64"), "session_id": [key[0]] * len(rows), "total_calls": calls + upto, "tools": known,
+            "calls_per_minute": lately, "risk_score": [round(min(1.0, max(0.0, x)), 4) for x in risk.tolist()],
+        })
+        last = int(times[-1])
+        tools = [*tools, *rows["tool"][new_tool]]
+        recent = seen[seen >= last - self.minute].tolist()
+        return (calls + len(rows), int(held_now[-1]), int(denied_now[-1]), tools, recent), last + self.ttl, out
 
 
 def stream_session_risk(
     audit: DataFrame, minute_us: int = 60_000_000, ttl_ms: int = 86_400_000, watermark: str = WATERMARK
 ) -> DataFrame:
-    rows = audit.select("id", "ts", "session_id", "tool", "status").withWatermark("ts", watermark)
+    """Session features and risk of every call, once the watermark has passed it; rows without a time are left out."""
+    rows = audit.select("id", "ts", "session_id", "tool", "status").filter("ts IS NOT NULL").withWatermark("ts", watermark)
     return rows.groupBy("session_id").transformWithStateInPandas(
         SessionRisk(minute_us, ttl_ms),
         "id bigint, session_id string, total_calls bigint, tools bigint, calls_per_minute bigint, risk_score double",
@@ -187,32 +242,26 @@ def stream_session_risk(
     )
 
 
-class SessionFlag(_Expiring):
+class SessionFlag(_InOrder):
     """A flagged response marks its session for a day; later calls of the session see the mark."""
 
-    def __init__(self, ttl_ms: int):
-        self.ttl = ttl_ms
+    columns = "id bigint, ts bigint, flagged boolean"
+    state = "until bigint"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("flag", "until bigint")
+    def __init__(self, ttl_ms: int):
+        self.ttl = ttl_ms * 1000
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        until = self.state.get()[0] if self.state.exists() else None
-        pdf = _batch(rows)
-        marked = []
-        for flagged, now in zip(pdf["flagged"], _micros(pdf["ts"]), strict=True):
-            marked.append(until is not None and now < until)
-            if flagged:
-                until = now + self.ttl * 1000
-        if until is not None:
-            self.state.update((until,))
-            self.expire_at(until)
-        yield pd.DataFrame({"id": pdf["id"].to_numpy(), "session_id": [key[0]] * len(pdf), "session_flagged": marked})
+    def handle_in_order(self, key, kept, rows):
+        times, flagged = rows["ts"].to_numpy(), rows["flagged"].eq(True).to_numpy()
+        first = NEVER if kept is None else kept[0]
+        until = np.maximum.accumulate(np.concatenate([[first], np.where(flagged, times + self.ttl, NEVER)]))
+        out = pd.DataFrame({"id": rows["id"].astype("int64"), "session_id": [key[0]] * len(rows), "session_flagged": times < until[:-1]})
+        return (int(until[-1]),), int(until[-1]), out
 
 
 def stream_session_flag(responses: DataFrame, ttl_ms: int = 86_400_000, watermark: str = WATERMARK) -> DataFrame:
-    rows = responses.select("id", "ts", "session_id", "flagged").withWatermark("ts", watermark)
+    """Whether the session of a response was flagged before it, once the watermark has passed it; rows without a time are left out."""
+    rows = responses.select("id", "ts", "session_id", "flagged").filter("ts IS NOT NULL").withWatermark("ts", watermark)
     return rows.groupBy("session_id").transformWithStateInPandas(
         SessionFlag(ttl_ms), "id bigint, session_id string, session_flagged boolean", "Append", "EventTime"
     )

@@ -1,5 +1,7 @@
 """Every stream gives the batch answer on the same rows."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,32 +91,75 @@ def test_dedup(spark, tables, tmp_path):
     assert got.count() == 50
 
 
-def test_rate_limit_over_micro_batches(spark, tables, tmp_path):
-    _, batch = source(spark, tables, "calls")
+def shuffled(rows, tmp_path, order):
+    """A stream that reads one file of ``rows`` per micro-batch, in the given order, then a row so much later that the watermark passes them all.
+
+    Each file spans all times, so its rows are late by as much and the watermark has to allow for it.
+    """
     folder = str(tmp_path / "parts")
-    ordered = batch.select("id", "ts", "agent_id").repartitionByRange(3, "ts").sortWithinPartitions("ts")
-    ordered.write.parquet(folder)
-    # Files carry time order only by name, so each one is its own micro-batch.
-    stream = spark.readStream.schema("id bigint, ts timestamp, agent_id string").option("maxFilesPerTrigger", 3).parquet(folder)
-    got = run(st.stream_rate_limit(stream, 1, 21600), tmp_path)
-    wanted = rate_limit.fixed_window_limit(batch.select("id", "ts", "agent_id"), ["agent_id"], 1, 21600)
-    same(got, wanted, ["id", "allowed"])
+    spark = rows.sparkSession
+    last = rows.agg(F.max("ts")).first()[0]
+    for number in order:
+        rows.filter(F.pmod("id", F.lit(len(order))) == number).coalesce(1).write.mode("append").parquet(folder)
+    end = spark.createDataFrame([(-1, last + datetime.timedelta(days=90))], "id bigint, ts timestamp")
+    rows.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_session_risk(spark, tables, tmp_path):
-    stream, batch = source(spark, tables, "audit")
-    got = run(st.stream_session_risk(stream, 3_600_000_000), tmp_path)
+def test_limits_of_two_rules_over_reordered_batches(spark, tables, tmp_path):
+    _, batch = source(spark, tables, "calls")
+    busy = F.when(F.col("id") % 3 == 0, "agent-busy").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("agent_id"))
+    rows = batch.select("id", "ts", busy.alias("agent_id"), "tool").cache()
+    tool = rows.groupBy("tool").count().orderBy(F.desc("count"), "tool").first()[0]
+    stream = st.stream_rate_limit(shuffled(rows, tmp_path, [2, 0, 1]), [("p1", tool, 1, 21600), ("p2", None, 2, 43200)], "60 days")
+    one = rate_limit.fixed_window_limit(rows.filter(F.col("tool") == tool), ["agent_id"], 1, 21600).select("id", F.col("allowed").alias("first"))
+    left = rows.join(one, "id", "left").fillna({"first": True}).cache()
+    two = rate_limit.fixed_window_limit(left.filter("first").drop("first"), ["agent_id"], 2, 43200).select("id", F.col("allowed").alias("second"))
+    wanted = left.join(two, "id", "left").select(
+        "id", "agent_id", (F.col("first") & F.coalesce("second", F.lit(True))).alias("allowed"),
+        F.expr("CASE WHEN NOT first THEN 'p1' WHEN NOT second THEN 'p2' END").alias("denied_by"),
+    )
+    got = run(stream, tmp_path).filter("id >= 0")
+    same(got, wanted, ["id", "agent_id", "allowed", "denied_by"])
+    assert {r[0] for r in got.select("denied_by").distinct().collect()} == {None, "p1", "p2"}
+
+
+def test_session_risk_over_reordered_batches(spark, tables, tmp_path):
+    _, batch = source(spark, tables, "audit")
+    got = run(st.stream_session_risk(shuffled(batch, tmp_path, [1, 2, 0]), 3_600_000_000, watermark="60 days"), tmp_path).filter("id >= 0")
     wanted = risk.session_features(batch, 3_600_000_000).withColumn("risk_score", risk.session_risk())
-    same(got, wanted, ["id", "total_calls", "calls_per_minute", "risk_score"])
+    wanted = wanted.withColumn("tools", F.col("unique_tools_count"))
+    same(got, wanted, ["id", "total_calls", "tools", "calls_per_minute", "risk_score"])
+
+
+def test_session_flag_of_late_rows(spark, tmp_path):
+    first = [(1, "2024-01-01 00:00:00", "s", False), (2, "2024-01-01 03:00:00", "s", True), (4, "2024-01-02 02:30:00", "s", False), (7, "2024-01-01 02:00:00", None, True)]
+    late = [(3, "2024-01-01 02:00:00", "s", True), (5, "2024-01-02 03:00:00", "s", False), (6, "2024-01-01 02:30:00", "t", None), (8, "2024-01-01 02:00:01", None, False), (9, None, "s", True)]
+    end = [(0, "2024-02-01 00:00:00", "z", False)]
+    folder = str(tmp_path / "r")
+    for rows in (first, late, end):
+        df = spark.createDataFrame(rows, "id bigint, ts string, session_id string, flagged boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    got = run(st.stream_session_flag(stream, watermark="2 days"), tmp_path)
+    marks = {r["id"]: r["session_flagged"] for r in got.collect()}
+    # the late flag of 02:00 neither shortens the one of 03:00 nor is lost: 03:00 sees it
+    assert marks == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: True}
 
 
-def test_session_flag(spark, tmp_path):
-    rows = [(1, "2024-01-01 00:00:00", "s", False), (2, "2024-01-01 01:00:00", "s", True), (3, "2024-01-01 02:00:00", "s", False),
-            (4, "2024-01-03 02:00:00", "s", False), (5, "2024-01-01 02:00:00", "t", False)]
-    df = spark.createDataFrame(rows, "id bigint, ts string, session_id string, flagged boolean").withColumn("ts", F.col("ts").cast("timestamp"))
-    df.write.parquet(str(tmp_path / "r"))
-    got = run(st.stream_session_flag(st.stream_table(spark, str(tmp_path / "r"), df.schema)), tmp_path)
-    assert sorted((r["id"], r["session_flagged"]) for r in got.collect()) == [(1, False), (2, False), (3, True), (4, False), (5, False)]
+def test_limit_state_empties_after_the_window(spark, tmp_path):
+    folder = str(tmp_path / "r")
+    for rows in ([(1, "2024-01-01 00:00:00", "a", "t"), (2, "2024-01-01 00:00:30", "a", "t")], [(3, "2024-01-03 00:00:00", "b", "t")], [(4, "2024-01-05 00:00:00", "c", "t")]):
+        df = spark.createDataFrame(rows, "id bigint, ts string, agent_id string, tool string").withColumn("ts", F.col("ts").cast("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    limited = st.stream_rate_limit(stream, [("p", None, 1, 60)])
+    query = limited.writeStream.format("memory").queryName("emptied").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    assert query.exception() is None
+    assert {r["id"]: r["allowed"] for r in spark.table("emptied").collect()} == {1: True, 2: False, 3: True}
+    kept = spark.read.format("statestore").option("stateVarName", "kept").load(str(tmp_path / "ck"))
+    assert kept.count() == 0
 
 
 def test_review_timeout(spark, tmp_path):
