@@ -15,6 +15,7 @@ from ledgerlight.session import cut_lineage
 WIDTH = 2.0
 TILE = 2048
 SMALL = 12
+NAMELESS = 1 << 62
 
 
 def meets(distance: float, width: float = WIDTH) -> float:
@@ -47,8 +48,10 @@ def hasher(dimensions: int, projections: int, tables: int, width: float = WIDTH,
     return keys
 
 
-def unit_rows(raw: list[bytes]) -> np.ndarray:
-    vectors = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), -1).astype(np.float64)
+def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of length 1; the exponent of the largest component goes first, so no square overflows or vanishes."""
+    vectors = np.frombuffer(b"".join(raw), dtype=kind).reshape(len(raw), -1).astype(np.float64)
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
@@ -99,21 +102,24 @@ def near_vectors(
     loss is a pair that meets in no table, at most 1 - ``recall`` of those right at the threshold and far fewer of closer ones.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no links and are kept. Vectors of
-    different lengths never link. A null vec_id takes part in links under the id of its class and gets a null
-    component_id only if no id is reachable; rows repeated in vec_id and vector link with each other like any equal
+    different lengths never link. Components are kept as they are if they are floats, else taken as doubles. A null
+    vec_id takes part in links: it is never kept, and its component_id is null only if no id is reachable. Ids of
+    2^62 and more are reserved for the nodes of vectors without one. Rows repeated in vec_id and vector link with each other like any equal
     vectors, and different vectors under one vec_id count as one node.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("v"))
+    kind = "float32" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "float64"
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>" if kind == "float32" else "array<double>").alias("v"))
     sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.withColumn("v", F.when(sound, F.col("v")))
     class_of = F.min("vec_id").alias("id")
-    classes = cut_lineage(rows.where("v IS NOT NULL").groupBy("v").agg(class_of, F.count("*").alias("n")))
+    classes = rows.where("v IS NOT NULL").groupBy("v").agg(class_of, F.count("*").alias("n"))
+    classes = cut_lineage(classes.withColumn("id", F.coalesce("id", F.monotonically_increasing_id() + NAMELESS)))
     total = classes.count()
     sizes = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().collect()]  # lengths of vectors: a model has one
     counts, edges = None, None
     for dimensions in sizes:
         k, t = plan(total, cosine, recall)
-        hits = tiles(classes.where(F.size("v") == dimensions), dimensions, projections or k, tables or t, cosine, tile)
+        hits = tiles(classes.where(F.size("v") == dimensions), dimensions, projections or k, tables or t, cosine, tile, kind)
         counts = hits.where("other IS NULL") if counts is None else counts.union(hits.where("other IS NULL"))
         edges = hits.where("other IS NOT NULL") if edges is None else edges.union(hits.where("other IS NOT NULL"))
     if counts is None:
@@ -125,21 +131,21 @@ def near_vectors(
     )
     # rows meet their class by the vector itself; most vectors are alone, and a class is read once
     out = rows.join(found, rows["v"] == found["class"], "left")
-    component = F.coalesce("component_id", "vec_id")
+    component = F.when(F.col("class").isNull(), F.col("vec_id")).when(F.col("component_id") < NAMELESS, F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def tiles(classes: DataFrame, dimensions: int, projections: int, tables: int, cosine: float, tile: int) -> DataFrame:
+def tiles(classes: DataFrame, dimensions: int, projections: int, tables: int, cosine: float, tile: int, kind: str = "float32") -> DataFrame:
     """(id, links, other): link counts where other is null, else edges, from all buckets with two classes or more."""
     hashes = hasher(dimensions, projections, tables)
 
     def hashed(batches):
         for pdf in batches:
-            raw = [np.asarray(v, dtype=np.float32).tobytes() for v in pdf["v"]]
+            raw = [np.asarray(v, dtype=kind).tobytes() for v in pdf["v"]]
             if raw:
-                yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "raw": raw, "keys": list(hashes(unit_rows(raw)))})
+                yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "raw": raw, "keys": list(hashes(unit_rows(raw, kind)))})
 
-    known = cut_lineage(classes.where("id IS NOT NULL").select("id", "n", "v").mapInPandas(hashed, "id long, n long, raw binary, keys array<long>"))
+    known = cut_lineage(classes.select("id", "n", "v").mapInPandas(hashed, "id long, n long, raw binary, keys array<long>"))
     spots = known.select("id", F.posexplode("keys").alias("t", "key"))
     shared = spots.groupBy("t", "key").agg(F.count("*").alias("m")).where("m > 1")
     chunks = F.ceil(F.col("m") / tile).cast("int")
@@ -153,7 +159,7 @@ def tiles(classes: DataFrame, dimensions: int, projections: int, tables: int, co
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         name, weight, part = pdf["id"].to_numpy(), pdf["n"].to_numpy(), pdf["part"].to_numpy()
-        unit, all_keys = unit_rows(list(pdf["raw"])), np.stack(pdf["keys"].to_numpy())
+        unit, all_keys = unit_rows(list(pdf["raw"]), kind), np.stack(pdf["keys"].to_numpy())
         by_size: dict[int, list] = {}
         ids, count, other = [], [], []
         for (t, _, i, j), at in pdf.groupby(["t", "key", "i", "j"], sort=False).indices.items():

@@ -53,6 +53,20 @@ def test_near_vectors_of_odd_tables(spark):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in made) == [(0, 2, 7), (1, 0, 1), (7, 2, 7), (7, 2, 7)]
 
 
+def test_near_vectors_of_doubles(spark):
+    rows = [(1, [1e300, 2e300]), (2, [2e-300, 4e-300]), (3, [1.0, -2.0]), (4, [1.0, 2.0]), (5, [2.0, 4.0]), (6, [float("inf"), 1.0]), (7, None), (8, [1.0, 2.0])]
+    made = pstable.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.9999).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in made) == [
+        (1, 4, 1, True), (2, 4, 1, False), (3, 0, 3, True), (4, 4, 1, False), (5, 4, 1, False), (6, 0, 6, True), (7, 0, 7, True), (8, 4, 1, False)]
+
+
+def test_near_vectors_without_ids_link(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (None, [1.0, 0.01, 0.0]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (None, [0.0, 0.0, 1.0]), (None, None)]
+    made = pstable.near_vectors(vectors(spark, rows), recall=0.9999).collect()
+    found = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in made), key=repr)
+    assert found == sorted([(5, 1, 5, True), (None, 1, 5, False), (None, 1, None, False), (None, 1, None, False), (None, 0, None, False), (None, 0, None, False)], key=repr)
+
+
 def edited(text, rnd, share):
     words = text.split(" ")
     for i in range(len(words)):
