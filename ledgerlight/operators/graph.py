@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.frames import DAY, trailing_sums
+from ledgerlight.operators.adjacency import Adjacency, sides, touching
 from ledgerlight.operators.telemetry import money, units
 from ledgerlight.session import cut_lineage
 
@@ -39,21 +40,12 @@ def account_summary(transfers: DataFrame, accounts: DataFrame) -> DataFrame:
     Aggregating by (account, counterparty) first makes the distinct count a plain
     count and splits a hub over all its counterparties.
     """
-    sent = F.struct(
-        F.col("from_id").alias("account_id"),
-        F.col("to_id").alias("other"),
-        F.col("amount_paid").alias("sent"),
-        F.when(F.col("from_id") == F.col("to_id"), F.col("amount_received")).otherwise(0.0).alias("received"),
-    )
-    got = F.when(
-        F.col("from_id") != F.col("to_id"),
-        F.struct(
-            F.col("to_id").alias("account_id"), F.col("from_id").alias("other"), F.lit(0.0).alias("sent"),
-            F.col("amount_received").alias("received"),
-        ),
-    )
-    sides = transfers.select("ts", F.inline(F.array_compact(F.array(sent, got))))
-    by_pair = sides.groupBy("account_id", "other").agg(
+    return summed_sides(sides(transfers), accounts)
+
+
+def summed_sides(found: DataFrame, accounts: DataFrame) -> DataFrame:
+    """:func:`account_summary` from the sides of the transfers."""
+    by_pair = found.groupBy("account_id", "other").agg(
         F.count("*").alias("n"),
         F.sum(units("sent")).alias("sent"),
         F.sum(units("received")).alias("received"),
@@ -102,42 +94,30 @@ def subgraph(transfers: DataFrame, accounts: DataFrame, max_edges: int = MAX_EDG
     )
 
 
-def links(transfers: DataFrame, min_amount: float = 0.0) -> DataFrame:
-    """Both directions of every edge, summed per pair once, so hubs shrink to distinct pairs."""
-    kept = transfers.filter(F.greatest("amount_paid", "amount_received") >= min_amount)
-    totals = kept.groupBy("from_id", "to_id").agg(
-        F.sum(units("amount_paid")).alias("paid"),
-        F.sum(units("amount_received")).alias("received"),
-        F.count("*").alias("n"),
-    )
-    return totals.filter("from_id <> to_id").select(
-        F.inline(
-            F.array(
-                F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.col("paid").alias("amount"), "n"),
-                F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b"), F.col("received").alias("amount"), "n"),
-            )
-        )
-    )
-
-
-def k_hop(transfers: DataFrame, seeds: DataFrame, hops: int, min_amount: float = 0.0, max_hops: int = MAX_HOPS) -> DataFrame:
+def k_hop(
+    transfers: DataFrame | Adjacency, seeds: DataFrame, hops: int, min_amount: float = 0.0, max_hops: int = MAX_HOPS
+) -> DataFrame:
     """Breadth-first neighbourhood of each seed: first hop reached, amount and transfers of that hop.
 
     ``seeds(seed_id)``. An edge between two frontier accounts leads to an account
-    already visited and so adds nothing. Lineage is cut after every hop.
+    already visited and so adds nothing. Every frontier is written as a table, so its
+    size is known when the next hop is planned: transfers that touch none of its accounts are
+    dropped where they are read, and only the others are grouped. An adjacency table reads the frontier's
+    buckets alone.
     """
     if not 1 <= hops <= max_hops:
         raise ValueError(f"hops must be from 1 to {max_hops}, not {hops}; pass a larger max_hops if you mean it")
-    step = links(transfers, min_amount)
-    if hops > 1:
-        step = cut_lineage(step)
-    frontier = seeds.select("seed_id", F.col("seed_id").alias("account_id"))
+    frontier = cut_lineage(seeds.select("seed_id", F.col("seed_id").alias("account_id")))
     visited = frontier
     found = None
     for hop in range(1, hops + 1):
+        kept = touching(transfers, frontier).filter((F.col("largest") >= min_amount) & (F.col("account_id") != F.col("other")))
+        edges = kept.groupBy("account_id", "other").agg(
+            F.sum(units("sent") + units("received")).alias("amount"), F.count("*").alias("n")
+        )
         reached = (
-            frontier.join(step, frontier["account_id"] == step["a"])
-            .groupBy("seed_id", F.col("b").alias("account_id"))
+            frontier.join(edges, "account_id")
+            .groupBy("seed_id", F.col("other").alias("account_id"))
             .agg((F.sum("amount") / 100).alias("total_amount"), F.sum("n").alias("transaction_count"))
             .join(visited, ["seed_id", "account_id"], "left_anti")
             .withColumn("hop", F.lit(hop))
@@ -353,21 +333,23 @@ def seed_alert(transfers: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
-def cap_neighbours(neighbours: DataFrame, n: int = MAX_NEIGHBOURS) -> DataFrame:
-    """At most ``n`` neighbours per seed, largest total first (the cap is part of the feature)."""
+def cap_neighbours(neighbours: DataFrame, n: int | None = MAX_NEIGHBOURS) -> DataFrame:
+    """At most ``n`` neighbours per seed, largest total first (the cap is part of the feature); None keeps all."""
     order = Window.partitionBy("seed_id").orderBy(F.desc("total_amount"), "account_id")
-    return neighbours.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)
+    placed = neighbours.withColumn("place", F.row_number().over(order))
+    return placed if n is None else placed.filter(F.col("place") <= n)
 
 
 def discover(
-    alerts: DataFrame, transfers: DataFrame, accounts: DataFrame, screened: DataFrame
+    alerts: DataFrame, transfers: DataFrame | Adjacency, accounts: DataFrame, screened: DataFrame
 ) -> DataFrame:
-    """Account summary, screening result and number of direct neighbours for every alert.
+    """Account summary and screening result for every alert; its counterparties are ``distinct_counterparties``.
 
     ``screened(query, matched_name, entry_id, score, is_match)`` comes from screening
-    the account names as type ``entity``.
+    the account names as type ``entity``. Only transfers of the alerts' accounts are grouped.
     """
-    summary = account_summary(transfers, accounts.join(alerts.select("account_id"), "account_id", "left_semi"))
+    alerts = cut_lineage(alerts)
+    summary = summed_sides(touching(transfers, alerts), accounts.join(alerts.select("account_id"), "account_id", "left_semi"))
     return (
         alerts.join(summary, "account_id", "left")
         .join(screened.drop("sdn_type", "reference_url"), F.col("entity_name") == F.col("query"), "left")
@@ -375,27 +357,79 @@ def discover(
     )
 
 
-def alert_subgraphs(alerts: DataFrame, transfers: DataFrame, max_edges: int = MAX_EDGES) -> DataFrame:
-    """Edges among each alert's account and its (at most 25) largest neighbours.
+def alert_transfers(alerts: DataFrame, transfers: DataFrame | Adjacency, first_day: str, last_day: str) -> DataFrame:
+    """Every transfer of each alert's account from the first day to the last, as a row, both days whole."""
+    inside = (F.col("ts") >= F.lit(first_day).cast("timestamp")) & (
+        F.col("ts") < F.lit(last_day).cast("timestamp") + F.expr("INTERVAL 1 DAY")
+    )
+    return touching(transfers, cut_lineage(alerts.select("account_id"))).filter(inside)
+
+
+def alert_bundles(
+    alerts: DataFrame,
+    transfers: DataFrame | Adjacency,
+    first_day: str,
+    last_day: str,
+    max_transfers: int = MAX_EDGES,
+    max_neighbours: int = MAX_NEIGHBOURS,
+) -> DataFrame:
+    """One row per alerted account with its transfers and its direct neighbours.
+
+    Totals count everything, ``transfers`` lists the latest ``max_transfers`` of the days asked for and ``neighbours`` the
+    largest ``max_neighbours`` (both lists are bounded as a feature; :func:`alert_transfers` and :func:`k_hop` give all as
+    rows). Places are found before the shuffle, so a hub sends no more than its lists hold. An account without transfers
+    has zeros and empty lists; repeated alerts and null accounts count once, the latter without transfers.
+    """
+    alerts = cut_lineage(alerts.select("account_id").distinct())
+    dated = alert_transfers(alerts, transfers, first_day, last_day)
+    totals = dated.groupBy("account_id").agg(F.count("*").alias("transfers_total"))
+    listed = ["ts", "other", "sent", "received"]
+    latest = Window.partitionBy("account_id").orderBy(F.desc("ts"), "other", "sent", "received")
+    lists = (
+        dated.withColumn("place", F.row_number().over(latest)).filter(F.col("place") <= max_transfers)
+        .groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("place", *listed))).alias("transfers"))
+    )
+    near = cut_lineage(k_hop(transfers, alerts.withColumnRenamed("account_id", "seed_id"), 1))
+    counted = near.groupBy("seed_id").agg(F.count("*").alias("neighbours_total"))
+    largest = cap_neighbours(near, max_neighbours).groupBy("seed_id").agg(
+        F.array_sort(F.collect_list(F.struct("place", "account_id", "total_amount", "transaction_count"))).alias("neighbours")
+    )
+    around = counted.join(largest, "seed_id", "left").withColumnRenamed("seed_id", "account_id")
+    bundle = alerts.join(totals, "account_id", "left").join(lists, "account_id", "left").join(around, "account_id", "left")
+    empty = {c: F.coalesce(F.col(c), F.array().cast(bundle.schema[c].dataType)) for c in ("transfers", "neighbours")}
+    return bundle.fillna(0, ["transfers_total", "neighbours_total"]).withColumns(empty)
+
+
+def alert_subgraphs(
+    alerts: DataFrame, transfers: DataFrame, max_edges: int = MAX_EDGES, max_neighbours: int | None = MAX_NEIGHBOURS
+) -> DataFrame:
+    """Edges among each alert's account and its ``max_neighbours`` largest neighbours, of ``neighbours_total``.
 
     Members are bounded by the cap, so the ordered member pairs of an alert are
-    looked up in the edge table by both ends; no neighbour's own edges are expanded.
+    looked up among the edges that members send; no neighbour's own edges are expanded. Without a
+    cap pairs grow with the square of the neighbours, so None is for accounts known to have few.
     """
     seeds = alerts.select(F.col("account_id").alias("seed_id"))
-    near = cap_neighbours(k_hop(transfers, seeds, 1)).select("seed_id", "account_id")
-    members = near.groupBy("seed_id").agg(F.array_sort(F.collect_list("account_id")).alias("m"))
-    members = members.withColumn("m", F.array_append("m", F.col("seed_id")))
+    reached = k_hop(transfers, seeds, 1)
+    total = F.count("*").over(Window.partitionBy("seed_id"))
+    near = cap_neighbours(reached.withColumn("neighbours_total", total), max_neighbours)
+    members = near.groupBy("seed_id").agg(
+        F.array_sort(F.collect_list("account_id")).alias("m"), F.max("neighbours_total").alias("neighbours_total")
+    )
+    members = cut_lineage(members.withColumn("m", F.array_append("m", F.col("seed_id"))))
     pairs = members.select("seed_id", F.explode("m").alias("from_id"), "m").select(
         "seed_id", "from_id", F.explode("m").alias("to_id")
     )
-    edges = pairs.join(edge_totals(transfers), ["from_id", "to_id"])
+    senders = members.select(F.explode("m").alias("from_id")).distinct()
+    edges = pairs.join(edge_totals(transfers.join(senders, "from_id", "left_semi")), ["from_id", "to_id"])
     order = Window.partitionBy("seed_id").orderBy(F.desc("total_amount"), "from_id", "to_id")
     ranked = edges.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max_edges + 1)
-    return ranked.groupBy("seed_id").agg(
+    found = ranked.groupBy("seed_id").agg(
         F.count_if(F.col("place") <= max_edges).alias("subgraph_edges"),
         (F.sum(F.when(F.col("place") <= max_edges, units("total_amount"))) / 100).alias("subgraph_amount"),
         F.bool_or(F.col("place") > max_edges).alias("truncated"),
     )
+    return found.join(members.select("seed_id", "neighbours_total"), "seed_id")
 
 
 def enrich(discovered: DataFrame, transfers: DataFrame, entries: DataFrame, window_days: int = 30, threshold: float = SMALL_DEPOSIT) -> DataFrame:

@@ -330,7 +330,7 @@ SELECT seed_id, count(*) FILTER (place <= 500) AS subgraph_edges,
 SELECT seed_id, account_id FROM near WHERE seed_id IN (SELECT account_id FROM alerts)
 UNION ALL SELECT account_id, account_id FROM alerts WHERE account_id IN (SELECT seed_id FROM near)""",
     "enriched": """
-SELECT al.account_id, s.entity_name, s.total_transactions, s.total_sent, s.distinct_counterparties, h.matched_name, h.entry_id, h.score, h.is_match,
+SELECT al.account_id, s.entity_name, s.total_transactions, s.total_sent, s.distinct_counterparties, s.distinct_counterparties AS neighbours_total, h.matched_name, h.entry_id, h.score, h.is_match,
   g.subgraph_edges, g.subgraph_amount, g.truncated, c.deposit_count, c.total_deposits, c.flagged,
   CASE WHEN h.is_match THEN w.program END AS listed_program
 FROM alerts al LEFT JOIN summary s ON al.account_id = s.account_id LEFT JOIN alert_hits h ON s.entity_name = h.query
@@ -872,11 +872,31 @@ add(
 FROM (SELECT *, row_number() OVER (ORDER BY md5(concat(from_id, to_id, strftime(ts, '%Y-%m-%d %H:%M:%S'))), amount_paid) AS r, count(*) OVER () AS n FROM transfers WHERE is_laundering = 1)
 WHERE r = {rg.SEED} % n + 1""",
 )
+add("adjacency_hops", *_hops(2, 60_000.0))
+add(
+    "alert_bundles",
+    """SELECT account_id, coalesce(transfers_total, 0) AS transfers_total, coalesce(neighbours_total, 0) AS neighbours_total,
+  coalesce(transfers, '') AS transfers, coalesce(neighbours, '') AS neighbours
+FROM alerts LEFT JOIN listed USING (account_id) LEFT JOIN around USING (account_id)""",
+    {
+        "side": """SELECT * FROM (
+  SELECT from_id AS account_id, to_id AS other, ts, CAST(round(amount_paid * 100) AS BIGINT) AS sent, 0 AS received FROM transfers
+  UNION ALL SELECT to_id, from_id, ts, 0, CAST(round(amount_received * 100) AS BIGINT) FROM transfers) WHERE account_id IN (SELECT account_id FROM alerts)""",
+        "dated": """SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY ts DESC, other, sent, received) AS place
+FROM side WHERE ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-01-01'""",
+        "nearest": """SELECT account_id, other, sum(sent + received) AS amount, count(*) AS n,
+  row_number() OVER (PARTITION BY account_id ORDER BY sum(sent + received) DESC, other) AS place FROM side GROUP BY account_id, other""",
+        "listed": """SELECT account_id, count(*) AS transfers_total,
+  string_agg(concat(strftime(ts, '%Y-%m-%d'), ' ', other, ' ', sent, ' ', received), '|' ORDER BY place) FILTER (place <= 10) AS transfers FROM dated GROUP BY account_id""",
+        "around": """SELECT account_id, count(*) AS neighbours_total,
+  string_agg(concat(other, ' ', amount, ' ', n), '|' ORDER BY place) FILTER (place <= 5) AS neighbours FROM nearest GROUP BY account_id""",
+    },
+)
 add(
     "discover",
     """SELECT account_id, entity_name, total_transactions, total_sent, distinct_counterparties, coalesce(entry_id, '') AS entry_id, score, is_match FROM enriched""",
 )
-add("enrich", "SELECT account_id, subgraph_edges, subgraph_amount, truncated, deposit_count, flagged, listed_program FROM enriched")
+add("enrich", "SELECT account_id, neighbours_total, subgraph_edges, subgraph_amount, truncated, deposit_count, flagged, listed_program FROM enriched")
 add("assess", "SELECT account_id, risk_level, replace(findings, '; Struct', '|Struct') AS key_findings FROM assessed")
 add(
     "investigation_reports",

@@ -6,6 +6,7 @@ joined with ``|``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,9 @@ from ledgerlight.functions.redact import PII_PATTERNS, has_injection_marker, pat
 from ledgerlight.operators import audit as au
 from ledgerlight.operators import clusters, graph, policy, quality, rate_limit, responses, risk, scenarios, screening, shape
 from ledgerlight.operators import telemetry as te
+from ledgerlight.operators.adjacency import write_adjacency
 from ledgerlight.plans.packs import extended_pack, rules_table
-from ledgerlight.session import cut_lineage
+from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 from ledgerlight.sources import adapters as ad
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -744,6 +746,27 @@ for _n, _min in ((1, 0.0), (2, 60_000.0), (3, 90_000.0)):
     query(_run)
 
 
+@query
+def adjacency_hops(s, d):
+    """Two hops by lookups in a table of buckets, which a caller would write once and keep."""
+    where = f"{ensure_checkpoint_dir(s).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    seeds = ad.accounts(s, d).filter("account_id IN ('C:1', 'C:7', 'S:2')").select(F.col("account_id").alias("seed_id"))
+    return graph.k_hop(write_adjacency(ad.transfers(s, d), where, 32), seeds, 2, 60_000.0)
+
+
+@query
+def alert_bundles(s, d):
+    def cents(row, name):
+        return F.round(row[name] * 100).cast("bigint").cast("string")
+
+    found = graph.alert_bundles(_alerts(s, d), ad.transfers(s, d), "1996-01-01", "1996-12-31", 10, 5)
+    return found.select(
+        "account_id", "transfers_total", "neighbours_total",
+        F.transform("transfers", lambda t: F.concat_ws(" ", F.date_format(t["ts"], "yyyy-MM-dd"), t["other"], cents(t, "sent"), cents(t, "received"))).alias("transfers"),
+        F.transform("neighbours", lambda n: F.concat_ws(" ", n["account_id"], cents(n, "total_amount"), n["transaction_count"].cast("string"))).alias("neighbours"),
+    )
+
+
 @query
 def cap_neighbours(s, d):
     seeds = ad.accounts(s, d).select(F.col("account_id").alias("seed_id"))
@@ -849,7 +872,7 @@ def _assessed(s, d):
 @query
 def enrich(s, d):
     return _assessed(s, d).select(
-        "account_id", "subgraph_edges", "subgraph_amount", "truncated", "deposit_count", "flagged", "listed_program"
+        "account_id", "neighbours_total", "subgraph_edges", "subgraph_amount", "truncated", "deposit_count", "flagged", "listed_program"
     )
 
 

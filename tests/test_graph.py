@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlight.operators import graph
+from ledgerlight.operators import adjacency, graph
 
 SCHEMA = "ts STRING, from_id STRING, to_id STRING, amount_received DOUBLE, amount_paid DOUBLE, payment_format STRING, is_laundering INT"
 ROWS = [
@@ -129,3 +129,52 @@ def test_sample_keeps_labels_and_patterns(moves, spark):
 def test_orphans(moves, spark):
     known = spark.createDataFrame([(i,) for i in IDS[:-1]], "account_id STRING")
     assert [(r.to_id, r.missing_end) for r in graph.orphan_edges(moves, known).collect()] == [("3:ACC020", "to")]
+
+
+def test_adjacency_reads_only_the_buckets_of_the_frontier(spark, moves, tmp_path):
+    table = adjacency.write_adjacency(moves, str(tmp_path / "sides"), 8)
+    for n in (1, 2, 3):
+        assert hops(table, spark, "1:ACC001", n) == hops(moves, spark, "1:ACC001", n)
+    one = spark.createDataFrame([("1:ACC001",), (None,)], "account_id STRING")
+    read = table.rows_of(one)
+    assert sorted(tuple(r) for r in read.collect()) == sorted(tuple(r) for r in adjacency.touching(moves, one).collect())
+    bucket = one.filter("account_id IS NOT NULL").select(table.bucket()).first()[0]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert f"(bucket#" in plan and f"= {bucket})" in plan and "PartitionFilters" in plan
+    assert table.rows_of(one.filter("false")).count() == 0
+
+
+def test_three_seeds_do_not_shuffle_all_transfers(spark, moves):
+    seeds = spark.createDataFrame([("1:ACC001",), ("2:ACC010",), ("3:ACC020",)], "seed_id STRING")
+    found = graph.k_hop(moves, seeds, 1)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
+def test_sides_with_null_ends(spark):
+    rows = [("2022-01-01", None, "b", 1.0, 2.0, "ACH", 0), ("2022-01-01", "a", None, 3.0, 4.0, "ACH", 0), ("2022-01-01", None, None, 5.0, 6.0, "ACH", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {(r.account_id, r.other, r.sent, r.received) for r in adjacency.sides(df).collect()}
+    assert got == {(None, "b", 2.0, 0.0), ("b", None, 0.0, 1.0), ("a", None, 4.0, 0.0), (None, "a", 0.0, 3.0), (None, None, 6.0, 5.0)}
+
+
+def test_bundles_list_transfers_and_neighbours(spark, moves, tmp_path):
+    alerts = spark.createDataFrame([("1:ACC001",), ("1:ACC001",), ("9:NONE",), (None,)], "account_id STRING")
+    table = adjacency.write_adjacency(moves, str(tmp_path / "sides"), 4)
+    for source in (moves, table):
+        got = {r.account_id: r for r in graph.alert_bundles(alerts, source, "2022-09-01", "2022-09-10", 2, 3).collect()}
+        suspect = got["1:ACC001"]
+        assert len(got) == 3 and (suspect.transfers_total, suspect.neighbours_total) == (3, 4)
+        assert [(t.other, t.received) for t in suspect.transfers] == [("1:ACC004", 9500.0), ("1:ACC003", 8500.0)]
+        assert [(n.account_id, n.total_amount, n.transaction_count) for n in suspect.neighbours] == [
+            ("2:ACC010", 50000.0, 1), ("1:ACC004", 9500.0, 1), ("1:ACC002", 9050.0, 2)]
+        for empty in ("9:NONE", None):
+            assert (got[empty].transfers_total, got[empty].neighbours_total, got[empty].transfers, got[empty].neighbours) == (0, 0, [], [])
+
+
+def test_cap_of_the_subgraph_is_a_parameter(spark, moves):
+    alerts = spark.createDataFrame([("1:ACC001",)], "account_id STRING")
+    few = graph.alert_subgraphs(alerts, moves, max_neighbours=1).first()
+    whole = graph.alert_subgraphs(alerts, moves, max_neighbours=None).first()
+    assert (few.neighbours_total, few.subgraph_edges) == (4, 1) and (whole.neighbours_total, whole.subgraph_edges, whole.truncated) == (4, 4, False)
