@@ -794,6 +794,42 @@ add(
   round(count(*) FILTER (hitl_decision IS NOT NULL) / count(*), 6) AS held_share, CAST(count(DISTINCT tool) AS DOUBLE) AS tools FROM calls GROUP BY 1""",
 )
 
+
+def _clusters(k: int, rounds: int) -> tuple[str, dict[str, str]]:
+    """Farthest-first starts and the rounds, each a view over the one before."""
+    names = ["calls_per_day", "denied_share", "held_share", "tools"]
+    spot = ", ".join(
+        f"CASE WHEN max({c}) OVER () = min({c}) OVER () THEN 0 ELSE CAST(floor(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) * 1000000 + 0.5) AS BIGINT) END AS x{i}"
+        for i, c in enumerate(names)
+    )
+    gap = " + ".join(f"(p.x{i} - c.x{i}) * (p.x{i} - c.x{i})" for i in range(4))
+    cols = ", ".join(f"x{i}" for i in range(4))
+    views = {
+        "profile": """SELECT agent_id, round(count(*) / count(DISTINCT day), 6) AS calls_per_day, round(count(*) FILTER (status = 'DENIED') / count(*), 6) AS denied_share,
+  round(count(*) FILTER (hitl_decision IS NOT NULL) / count(*), 6) AS held_share, CAST(count(DISTINCT tool) AS DOUBLE) AS tools FROM calls GROUP BY 1""",
+        "pt": f"SELECT agent_id, {spot} FROM profile",
+        "s0": f"SELECT 0 AS cluster, {cols} FROM pt ORDER BY {' + '.join(f'x{i} * x{i}' for i in range(4))}, agent_id LIMIT 1",
+    }
+    for n in range(1, k):
+        views[f"s{n}"] = f"""SELECT * FROM s{n - 1} UNION ALL SELECT * FROM (SELECT {n}, {', '.join(f'p.x{i}' for i in range(4))} FROM pt p, s{n - 1} c
+GROUP BY p.agent_id, {', '.join(f'p.x{i}' for i in range(4))} HAVING min({gap}) > 0 ORDER BY min({gap}) DESC, p.agent_id LIMIT 1)"""
+    near = f"SELECT p.*, c.cluster, {gap} AS gap FROM pt p, {{0}} c QUALIFY row_number() OVER (PARTITION BY p.agent_id ORDER BY {gap}, c.cluster) = 1"
+    before = f"s{k - 1}"
+    for r in range(rounds):
+        views[f"n{r}"] = near.format(before)
+        means = ", ".join(f"coalesce(CAST(floor(sum(n.x{i}) / count(n.x{i}) + 0.5) AS BIGINT), min(c.x{i})) AS x{i}" for i in range(4))
+        views[f"r{r}"] = f"SELECT c.cluster, {means} FROM {before} c LEFT JOIN n{r} n ON n.cluster = c.cluster GROUP BY c.cluster"
+        before = f"r{r}"
+    views["last_near"] = near.format(before)
+    views["far"] = "SELECT agent_id, cluster, round(sqrt(CAST(gap AS DOUBLE)) / 1000000, 6) AS distance FROM last_near"
+    views["lim"] = """SELECT cluster, round((m + 2.0 * sqrt(greatest(q - m * m, 0))) / 1000000, 6) AS most FROM (
+  SELECT cluster, CAST(sum(CAST(round(distance * 1000000) AS BIGINT)) AS DOUBLE) / count(*) AS m,
+    CAST(sum(CAST(round(distance * 1000000) AS HUGEINT) * CAST(round(distance * 1000000) AS HUGEINT)) AS DOUBLE) / count(*) AS q FROM far GROUP BY cluster)"""
+    return "SELECT agent_id, cluster, distance, distance > most AS is_outlier FROM far JOIN lim USING (cluster)", views
+
+
+add("cluster_outliers", *_clusters(rg.CLUSTERS, rg.LLOYD_ROUNDS))
+
 # ---- transfers ------------------------------------------------------------------------------------
 add(
     "account_transfers",

@@ -34,6 +34,7 @@ DEPOSIT_LIMIT = 10_000.0
 TARGET_ACCOUNTS = 1_000
 SEED = 42
 PROFILE_UNTIL = "2024-01-16"
+CLUSTERS, LLOYD_ROUNDS = 4, 3
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -675,7 +676,7 @@ def tool_baseline_zscores(s, d):
 
 @query
 def cluster_outliers(s, d):
-    return clusters.cluster_outliers(clusters.agent_profiles(ad.calls(s, d)))
+    return clusters.cluster_outliers(clusters.agent_profiles(ad.calls(s, d)), CLUSTERS, LLOYD_ROUNDS)
 
 
 @query
