@@ -32,6 +32,7 @@ GROUP_TIMES = 1_000_000
 FOLD_TIMES = 10_000
 ONE_SPAN = 1 << 61
 _OWN, _BEFORE, _AFTER, _ENTRY = 0, 1, 2, 3
+_KEY = "_key"
 
 
 def _exits(times: np.ndarray, own: np.ndarray, end: int, width: int) -> np.ndarray:
@@ -82,24 +83,25 @@ def fixed_window_limit(
 
     Calls are taken in (ts, id) order; denied calls count too. Keys are counted
     first: those with at most ``fold_times`` calls are folded in one expression,
-    busier ones go through the chunks (``busiest`` saves the count when it is known).
+    busier ones go through the chunks (``busiest`` saves the count when it is known). A null key is a key like others.
     """
     width = window_seconds * 1_000_000
     if busiest is None:
         busiest = busiest_key(calls, keys)
+    # One key column that is never null, so that joins, groups and windows alike take calls without a key as one key.
+    keyed = calls.withColumn(_KEY, F.to_json(F.struct(*keys)))
     if busiest <= fold_times:
-        return _numbered(calls, _folded_starts(calls, keys, width), keys, limit, width, ONE_SPAN)
-    sizes = calls.groupBy(*keys).agg(F.count("*").alias("_n"))
-    busy = sizes.filter(F.col("_n") > fold_times).select(*keys)
-    quiet = calls.join(busy, keys, "left_anti")
-    crowded = calls.join(busy, keys, "left_semi")
+        return _numbered(keyed, _folded_starts(keyed, [_KEY], width), [_KEY], limit, width, ONE_SPAN).drop(_KEY)
+    sizes = keyed.groupBy(_KEY).agg(F.count("*").alias("_n"))
+    busy = sizes.filter(F.col("_n") > fold_times).select(_KEY)
+    quiet = keyed.join(busy, _KEY, "left_anti")
+    crowded = keyed.join(busy, _KEY, "left_semi")
     if chunk_windows is None:
-        chunk_windows = _fitting_windows(crowded, keys, width)
+        chunk_windows = _fitting_windows(crowded, [_KEY], width)
     # A chunk must reach past the two windows that its neighbours look into.
     span = max(2, chunk_windows) * width
-    return _numbered(quiet, _folded_starts(quiet, keys, width), keys, limit, width, ONE_SPAN).unionByName(
-        _numbered(crowded, _chunked_starts(crowded, keys, width, span), keys, limit, width, span)
-    )
+    few = _numbered(quiet, _folded_starts(quiet, [_KEY], width), [_KEY], limit, width, ONE_SPAN)
+    return few.unionByName(_numbered(crowded, _chunked_starts(crowded, [_KEY], width, span), [_KEY], limit, width, span)).drop(_KEY)
 
 
 def _folded_starts(calls: DataFrame, keys: list[str], width: int) -> DataFrame:

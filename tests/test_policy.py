@@ -144,7 +144,7 @@ def brute_force(rows, limit, width):
 def test_fixed_window_equals_brute_force(spark, fold, chunk):
     rng = random.Random(fold + (chunk or 0))
     rows, i = [], 0
-    for agent, n, gap in (("dense", 600, 1.0), ("mid", 60, 8.0), ("thin", 20, 60.0), ("one", 1, 1.0)):
+    for agent, n, gap in (("dense", 600, 1.0), ("mid", 60, 8.0), ("thin", 20, 60.0), (None, 300, 1.0), ("one", 1, 1.0)):
         t = 1_700_000_000 + rng.random() * 100
         for _ in range(n):
             i += 1
