@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlight.operators.quality import Split, split_rows
 from ledgerlight.operators.screening import clean_sentinel, split_programs
 from ledgerlight.sources import schemas
 
@@ -14,9 +15,7 @@ def _account_id(bank: str, account: str):
     return F.concat_ws(":", F.expr(f"try_cast({bank} AS INT)"), F.col(account))
 
 
-def read_transfers(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV whose column names repeat, so columns are named by position."""
-    raw = spark.read.schema(schemas.TRANSFER_CSV).csv(path, header=True, enforceSchema=True)
+def _typed_transfers(raw: DataFrame) -> DataFrame:
     return raw.select(
         F.try_to_timestamp("ts", F.lit("yyyy/MM/dd HH:mm")).alias("ts"),
         "from_bank", "from_account", "to_bank", "to_account",
@@ -27,14 +26,68 @@ def read_transfers(spark: SparkSession, path: str) -> DataFrame:
         F.expr("try_cast(is_laundering AS INT)").alias("is_laundering"),
         _account_id("from_bank", "from_account").alias("from_id"),
         _account_id("to_bank", "to_account").alias("to_id"),
+        *[c for c in raw.columns if c in ("_corrupt", "_text")],
     )
 
 
+def read_transfers(spark: SparkSession, path: str) -> DataFrame:
+    """Header CSV whose column names repeat, so columns are named by position."""
+    return _typed_transfers(spark.read.schema(schemas.TRANSFER_CSV).csv(path, header=True, enforceSchema=True))
+
+
 def read_accounts(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(schemas.ACCOUNT_CSV).csv(path, header=True, enforceSchema=True)
     return raw.withColumn("account_id", _account_id("bank_id", "account_number"))
 
 
+def _raw_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a header CSV as text, with ``_text`` for the reject frame; ``_corrupt`` marks a wrong number of columns."""
+    reader = spark.read.schema(f"{schema}, _corrupt STRING").option("columnPruning", "false").option("escape", '"')
+    raw = reader.csv(path, header=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    fields = [c for c in raw.columns if c != "_corrupt"]
+    return raw.withColumn("_text", F.coalesce("_corrupt", F.to_csv(F.struct(*fields))))
+
+
+def _whole_or(holds: Column) -> Column:
+    """A row with a wrong number of columns has that one reason only: what stands in its fields means nothing."""
+    return F.col("_corrupt").isNotNull() | F.coalesce(holds, F.lit(False))
+
+
+def _split(typed: DataFrame, checks: dict[str, Column], out: str) -> Split:
+    named = {"column_count": F.col("_corrupt").isNull()} | {name: _whole_or(holds) for name, holds in checks.items()}
+    found = split_rows(typed, named, out, F.col("_text"))
+    return Split(found.good.drop("_corrupt", "_text"), found.rejected, found.counts)
+
+
+def _bank_and_account(side: str, bank: str, account: str) -> dict[str, Column]:
+    return {
+        f"{side}_bank": F.expr(f"try_cast({bank} AS INT)").isNotNull(),
+        f"{side}_account": F.trim(account) != "",
+    }
+
+
+def split_transfers(spark: SparkSession, path: str, out: str) -> Split:
+    """:func:`read_transfers` with reasons: rows with a bad time, bank, account, amount or label go to the reject frame.
+
+    The files are read once; both frames are read from ``out``. Amounts must be finite numbers, labels 0 or 1.
+    """
+    def finite(c: str) -> Column:
+        return F.abs(F.col(c)) < float("inf")  # false for infinite ones, and Spark orders NaN above them
+
+    checks = {"ts": F.col("ts").isNotNull()}
+    checks |= _bank_and_account("from", "from_bank", "from_account") | _bank_and_account("to", "to_bank", "to_account")
+    checks |= {c: finite(c) for c in ("amount_received", "amount_paid")}
+    checks["is_laundering"] = F.col("is_laundering").isin(0, 1)
+    return _split(_typed_transfers(_raw_rows(spark, path, schemas.TRANSFER_CSV)), checks, out)
+
+
+def split_accounts(spark: SparkSession, path: str, out: str) -> Split:
+    """:func:`read_accounts` with reasons for rows without a numeric bank or an account number."""
+    raw = _raw_rows(spark, path, schemas.ACCOUNT_CSV)
+    typed = raw.withColumn("account_id", _account_id("bank_id", "account_number"))
+    return _split(typed, _bank_and_account("own", "bank_id", "account_number"), out)
+
+
 def read_patterns(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """``BEGIN … / END LAUNDERING ATTEMPT`` blocks to one row per edge.
 

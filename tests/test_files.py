@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlight.operators import scenarios, shape, telemetry
@@ -26,6 +27,37 @@ def test_transfers_and_accounts(spark, tmp_path):
     assert files.read_accounts(spark, str(tmp_path / "a.csv")).first().account_id == "331579:80B779D80"
 
 
+def test_bad_transfers_come_with_their_reasons(spark, tmp_path):
+    good = "2022/09/01 00:20,010,A1,0011,B1,3697.34,US Dollar,3697.34,US Dollar,Wire,0"
+    bad = {
+        "2022-09-01,010,A1,0011,B1,1,US Dollar,1,US Dollar,Wire,0": ["ts"],
+        "2022/09/01 00:20,x10,A1,0011,,1,US Dollar,1,US Dollar,Wire,0": ["from_bank", "to_account"],
+        "2022/09/01 00:20,010,A1,0011,B1,one,US Dollar,NaN,US Dollar,Wire,2": ["amount_received", "amount_paid", "is_laundering"],
+        "2022/09/01 00:20,010,A1,0011,B1,1,US Dollar": ["column_count"],
+        "2022/09/01 00:20,010,A1,0011,B1,1,US Dollar,1,US Dollar,Wire,0,more": ["column_count"],
+    }
+    (tmp_path / "t.csv").write_text("\n".join([",".join("abcdefghijk"), good, *bad, good]) + "\n")
+    split = files.split_transfers(spark, str(tmp_path / "t.csv"), str(tmp_path / "out"))
+    assert split.good.columns == files.read_transfers(spark, str(tmp_path / "t.csv")).columns
+    assert [(r.from_id, r.to_id, r.amount_paid) for r in split.good.collect()] == [("10:A1", "11:B1", 3697.34)] * 2
+    assert sorted(r.reasons for r in split.rejected.collect()) == sorted(bad.values())
+    assert {r.record for r in split.rejected.collect()} >= {t for t, why in bad.items() if why == ["column_count"]}
+    assert (split.counts["total"], split.counts["accepted"], split.counts["rejected_column_count"], split.counts["rejected_ts"]) == (7, 2, 2, 1)
+    assert split.require(2) is split
+    with pytest.raises(ValueError, match="accepted 2 of 7"):
+        split.require(3)
+
+
+def test_bad_accounts_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\nBank,0331579,80B,E1,Corp\nBank,none, ,E1,Corp\n")
+    split = files.split_accounts(spark, str(tmp_path / "a.csv"), str(tmp_path / "out"))
+    assert [r.account_id for r in split.good.collect()] == ["331579:80B"]
+    assert [r.reasons for r in split.rejected.collect()] == [["own_bank", "own_account"]]
+    (tmp_path / "e.csv").write_text("Bank Name,Bank ID,Account Number,Entity ID,Entity Name\n")
+    empty = files.split_accounts(spark, str(tmp_path / "e.csv"), str(tmp_path / "none"))
+    assert (empty.good.count(), empty.rejected.count(), empty.counts["total"]) == (0, 0, 0)
+
+
 def test_patterns(spark, tmp_path):
     (tmp_path / "p.txt").write_text(PATTERNS)
     rows = files.read_patterns(spark, str(tmp_path / "p.txt")).orderBy("pattern_id", "line").collect()
