@@ -267,14 +267,35 @@ def stream_session_flag(responses: DataFrame, ttl_ms: int = 86_400_000, watermar
     )
 
 
-def publish_touched_days(log_path: str, table_path: str):
-    """A ``foreachBatch`` function: rebuild the hourly table for the days a batch touches, and only those."""
+def publish_touched_days(log_path: str, table_path: str, ledger_path: str, schema: str):
+    """A ``foreachBatch`` function: rebuild the hourly table for the days a batch touches, and only those.
 
-    def publish(batch: DataFrame, _batch_id: int) -> None:
+    The log is partitioned by ``day`` and read by those partitions alone (a batch's days come to the driver). Days are
+    rebuilt from the log, not added to, so a batch that failed half-way is right after its next try; the ledger gets the
+    batch's number last, and a number that stands there already is not published again.
+    """
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        days = batch.select(F.to_date("ts").alias("day")).distinct()
-        log = spark.read.parquet(log_path).withColumn("day", F.to_date("ts")).join(days, "day", "left_semi")
-        hourly = telemetry_hourly(log).withColumn("day", F.to_date("hour"))
-        replace_partitions(hourly, table_path, "day")
+        if published_batches(spark, ledger_path).filter(F.col("batch_id") == batch_id).limit(1).count():
+            return
+        days = [r.day for r in batch.select(F.to_date("ts").alias("day")).filter("day IS NOT NULL").distinct().collect()]
+        if days:
+            log = spark.read.schema(f"{schema}, day DATE").parquet(log_path).filter(F.col("day").isin(days))
+            hourly = telemetry_hourly(log).withColumn("day", F.to_date("hour"))
+            replace_partitions(hourly, table_path, "day")
+        noted = spark.createDataFrame([(batch_id, d) for d in days or [None]], LEDGER)
+        replace_partitions(noted.coalesce(1), ledger_path, "batch_id")
 
     return publish
+
+
+LEDGER = "batch_id BIGINT, published_day DATE"
+
+
+def published_batches(spark: SparkSession, ledger_path: str) -> DataFrame:
+    """(batch_id, published_day) of every batch that is published whole; without a ledger, none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema("published_day DATE, batch_id BIGINT").parquet(ledger_path).select("batch_id", "published_day")

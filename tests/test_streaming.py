@@ -185,20 +185,52 @@ def test_review_timeout(spark, tmp_path):
     assert found == {1: ("APPROVED", None), 2: (None, "hitl_timeout"), 3: (None, "hitl_timeout")}
 
 
-def test_publish_replaces_only_touched_days(spark, tables, tmp_path):
+LOG = "id BIGINT, ts TIMESTAMP, agent_id STRING, session_id STRING, server STRING, tool STRING, status STRING, hitl_decision STRING, latency_ms INT, k INT"
+
+
+def totals(spark, table):
+    return {str(r["day"]): (r["n"], r["least"]) for r in spark.read.parquet(table).groupBy("day").agg(F.sum("call_count").alias("n"), F.min("call_count").alias("least")).collect()}
+
+
+def test_publish_replaces_only_touched_days_and_survives_replays(spark, tables, tmp_path):
     _, batch = source(spark, tables, "calls")
-    log, table = str(tmp_path / "log"), str(tmp_path / "table")
-    batch.write.parquet(log)
+    log, table, ledger, incoming = (str(tmp_path / n) for n in ("log", "table", "ledger", "in"))
+    batch.drop("day").withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(log)
+    wanted = {str(r["day"]): r["n"] for r in batch.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).collect()}
     stale = telemetry.telemetry_hourly(batch).withColumn("day", F.to_date("hour")).withColumn("call_count", F.lit(-1).cast("bigint"))
     replace_partitions(stale, table, "day")
-    incoming = str(tmp_path / "in")
-    batch.filter("ts < '2024-01-03'").write.parquet(incoming)
+    early = batch.filter("ts < '2024-01-03'")
+    early.write.parquet(incoming)
+    publish = st.publish_touched_days(log, table, ledger, LOG)
     query = (
-        st.stream_table(spark, incoming, batch.schema).writeStream.foreachBatch(st.publish_touched_days(log, table))
+        st.stream_table(spark, incoming, batch.schema).writeStream.foreachBatch(publish)
         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     )
     query.awaitTermination(240)
-    got = spark.read.parquet(table).withColumn("fresh", F.col("day") < "2024-01-03")
-    assert got.filter("fresh AND call_count < 0").count() == 0
-    assert got.filter("NOT fresh AND call_count >= 0").count() == 0
-    assert got.filter("fresh").agg(F.sum("call_count")).first()[0] == batch.filter("ts < '2024-01-03'").count()
+    touched = {str(r["day"]) for r in early.select(F.to_date("ts").alias("day")).distinct().collect()}
+    got = totals(spark, table)
+    assert touched and all(got[d] == (wanted[d], got[d][1]) and got[d][1] > 0 for d in touched)
+    assert all(got[d][1] == -1 for d in set(wanted) - touched)
+    noted = st.published_batches(spark, ledger).collect()
+    assert {r.batch_id for r in noted} == {0} and {str(r.published_day) for r in noted} == touched
+
+    # A replay of a published batch changes nothing, also when the table was changed since.
+    spoilt = stale.filter(F.col("day").cast("string").isin(sorted(touched)))
+    replace_partitions(spoilt, table, "day")
+    publish(early, 0)
+    assert all(totals(spark, table)[d][1] == -1 for d in touched)
+
+    # A batch that fails before its ledger entry is published whole by its next try.
+    def fails(*_):
+        raise OSError("no ledger")
+
+    kept, st.replace_partitions = st.replace_partitions, lambda df, path, *by: fails() if path == ledger else replace_partitions(df, path, *by)
+    try:
+        with pytest.raises(OSError):
+            publish(early, 1)
+    finally:
+        st.replace_partitions = kept
+    publish(early, 1)
+    assert {d: n for d, (n, _) in totals(spark, table).items() if d in touched} == {d: wanted[d] for d in touched}
+    publish(early.filter("false"), 2)
+    assert {r.batch_id for r in st.published_batches(spark, ledger).collect()} == {0, 1, 2}
