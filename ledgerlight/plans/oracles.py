@@ -409,6 +409,12 @@ add("telemetry_hourly", f"SELECT * REPLACE ({ts('hour')} AS hour) FROM hourly")
 add("policy_fires_daily", f"SELECT * REPLACE ({day('day')} AS day) FROM fires")
 add("review_daily", f"SELECT * REPLACE ({day('day')} AS day) FROM reviews")
 add("aml_daily", f"SELECT * REPLACE ({day('day')} AS day) FROM amld")
+add(
+    "merged_latency",
+    f"""SELECT strftime(ts, '%Y-%m-%d') AS day, server, count(*) AS call_count, count(*) FILTER (status = 'UPSTREAM_ERROR') AS error_count,
+  CAST(quantile_disc(latency_ms, 0.5) AS BIGINT) AS latency_p50_ms, CAST(quantile_disc(latency_ms, 0.95) AS BIGINT) AS latency_p95_ms,
+  CAST(quantile_disc(latency_ms, 0.99) AS BIGINT) AS latency_p99_ms FROM calls GROUP BY ALL""",
+)
 add(
     "merge_daily",
     f"""SELECT {day('day')} AS day, count(*) FILTER (server = 'ofac-sanctions') AS ofac_calls, count(*) FILTER (server = 'transaction-graph') AS transaction_graph_calls,
@@ -901,6 +907,13 @@ add(
     """SELECT 'raw' AS side, count(*) AS total, count(*) FILTER (is_laundering = 1) AS labelled, round(count(*) FILTER (is_laundering = 1) / count(*) * 100, 4) AS ratio_pct FROM transfers
 UNION ALL SELECT 'sampled', count(*), count(*) FILTER (is_laundering = 1), round(count(*) FILTER (is_laundering = 1) / count(*) * 100, 4) FROM kept""",
 )
+add(
+    "rejected_transfers",
+    """SELECT CASE WHEN why = '' THEN 'accepted' ELSE why END AS why, count(*) AS transfers,
+  CASE WHEN why = '' THEN CAST(sum(CAST(round(amount_paid * 100) AS BIGINT)) AS BIGINT) END AS cents FROM (
+  SELECT amount_paid, concat_ws('+', CASE WHEN day(ts) = 30 THEN 'ts' END, CASE WHEN month(ts) = 2 THEN 'from_bank' END,
+    CASE WHEN day(ts) = 31 THEN 'amount_received' END, CASE WHEN month(ts) = 2 AND day(ts) = 1 THEN 'is_laundering' END) AS why FROM transfers) GROUP BY why""",
+)
 add("missing_accounts", "SELECT DISTINCT account_id FROM members WHERE account_id NOT IN (SELECT account_id FROM inset)")
 add(
     "seed_alert",

@@ -22,6 +22,7 @@ from ledgerlight.operators.adjacency import write_adjacency
 from ledgerlight.plans.packs import extended_pack, rules_table
 from ledgerlight.session import cut_lineage, ensure_checkpoint_dir
 from ledgerlight.sources import adapters as ad
+from ledgerlight.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,6 +100,13 @@ def aml_daily(s, d):
     return te.aml_daily(_aml_calls(s, d))
 
 
+@query
+def merged_latency(s, d):
+    """Days and servers merged from hourly sketches; the days of the test tables are small enough for exact answers."""
+    hourly = cut_lineage(te.hourly_sketches(ad.calls(s, d)))
+    return te.sketch_percentiles(te.merged_sketches(hourly, F.to_date("hour").alias("day"), "server"))
+
+
 @query
 def merge_daily(s, d):
     calls = _calls(s, d)
@@ -835,6 +843,24 @@ def sample_stats(s, d):
     return graph.sample_stats(moves, graph.subsample(moves, TARGET_ACCOUNTS, SEED))
 
 
+@query
+def rejected_transfers(s, d):
+    """Transfers written as CSV, some of them spoilt by rules on their own values, and split again into good and bad."""
+    where = f"{ensure_checkpoint_dir(s).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    day, month = F.dayofmonth("ts"), F.month("ts")
+    paid = F.round(F.col("amount_paid") * 100).cast("bigint").cast("string")
+    ad.transfers(s, d).select(
+        F.when(day == 30, "soon").otherwise(F.date_format("ts", "yyyy/MM/dd HH:mm")).alias("a"),
+        F.when(month == 2, "none").otherwise("017").alias("b"), F.col("from_id").alias("c"), F.lit("0018").alias("d"), F.col("to_id").alias("e"),
+        F.when(day == 31, "n/a").otherwise(paid).alias("f"), F.lit("Euro").alias("g"), paid.alias("h"), F.lit("Euro").alias("i"),
+        F.col("payment_format").alias("j"), F.when((month == 2) & (day == 1), "2").otherwise(F.col("is_laundering").cast("string")).alias("k"),
+    ).write.csv(f"{where}/csv", header=True)
+    split = files.split_transfers(s, f"{where}/csv", f"{where}/split")
+    good = split.good.agg(F.lit("accepted").alias("why"), F.count("*").alias("transfers"), F.sum(F.col("amount_paid").cast("bigint")).alias("cents"))
+    bad = split.rejected.groupBy(F.array_join("reasons", "+").alias("why")).agg(F.count("*").alias("transfers"), F.lit(None).cast("bigint").alias("cents"))
+    return good.unionByName(bad)
+
+
 @query
 def missing_accounts(s, d):
     members = ad.patterns(s, d).select(F.explode(F.array("from_id", "to_id")).alias("account_id")).distinct()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerlight.operators.audit import decision_events
-from ledgerlight.operators.telemetry import telemetry_hourly
+from ledgerlight.operators.telemetry import SKETCH_SIZE, latency_sketch, telemetry_hourly
 from ledgerlight.sources.files import replace_partitions
 
 WATERMARK = "10 minutes"
@@ -48,6 +48,17 @@ def stream_hourly(calls: DataFrame, watermark: str = WATERMARK, accuracy: int =
     )
 
 
+def stream_hourly_sketches(calls: DataFrame, watermark: str = WATERMARK, k: int = SKETCH_SIZE) -> DataFrame:
+    """``hourly_sketches`` as a stream; its output merges with that of batch runs."""
+    return (
+        calls.withWatermark("ts", watermark)
+        .groupBy(F.window("ts", "1 hour").alias("w"), "server", "tool", F.col("status").alias("outcome"))
+        .agg(F.count("*").alias("call_count"), F.count_if(F.col("status") == "UPSTREAM_ERROR").alias("error_count"), latency_sketch(k))
+        .select(F.col("w.start").alias("hour"), "*")
+        .drop("w")
+    )
+
+
 def stream_call_rate(calls: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     counted = calls.withWatermark("ts", watermark).groupBy(F.window("ts", "5 minutes").alias("w"), "agent_id")
     return counted.agg(F.count("*").alias("calls")).select(F.col("w.start").alias("window_start"), "agent_id", "calls")

@@ -18,7 +18,7 @@ CORE = [
     "telemetry_hourly", "review_daily", "cost_daily", "histogram_quantiles", "in_flight", "top_agent_days", "call_pairs",
     "chain_verify_tampered", "chain_root", "canonical_numbers", "match_rules", "decide_calls", "evaluate_responses", "session_features", "anomaly_flags", "incidents",
     "evidence_packets", "account_summary", "neighbours_2_hop", "structuring_check", "sample_stats", "screen_best", "assess",
-    "judge_scenarios", "cluster_outliers", "alert_bundles", "in_windows", "expand_by_count",
+    "judge_scenarios", "cluster_outliers", "merged_latency", "rejected_transfers", "alert_bundles", "in_windows", "expand_by_count",
 ]
 NAMES = list(ORACLES) if os.environ.get("LEDGERLIGHT_ALL") else CORE
 

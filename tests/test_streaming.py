@@ -185,6 +185,27 @@ def test_review_timeout(spark, tmp_path):
     assert found == {1: ("APPROVED", None), 2: (None, "hitl_timeout"), 3: (None, "hitl_timeout")}
 
 
+def test_merged_sketches_stay_within_their_bound(spark, tables, tmp_path):
+    rows = spark.range(60_000).selectExpr(
+        "timestamp_seconds(1704067200 + id * 2) AS ts", "'s' AS server", "concat('t', id % 3) AS tool", "if(id % 50 = 0, 'UPSTREAM_ERROR', 'COMPLETED') AS status",
+        "CAST(pmod(xxhash64(id), 100000) AS INT) AS latency_ms", "id")
+    size = 512
+    whole = telemetry.merged_sketches(telemetry.hourly_sketches(rows, size), "server")
+    got = telemetry.sketch_percentiles(whole).first()
+    assert (got.call_count, got.error_count) == (60_000, 1200)
+    for q, found in ((0.50, got.latency_p50_ms), (0.95, got.latency_p95_ms), (0.99, got.latency_p99_ms)):
+        assert abs(rows.filter(F.col("latency_ms") <= found).count() / 60_000 - q) < 0.02
+    none = rows.limit(3).withColumn("latency_ms", F.lit(None).cast("int"))
+    empty = telemetry.sketch_percentiles(telemetry.merged_sketches(telemetry.hourly_sketches(none), "server")).first()
+    assert (empty.call_count, empty.latency_p50_ms) == (3, None)
+    stream, batch = source(spark, tables, "calls")
+    streamed = run(st.stream_hourly_sketches(stream), tmp_path)
+    hours = streamed.select("hour").distinct()
+    wanted = telemetry.hourly_sketches(batch).join(hours, "hour", "left_semi")
+    merged = [sorted(map(tuple, telemetry.sketch_percentiles(telemetry.merged_sketches(df, "server")).collect())) for df in (streamed, wanted)]
+    assert merged[0] == merged[1] and merged[0]
+
+
 LOG = "id BIGINT, ts TIMESTAMP, agent_id STRING, session_id STRING, server STRING, tool STRING, status STRING, hitl_decision STRING, latency_ms INT, k INT"
 
 
