@@ -15,7 +15,7 @@ from ledgerlight.llm.arrow import map_rows, per_worker
 #: White space as Unicode has it; the pre-tokenizer and normalizer of the vocabulary file use it.
 SPACE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words, and pieces, of which a worker keeps the encoding, per generation.
-MEMO = 75_000
+MEMO = 150_000
 
 
 class Memo:
@@ -133,15 +133,20 @@ class Codec:
         raw = word
         if not word.isascii():
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")  # letters are lowered one by one, so no final sigma
-        ids: list[int] = []
+        parts = []
         for piece in self.pieces(word.lower()):
             known = self.by_piece.get(piece)
             if known is None:
-                known = self.merge(piece)
+                ids = self.merge(piece)
+                known = (len(ids), " ".join([self.digits[i] for i in ids]), self.decode(ids))
+                if piece == raw:
+                    piece = raw  # one string for both memos
                 self.by_piece.put(piece, known)
-            ids += known
-        digits = self.digits
-        found = (len(ids), " ".join([digits[i] for i in ids]), self.decode(ids))
+            parts.append(known)
+        if len(parts) == 1:
+            found = parts[0]  # shared by both memos
+        else:
+            found = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
         self.by_word.put(raw, found)
         return found
 
