@@ -178,3 +178,28 @@ def test_cap_of_the_subgraph_is_a_parameter(spark, moves):
     few = graph.alert_subgraphs(alerts, moves, max_neighbours=1).first()
     whole = graph.alert_subgraphs(alerts, moves, max_neighbours=None).first()
     assert (few.neighbours_total, few.subgraph_edges) == (4, 1) and (whole.neighbours_total, whole.subgraph_edges, whole.truncated) == (4, 4, False)
+
+
+def test_subgraph_pairs_are_shuffled_and_right(spark):
+    draw = random.Random(5)
+    ids = [f"1:{i}" for i in range(12)]
+    rows = [("2022-01-01", draw.choice(ids), draw.choice(ids), float(a), float(a), "ACH", 0) for a in range(1, 61)]
+    moves = spark.createDataFrame([*rows, ("2022-01-01", None, "1:0", 9.0, 9.0, "ACH", 0)], SCHEMA).withColumn("ts", F.col("ts").cast("timestamp"))
+    alerts = spark.createDataFrame([(i,) for i in [*ids[:5], None, "9:NONE"]], "account_id STRING")
+    found = graph.alert_subgraphs(alerts, moves, max_edges=7, max_neighbours=3)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [from_id" in plan  # the pairs of 26 members each look as small as the members' table, and were broadcast
+    got = {r.seed_id: (r.neighbours_total, r.subgraph_edges, r.subgraph_amount, r.truncated) for r in found.collect()}
+    edges, around = defaultdict(float), defaultdict(lambda: defaultdict(float))
+    for _, a, b, paid, *_ in rows:
+        edges[a, b] += paid
+        if a != b:
+            around[a][b] += paid
+            around[b][a] += paid
+    want = {}
+    for seed in [*ids[:5]]:
+        if around[seed]:
+            members = {seed, *sorted(around[seed], key=lambda x: (-around[seed][x], x))[:3]}
+            inside = sorted((v for (a, b), v in edges.items() if a in members and b in members), reverse=True)
+            want[seed] = (len(around[seed]), min(7, len(inside)), sum(inside[:7]), len(inside) > 7)
+    assert {k: v for k, v in got.items() if k in ids[:5]} == want and "9:NONE" not in got
