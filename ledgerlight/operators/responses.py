@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.redact import has_injection_marker, redact_in_order
-from ledgerlight.operators.policy import RESPONSE_RULES, attach_rules, register_response_rule
+from ledgerlight.operators.policy import RESPONSE_RULES, attach_rules, register_response_rule, rule_sets
+from ledgerlight.session import cut_lineage
 
 # Tags and how long a session flag lasts.
 STRUCTURING_TAGS = ["incident:structuring", "severity:high"]
@@ -35,7 +36,9 @@ def evaluate_responses(responses: DataFrame, rules: DataFrame) -> DataFrame:
     and their lists name them. A response rule without a registered function fails closed:
     ``policy_error`` is set and the payload withheld.
     """
-    ruled = attach_rules(responses, rules)
+    # The rule sets are a written table: Spark knows how small it is, and the payloads are not shuffled to the few
+    # (server, tool) pairs that there are.
+    ruled = attach_rules(responses, rules, cut_lineage(rule_sets(responses, rules)))
     redacted = redact_in_order(F.col("payload"), F.coalesce("patterns", _tags()))
     known = F.array(*[F.lit(name) for name in RESPONSE_RULES])
     unknown = F.coalesce(F.size(F.array_except("response_rules", known)) > 0, F.lit(False))

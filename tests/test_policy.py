@@ -175,6 +175,14 @@ def test_responses_are_redacted_and_tagged(spark):
     assert row.payload == "ssn [REDACTED]" and row.response_tags == ["incident:structuring", "severity:high"]
 
 
+def test_payloads_are_not_shuffled_to_the_few_tools(spark):
+    rows = [(i, "hello-echo", "leaky_echo", "ssn 123-45-6789", False) for i in range(20)]
+    df = spark.createDataFrame(rows, "id BIGINT, server STRING, tool STRING, payload STRING, flagged BOOLEAN")
+    done = responses.evaluate_responses(df, rules_table(spark, ADVERSARIAL_PACK))
+    assert {r.payload for r in done.collect()} == {"ssn [REDACTED]"}
+    assert "hashpartitioning" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_review_timeout_first_decision_wins(spark):
     held = spark.createDataFrame([(i, START, 60) for i in (1, 2, 3)], "id BIGINT, ts TIMESTAMP, timeout_seconds INT")
     at = lambda s: START + dt.timedelta(seconds=s)
