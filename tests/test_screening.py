@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +164,41 @@ def test_entry_detail_and_rejects(spark, listed):
     assert bad.count() == 2
     good, rejected = quality.reject_bad_rows(ids, {"numeric id": F.col("ent_num").rlike("^[0-9]+$")})
     assert good.first().ent_num == "36" and rejected.first().reject_reason == "numeric id"
+
+
+def test_word_edits_equal_the_table(spark):
+    draw = random.Random(3)
+    texts = ["".join(draw.choice("ab cé漢😀") for _ in range(n)) for n in (0, 1, 2, 5, 17, 40, 63, 64, 64, 65, 90) for _ in range(4)]
+    pairs = [(a, b) for a in texts for b in texts]
+    index = screening.NameIndex(texts, texts)
+    for kind in ("normal", "ordered"):
+        listed = [getattr(t, kind) for t in index.texts]
+        asked = screening._Asked(listed, index.listed[kind])
+        q, n = (np.array(x) for x in zip(*[(i, j) for i in range(len(listed)) for j in range(len(listed))], strict=True))
+        got, longest = index.distances(kind, index.texts, asked, q, n)
+        assert got.tolist() == screening.edits([listed[i] for i in q], [listed[j] for j in n]).tolist() and len(got) == len(pairs)
+        assert longest.tolist() == [max(len(listed[i]), len(listed[j])) for i, j in zip(q, n, strict=True)]
+
+
+def test_entries_of_a_hot_name_are_made_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(screening, "CELL_QUERIES", 3)
+    monkeypatch.setattr(screening, "CELL_ENTRIES", 4)
+    monkeypatch.setattr(screening, "TASK_ROWS", 5)
+    asked = [f"acme {i}" for i in range(11)]
+    best = spark.createDataFrame([("acme", q, 90.0, 1) for q in asked] + [("rare", "rare", 100.0, 1)], "matched_name STRING, query STRING, score DOUBLE, place INT")
+    rows = [("entity", "acme", str(i), False) for i in range(10)] + [("vessel", "acme", "3", True), ("entity", "rare", "77", False), ("entity", "other", "5", False)]
+    names = spark.createDataFrame(rows, "sdn_type STRING, name STRING, ent_num STRING, is_alias BOOLEAN")
+    found = screening._with_entries(best, names)
+    got = sorted((r.matched_name, r.query, r.entry_id) for r in found.collect())
+    assert got == sorted([("acme", q, str(i)) for q in asked for i in range(10)] + [("rare", "rare", "77")])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [matched_name" in plan and found.rdd.getNumPartitions() > 4  # more tasks than the small input alone would get
+
+
+def test_tiles_are_dealt_to_tasks_without_broadcast(spark):
+    names = spark.createDataFrame([(f"name {i}",) for i in range(30)], "name STRING")
+    asked = spark.createDataFrame([(f"nume {i}",) for i in range(40)], "query STRING")
+    found = screening._scored(asked, names, [], 1, chunk_names=15, slice_queries=4)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin [chunk" in plan  # broadcast queries left all tiles to the one task of the names
+    assert {(r.query, r.matched_name) for r in found.collect()} >= {(f"nume {i}", f"name {i}") for i in range(30)}
