@@ -81,6 +81,19 @@ def test_neighbours_equal_brute_force(spark):
     assert hops(df, spark, "a0", 3) == wanted
 
 
+def test_small_transfers_are_dropped_below_the_join_that_makes_them(spark):
+    """The amounts are columns of one side: only rows that pass the threshold may reach the join, for every hop."""
+    ends = spark.createDataFrame([(i, f"a{i}") for i in range(4)], "k INT, from_id STRING")
+    amounts = spark.createDataFrame([(i % 4, f"a{(i + 1) % 4}", float(i), float(i)) for i in range(40)], "k INT, to_id STRING, amount_paid DOUBLE, amount_received DOUBLE")
+    joined = amounts.join(ends, "k").selectExpr("from_id", "to_id", "timestamp '2022-01-01 00:00:00' AS ts", "amount_paid", "amount_received")
+    found = graph.k_hop(joined, spark.createDataFrame([("a0",)], "seed_id STRING"), 3, 36.0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    drops = [i for i, line in enumerate(plan) if "greatest(amount_paid" in line and "Filter" in line]
+    assert drops and all(any("Join Inner" in above and "(k#" in above and depth(above) < depth(plan[i]) for above in plan[:i]) for i in drops), "\n".join(plan)
+    assert {r.account_id: (r.hop, r.total_amount) for r in found.collect()} == {"a1": (1, 36.0), "a3": (1, 39.0), "a2": (2, 75.0)}
+
+
 def test_subgraph(moves, spark):
     chosen = spark.createDataFrame([(i,) for i in IDS], "account_id STRING")
     top = graph.subgraph(moves, chosen, 2).orderBy("place").collect()
