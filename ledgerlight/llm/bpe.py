@@ -72,6 +72,7 @@ class Codec:
         self.last = [self.vocab[c + self.suffix] for c in letters]
         self.rank_of = self.ranks.get
         self.digits = {i: str(i) for i in self.strings}
+        self.spelled = {str(i): s for i, s in self.strings.items()}
         self.controls = regex.compile("[\x1c-\x1f]").search
         self.by_word = Memo(MEMO)
         self.by_piece = Memo(MEMO)
@@ -123,10 +124,10 @@ class Codec:
         return " ".join([self.strings[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(" ")]
+        return [int(i) for i in self.ids(text)]
 
-    def told(self, word: str) -> tuple[int, str, str]:
-        """(number of ids, the ids as text, the decoded text) of a stretch of text without special tokens."""
+    def told(self, word: str) -> str:
+        """The ids, as text, of a stretch of text without special tokens; all that the memos keep of it."""
         known = self.by_word.get(word)
         if known is not None:
             return known
@@ -137,20 +138,16 @@ class Codec:
         for piece in self.pieces(word.lower()):
             known = self.by_piece.get(piece)
             if known is None:
-                ids = self.merge(piece)
-                known = (len(ids), " ".join([self.digits[i] for i in ids]), self.decode(ids))
+                known = " ".join([self.digits[i] for i in self.merge(piece)])
                 if piece == raw:
                     piece = raw  # one string for both memos
                 self.by_piece.put(piece, known)
             parts.append(known)
-        if len(parts) == 1:
-            found = parts[0]  # shared by both memos
-        else:
-            found = (sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts]))
+        found = parts[0] if len(parts) == 1 else " ".join(parts)  # one piece: one string for both memos
         self.by_word.put(raw, found)
         return found
 
-    def section(self, text: str) -> list[tuple[int, str, str]]:
+    def section(self, text: str) -> list[str]:
         """Pieces never hold white space, so a text is taken word by word and each word is encoded once."""
         if self.controls(text):  # str.split also parts at these, the vocabulary's white space does not
             return [self.told(text)]
@@ -160,18 +157,18 @@ class Codec:
             found += [known(w) or told(w) for w in words[at : at + 1000]]
         return found
 
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids as text, decoded text) of each part of a text that has ids."""
+    def ids(self, text: str) -> list[str]:
+        """The ids of a text, as decimal numbers."""
         if self.cut is None or "<|" not in text:
             found = self.section(text)
         else:
             found = []
             for section in self.cut(text):
                 if section in self.specials:
-                    found.append((1, str(self.specials[section]), section))
+                    found.append(str(self.specials[section]))
                 else:
                     found += self.section(section)
-        return [p for p in found if p[0]]
+        return " ".join(found).split()
 
 
 def codec(path: str) -> Codec:
@@ -192,22 +189,23 @@ def encode_documents(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_i
 
     def make():
         coder = per_worker(f"codec of {path}", lambda: codec(path))
+        spelled = coder.spelled
 
         def work(columns: dict[str, list]) -> dict[str, list]:
             out: dict[str, list] = {k: columns[k] for k in kept} | {c: [] for c in ("n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded")}
             for text in columns["text"]:
-                parts = coder.parts(text or "")
-                ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
-                out["n_tokens"].append(sum([p[0] for p in parts]))
-                out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+                ids = coder.ids(text or "")
+                decoded = " ".join([spelled[i] for i in ids])
+                out["n_tokens"].append(len(ids))
+                out["ids_sha256"].append(hashlib.sha256(" ".join(ids).encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if texts:
-                    out["ids"].append([int(i) for i in ids.split(" ")] if ids else [])
+                    out["ids"].append([int(i) for i in ids])
                     out["decoded"].append(decoded)
             return out
 
         return work
 
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(kept, keep)], F.col("text").alias("text"))
-    done = map_rows(rows, make, ", ".join([*(f"{k} {types[c]}" for k, c in zip(kept, keep)), *made]))
+    done = map_rows(rows, make, ", ".join([*(f"{k} {types[c]}" for k, c in zip(kept, keep)), *made]), keeps=True)
     return done.select(*[F.col(k).alias(c) for k, c in zip(kept, keep)], *[m.split()[0] for m in made])

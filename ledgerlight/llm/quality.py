@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.arrow import map_rows
+from ledgerlight.llm.arrow import drop_kept, map_rows
 from ledgerlight.llm.common import seeded_key
 
 FOLDS = 5
@@ -130,6 +130,7 @@ def context_vectors(sample: DataFrame, known: list[tuple[bytes, bytes]]) -> dict
     spot = {key: i for i, key in enumerate(known)}
 
     def run(batches):
+        drop_kept()
         sums = np.zeros((len(known) + 1, DIMENSIONS), dtype=np.int64)
         padded = np.vstack([index, np.zeros((1, DIMENSIONS), dtype=np.int64)])
         for batch in batches:

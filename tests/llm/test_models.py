@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from helpers import awkward, documents, prose, rows_of
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import bpe, pii, quality, queries
+from ledgerlight.llm.arrow import map_rows
 
 TEXTS = [
     "", "ΑΣ ΟΔΟΣ Σ", "<|endoftext|> hi<|startoftext|>x <|foo|> ", "é İstanbul ǅ ﬁ ß ẞ", "a b c\x1cd\x85e", "don't I'LL we've 12345 ½ ² Ⅷ",
@@ -58,6 +60,23 @@ def test_encoded_documents(spark, library):
     assert bpe.encode_documents(docs.limit(0), queries.vocabulary()).collect() == []
 
 
+def test_memos_hold_ids_alone_and_other_operators_free_them(spark):
+    """Spark uses its Python workers again, so a later operator's tasks would run beside the vocabulary and memos."""
+    coder = bpe.codec(queries.vocabulary())
+    coder.ids(prose(2, 50))
+    kept = [*coder.by_word.young.values(), *coder.by_piece.young.values()]
+    assert kept and all(isinstance(found, str) and set(found) <= set("0123456789 ") for found in kept)
+
+    docs = documents(spark, rows_of([prose(i, 30) for i in range(64)])).repartition(8)
+    assert bpe.encode_documents(docs, queries.vocabulary()).count() == 64
+
+    def make():
+        return lambda columns: {"kept": ["_ledgerlight_kept" in sys.__dict__] * len(columns["text"])}
+
+    seen = map_rows(docs.select("text"), make, "kept boolean").collect()
+    assert len(seen) == 64 and not any(r.kept for r in seen)
+
+
 def test_quality_on_held_out_rows(spark):
     """Invented texts: good prose, and two kinds of junk."""
     rows, marks = [], []
