@@ -176,6 +176,60 @@ def test_found_spans(spark):
     assert all(r.n_added == 0 for r in pii.find(docs.where(F.col("doc_id") >= 1000), bare).collect())
 
 
+def brute_trees(rows):
+    """Trees and thresholds from the examples of all rows (doc_id, text) in memory."""
+    made = []
+    for doc, text, *_ in rows:
+        doc = zlib.crc32((text or "").encode()) if doc is None else doc
+        made += [(zlib.crc32(b"threshold%d" % doc) % 5 == 0, doc, x, y) for x, y in pii.examples(text or "", doc)]
+    own = [(x, y) for aside, _, x, y in made if not aside]
+    trees = pii.Trees(*pii.boost(np.array([x for x, _ in own]), np.array([y for _, y in own], dtype=float)), dict.fromkeys(pii.KINDS, 2.0))
+    for k, kind in enumerate(pii.KINDS):
+        held = [(doc, x, y) for aside, doc, x, y in made if aside and x[0] == k]
+        score = trees.score(np.array([x for _, x, _ in held]))
+        right = 0
+        for n, (place, _, y) in enumerate(sorted((-s, doc, y) for s, (doc, _, y) in zip(score, held)), 1):
+            right += y
+            if right / n >= pii.PRECISION:
+                trees.thresholds[kind] = max(0.5, float(-place))
+    return trees
+
+
+def test_trees_are_fitted_on_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TREES", 10)
+    rnd = random.Random(8)
+    rows = []
+    for i in range(6600):
+        found = [
+            f"jo{i}@mail{i % 9}.example.com", f"10.{i % 256}.7.{rnd.randint(1, 250)}", f"4111 1111 1111 {rnd.choice([1111, 1112])}", f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}",
+            f"999.3.2.{i}", f"page {rnd.randint(10**6, 10**8)}", f"version {i % 30}.{i % 7}.0.1",
+        ][rnd.randrange(7)]
+        rows.append((None if i % 97 == 0 else i // 2 if i % 89 == 0 else i - 3000, f"kalo {rnd.choice(['mi', 'id', 'call'])} {found} ten", "en", "s", 0))
+    rows += [rows[5], rows[97], (7000, None, "en", "s", 0), (None, "", "en", "s", 0)]
+    made, whole = pii.fit(documents(spark, rows, clashes=True)), brute_trees(rows)
+    assert made.start == whole.start and made.thresholds == pytest.approx(whole.thresholds, abs=1e-12)
+    for name in ("feature", "cut", "leaf"):
+        assert np.array_equal(getattr(made, name), getattr(whole, name)), name
+
+
+def test_trees_are_fitted_on_all_candidates(spark, monkeypatch):
+    monkeypatch.setattr(pii, "TREES", 1)
+    text = " ".join(f"kalo jo{i}@mail{i}.example.com 10.{i % 256}.7.{i % 250} ten 4111 1111 1111 {1100 + i} {i} +1 ({200 + i}) 555-{1000 + i} mi" for i in range(60))
+    docs = [d for d in range(300) if zlib.crc32(b"threshold%d" % d) % 5]
+    labels = [[y for _, y in pii.examples(text, turn)] for turn in range(12)]
+    good, n = (sum(f(labels[d % 12]) for d in docs) for f in (sum, len))
+    assert n > 120_000
+    trees = pii.fit(documents(spark, [(d, text, "en", "s", 0) for d in range(300)]).repartition(8))
+    assert trees.start == pytest.approx(float(np.log(good / (n - good))), abs=1e-12)
+
+
+def test_cuts_are_quantiles_of_all_values():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 7, 40, 5000):
+        x = rng.integers(-1, 60, size) ** 2
+        assert np.array_equal(pii.cuts_of(*np.unique(x, return_counts=True)), np.unique(np.quantile(x, np.linspace(0, 1, 33)))[:-1])
+
+
 def test_boosting_learns_a_rule():
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (3000, 26))
